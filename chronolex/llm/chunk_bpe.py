@@ -15,12 +15,15 @@ gives no rows; extra columns are ignored. Texts without white space are encoded
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +31,42 @@ from .common import ROWS_AT_ONCE, column, null_as_empty, table, tokenizer, token
 
 #: A chunk ends, on average, each so many bytes (a power of two), but has so many at least and at most.
 MEAN, LEAST, MOST = 2048, 256, 16384
-#: Entries that a worker keeps of chunks and of words.
-CHUNKS, WORDS = 4096, 1 << 18
-#: A word that surely falls into letters and marks, and whose letters count as their lower case: composed Latin letters, then marks without an apostrophe.
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%#$&*]*)")
+#: Chunks that a worker keeps.
+CHUNKS = 4096
+#: A character of the private use area.
+MARK = "\ue000"
+#: Texts of ASCII and composed Latin letters, on which the rank table and the tokenizers library agree; others go to the library as they are.
+_LATIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The words of such a text in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
+@lru_cache(maxsize=2)
+def merges(path: str) -> tuple[tiktoken.Encoding, int] | None:
+    """The merges of a tokenizers file whose words end in ``</w>`` as a rank table over marked words, and what its ids lie above the file's.
+
+    A word is followed by MARK, whose three bytes merge first and then join the word's last byte, as ``</w>`` does in the file. Ids
+    ascend in the order of the merges, so they serve as ranks; None for a file where that isn't so."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model["vocab"]
+    ids = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if model.get("end_of_word_suffix") != "</w>" or ids != sorted(ids):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
+    mark = MARK.encode()
+    ranks = {}
+    for token, i in vocabulary.items():
+        word = token.removesuffix("</w>")
+        if not token.startswith("<|") and all(c in byte_of for c in word):
+            ranks[bytes(byte_of[c] for c in word) + mark * (word != token)] = i + len(mark) - 1
+    ranks |= {mark[:2]: 0, mark: 1}  # no Latin text has these bytes otherwise
+    return tiktoken.Encoding("marked_words", pat_str=rf"[^\s{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={}), len(mark) - 1
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks, the last being the text's."""
     if len(data) <= LEAST:
@@ -59,37 +90,27 @@ def cuts(data: bytes) -> list[int]:
     return out if last == len(data) else [*out, len(data)]
 
 
+class Disagreement(Exception):
+    """Even the window of two whole chunks has other ids than they: the text is encoded as it is."""
+
+
 class ChunkEncoder:
-    """Encodes texts with a table of chunks and one of words, both bounded."""
+    """Encodes texts with bounded tables of chunks and of the windows around their joins."""
 
     def __init__(self, path: str):
-        self.path, self.chunks, self.words, self.joins = path, {}, {}, {}
+        self.path, self.chunks, self.joins = path, {}, {}
         self.encoded = self.reused = 0
 
     def _ids(self, data: bytes) -> list[int]:
         return tokenizer(self.path).encode(data.decode(), add_special_tokens=False).ids
 
     def plain(self, data: bytes) -> list[int]:
-        """Ids of a stretch that white space or the text's ends bound. White space never joins what it parts, so words are looked up one by one."""
-        words = data.split()
-        try:
-            return list(chain.from_iterable(map(self.words.__getitem__, words)))
-        except KeyError:
-            return list(chain.from_iterable(self._learn(words)))
-
-    def _learn(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        new = {w for w in words if w not in self.words}
-        if len(self.words) + 2 * len(new) > WORDS:
-            self.words.clear()
-            new = set(words)
-        split = {w: (m[1].lower().encode(), m[2].encode()) for w in new if (m := _LETTERS.fullmatch(w.decode()))}
-        parts = {*chain.from_iterable(split.values()), *(w for w in new if w not in split)}
-        lone = [w for w in parts if w and w not in self.words]
-        self.words[b""] = ()
-        found = tokenizer(self.path).encode_batch_fast([w.decode() for w in lone], add_special_tokens=False)
-        self.words.update(zip(lone, (tuple(e.ids) for e in found), strict=True))
-        self.words.update({w: self.words[a] + self.words[b] for w, (a, b) in split.items()})
-        return map(self.words.__getitem__, words)
+        """Ids of a stretch that white space or the text's ends bound."""
+        text, table = data.decode(), merges(self.path)
+        if table is None or "<|" in text or not _LATIN.fullmatch(text):
+            return tokenizer(self.path).encode(text, add_special_tokens=False).ids if text else []
+        ids = np.array(table[0].encode_ordinary(_PARTS.sub(rf"\g<0>{MARK}", text.lower())), dtype=np.int64)
+        return (ids - table[1]).tolist()
 
     def _chunk(self, data: bytes):
         """(first safe place, last safe place, ids between), or None if white space is nowhere in it."""
@@ -124,7 +145,7 @@ class ChunkEncoder:
             if got[: len(head)] == head and got[len(got) - len(tail) :] == tail:
                 return got[len(head) : len(got) - len(tail)]
             if left == low and right == high:
-                raise ValueError("chunks and window never agree: white space does not part this tokenizer's words")
+                raise Disagreement
 
     @staticmethod
     def _word_before(data: bytes, at: int, low: int) -> int:
@@ -154,7 +175,10 @@ class ChunkEncoder:
         out, at, low = [self.plain(data[: parts[0][0]])], None, 0
         for a, b, ids in parts:
             if at is not None:
-                out.append(self._join(data, at, a, low, b))
+                try:
+                    out.append(self._join(data, at, a, low, b))
+                except Disagreement:
+                    return self._ids(data)
             out.append(ids)
             at, low = b, a
         out.append(self.plain(data[at:]))
