@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, chunk_bpe, dac, html_text, near_dup, packing, pii, quality
+from . import bm25, chat_format, chunk_bpe, dac, html_text, near_dup, packing, pii, quality, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         html_text.op1_template_text,
         near_dup.op2_lsh_forest,
+        token_rollup.op3_delta_rollup,
         chunk_bpe.op4_chunk_reuse_bpe,
         chat_format.op5_chat_masks,
         pii.op6_weak_pii,
         dac.op7_direct_codes,
         packing.op8_local_search_packing,
         quality.op9_weak_quality,
+        bm25.op10_block_max_wand,
     )
     return {f.__name__: f for f in found}
 
