@@ -1,9 +1,443 @@
-"""Registered queries over the test tables, and the SQL that must give the same rows."""
+"""Registered queries over the test tables, and the SQL that must give the same rows.
 
+The SQL is written on its own, from the definitions; it shares no code with the operators. B: baskets, T: texts, E: events, C: conversations."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import re
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import predicates as P
+from .operators import compare, corpus, documents, merge, profiles, relations, trim
+from .sources import adapters
+
+Make = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Make] = {}
+_SQL: dict[str, str] = {}
+
+COUNTS = ("N", "f1", "f2", "f12")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zeros."""
+    return df.select(*((F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _add(name: str, make: Make, sql: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: _rounded(make(spark, sf_dir))
+    _SQL[name] = sql
+
+
+# ---------------------------------------------------------------- SQL of the building blocks
+
+TOK_B = """tok AS (SELECT o_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS i,
+  CAST(year(o_orderdate) AS INTEGER) AS date, p_name AS w, p_type AS p, p_brand AS l
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+TOK_T = r"""tok AS (SELECT doc_id, i, date, l, CASE WHEN length(l) <= 3 THEN 'short' WHEN length(l) <= 7 THEN 'middle' ELSE 'long' END AS p FROM (
+  SELECT doc_id, CAST(1900 + doc_id % 100 AS INTEGER) AS date, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS l,
+  CAST(generate_subscripts(regexp_extract_all(lower(text), '\p{L}+'), 1) AS BIGINT) AS i FROM documents))"""
+TOK_E = """tok AS (SELECT user_id AS doc_id, dayofyear(ts) AS day, CAST(row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY ts, event_id) AS BIGINT) AS i,
+  CAST(dayofyear(ts) AS INTEGER) AS date, event_type AS l FROM events)"""
+DOC_B = """docs AS (SELECT o_orderkey AS doc_id, c_mktsegment AS segment, o_orderpriority AS priority, n_name AS nation
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _pairs_sql(attributes: str, distance: int = 5, key: str = "doc_id", tokens: str = "tok") -> str:
+    a = attributes.split()
+    same = " AND ".join(f"y.{k} = x.{k}" for k in key.split())
+    return f"""pr AS (SELECT {', '.join(f'x.{c} AS {c}1' for c in a)}, x.date AS date, {', '.join(f'y.{c} AS {c}2' for c in a)}, CAST(d.d AS BIGINT) AS gap, x.doc_id AS doc_id
+  FROM {tokens} x CROSS JOIN (SELECT unnest(generate_series(-{distance}, {distance})) AS d) d JOIN {tokens} y ON {same} AND y.i = x.i + d.d WHERE d.d <> 0)"""
+
+
+def _cof_sql(attributes: str, minimum: int = 2) -> str:
+    a = attributes.split()
+    one, two, both = (", ".join(f"{c}{n}" for c in a) for n in (1, 2, ""))
+    return f"""cof0 AS (SELECT {one}, date, {two}, count(*) AS f12 FROM pr GROUP BY {one}, date, {two}),
+marg AS (SELECT {', '.join(f'{c}1 AS {c}' for c in a)}, date, CAST(sum(f12) AS BIGINT) AS f1 FROM cof0 GROUP BY {one}, date),
+cof AS (SELECT * FROM cof0 WHERE f12 >= {minimum}), keyed AS (SELECT DISTINCT {both} FROM marg)"""
+
+
+def _slice(size: int) -> str:
+    return f"CAST(date // {size} * {size} AS INTEGER)" if size else "0"
+
+
+def _log2(x: str) -> str:
+    return f"(CASE WHEN ({x}) > 0 THEN log2({x}) END)"
+
+
+def _ln0(x: str) -> str:
+    return f"(CASE WHEN ({x}) > 0 THEN ln({x}) ELSE 0.0 END)"
+
+
+def _score_sql(name: str, e: float = 0.0) -> str:
+    n, a, b, x = (f"CAST({c} AS DOUBLE)" for c in COUNTS)
+    if name == "f":
+        return x
+    if name == "fm":
+        return f"{x} / ({n} / 1e6)"
+    if name == "lf":
+        return _log2(f"{x} + {e}")
+    if name == "lfm":
+        return f"{_log2(f'{x} + {e}')} - ({_log2(f'{n} + {e}')} - log2(1e6 + {e}))"
+    if name == "milf":
+        return f"{_log2(f'{x} + {e}')} * {_log2(f'({x} + {e} + {e}) * ({n} + {e}) / (({a} + {e}) * ({b} + {e}))')}"
+    if name in ("mi1", "mi3"):
+        power = f"pow({x} + {e}, {name[2]})"
+        return _log2(f"{power} * ({n} + {e}) / (({a} + {e}) * ({b} + {e}))")
+    if name == "ld":
+        return f"14 + {_log2(f'2 * ({x} + {e}) / ({a} + {b} + 2 * {e})')}"
+    n, a, x = f"({n} + 2 * {e})", f"({a} + {e})", f"({x} + {e})"
+    cells = ((x, a, b), (f"({a} - {x})", a, f"({n} - {b})"), (f"({b} - {x})", f"({n} - {a})", b), (f"({n} - {a} - {b} + {x})", f"({n} - {a})", f"({n} - {b})"))
+    ratio = " + ".join(f"{o} * {_ln0(f'{o} * {n} / nullif({r} * {c}, 0)')}" for o, r, c in cells)
+    return f"(CASE WHEN {x} * {n} < {a} * {b} THEN -1 ELSE 1 END) * {_ln0(f'1 + ({ratio})')}"
+
+
+def _assembled_sql(items: str, name: str, eps: float, f2: bool = True) -> str:
+    g = items.split()
+    on = " AND ".join(f"a.{c} = b.{c}" for c in ("slice", *g))
+    second = f"JOIN f2t b ON {on}" if f2 else ""
+    return f"""prof0 AS (SELECT a.slice AS slice, {', '.join(f'a.{c} AS {c}' for c in g)}, CAST(n.N AS BIGINT) AS N, CAST(c.f1 AS BIGINT) AS f1, CAST({'b' if f2 else 'a'}.f2 AS BIGINT) AS f2, CAST(a.f12 AS BIGINT) AS f12
+  FROM f12t a {second} JOIN f1t c ON c.slice = a.slice JOIN nt n ON n.slice = a.slice),
+prof AS (SELECT *, {_score_sql(name, eps)} AS score FROM prof0)"""
+
+
+def _cof_profile_sql(where: str, items: str, *, size: int = 1, date: str = "true", having: str = "true", name: str = "f", eps: float = 0.0, one_pass: str = "", attributes: str = "l p") -> str:
+    g = items.split()
+    two = ", ".join(f"{c}2 AS {c}" for c in g)
+    narrowed = f"AND EXISTS (SELECT 1 FROM cof c WHERE {one_pass} AND c.date = marg.date AND {where} AND {having} AND {date.replace('date', 'c.date')})" if one_pass else ""
+    return f"""nt AS (SELECT {_slice(size)} AS slice, sum(f1) AS N FROM marg GROUP BY 1),
+f1t AS (SELECT {_slice(size)} AS slice, sum(f1) AS f1 FROM (SELECT * RENAME ({', '.join(f'{c} AS {c}1' for c in attributes.split())}) FROM marg) WHERE {where} AND {date} GROUP BY 1),
+f12t AS (SELECT {_slice(size)} AS slice, {two}, sum(f12) AS f12 FROM cof WHERE {where} AND {having} AND {date} GROUP BY ALL),
+f2t AS (SELECT {_slice(size)} AS slice, {', '.join(g)}, sum(f1) AS f2 FROM marg WHERE {date} {narrowed} GROUP BY ALL),
+{_assembled_sql(items, name, eps)}"""
+
+
+ATTRS = ("l", "p")
+_ROUND = "round(score, 6) + 0.0 AS score"
+
+
+def _final(items: str, k: int | None = None, least: float | None = None, source: str = "prof") -> str:
+    g = ", ".join(items.split())
+    if k is not None:
+        source = f"(SELECT *, row_number() OVER (PARTITION BY slice ORDER BY coalesce(score, 0) DESC, {g}) AS rk FROM {source})"
+    tests = [f"rk <= {k}"] * (k is not None) + [f"coalesce(score, 0) >= {least}"] * (least is not None)
+    return f"SELECT slice, {g}, N, f1, f2, f12, {_ROUND} FROM {source}" + (f" WHERE {' AND '.join(tests)}" if tests else "")
+
+
+# ---------------------------------------------------------------- tables
+
+
+def _b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.basket_tokens(spark, sf_dir)
+
+
+def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.text_tokens(spark, sf_dir)
+
+
+def _cof(tokens: DataFrame, attributes=ATTRS, distance: int = 5, minimum: int = 2, **how) -> tuple[DataFrame, DataFrame]:
+    every = relations.cooccurrences(tokens, attributes, distance, **how)
+    return relations.thresholded(every, minimum), relations.marginals(every, attributes)
+
+
+BASE_B = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p')}"
+BASE_T = f"WITH {TOK_T},\n{_pairs_sql('l')},\n{_cof_sql('l')}"
+
+
+def _build_queries() -> None:
+    _add("tokens_B", lambda s, d: _b(s, d).select("doc_id", "date", "w", "p", "l"), f"WITH {TOK_B} SELECT doc_id, date, w, p, l FROM tok")
+    _add("tokens_T", lambda s, d: _t(s, d).select("doc_id", (F.col("pos") + 1).cast("long").alias("i"), "date", "l", "p"), f"WITH {TOK_T} SELECT doc_id, i, date, l, p FROM tok")
+    chat = r"""SELECT conv_id AS doc_id, turn AS sent_id, CAST(1900 + conv_id % 50 AS INTEGER) AS date, role AS p, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS l FROM conversations"""
+    _add("xf_counts_C", lambda s, d: relations.unigrams(adapters.chat_tokens(s, d), ("l", "p")), f"SELECT l, p, date, count(*) AS f FROM ({chat}) GROUP BY ALL")
+    _add("xf_counts_B", lambda s, d: relations.unigrams(_b(s, d), ATTRS), f"WITH {TOK_B} SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL")
+    _add("cof_pairs_B", lambda s, d: _cof(_b(s, d))[0], f"{BASE_B} SELECT * FROM cof")
+    _add("cof_marginals_B", lambda s, d: _cof(_b(s, d))[1], f"{BASE_B} SELECT * FROM marg")
+    _add("totals_by_year_B", lambda s, d: relations.totals_by_date(_cof(_b(s, d))[1], "f1"), f"{BASE_B} SELECT date, CAST(sum(f1) AS BIGINT) AS n FROM marg GROUP BY date")
+    _add("tdf_matrix_B", lambda s, d: relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4).drop("sent_id"), f"WITH {TOK_B}, {_tdf_sql()} SELECT l, p, doc_id, date, f FROM tdf")
+    _add("tdf_year_B", lambda s, d: relations.term_years(relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4), ATTRS), f"WITH {TOK_B}, {_tdf_sql()} SELECT l, p, date, CAST(sum(f) AS BIGINT) AS f FROM tdf GROUP BY ALL")
+    _add("attr_freq_filter_T", lambda s, d: relations.unigrams(corpus.frequent(_t(s, d), ("l",), 5), ("l",)), f"WITH {TOK_T}, often AS (SELECT l FROM tok GROUP BY l HAVING count(*) >= 5) SELECT l, date, count(*) AS f FROM tok WHERE l IN (SELECT l FROM often) GROUP BY ALL")
+    _add(
+        "tuple_filter_B", lambda s, d: relations.unigrams(corpus.frequent(_b(s, d), ("w", "p"), 300, {"w": 850}), ("w", "p")),
+        f"WITH {TOK_B}, tu AS (SELECT w, p FROM tok GROUP BY w, p HAVING count(*) >= 300), wo AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= 850), po AS (SELECT p FROM tok GROUP BY p HAVING count(*) >= 300) "
+        "SELECT w, p, date, count(*) AS f FROM tok WHERE (w, p) IN (SELECT w, p FROM tu) AND w IN (SELECT w FROM wo) AND p IN (SELECT p FROM po) GROUP BY ALL",
+    )
+    _add("stoplist_filter_T", lambda s, d: corpus.listed(_t(s, d), "l", ["the", "of", "and", "de"], keep=False).groupBy("l").agg(F.count("*").alias("f")), f"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE l NOT IN ('the', 'of', 'and', 'de') GROUP BY l")
+    _add("golist_filter_T", lambda s, d: corpus.listed(_t(s, d), "l", ["the", "of", "and", "de"]).groupBy("l").agg(F.count("*").alias("f")), f"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE l IN ('the', 'of', 'and', 'de') GROUP BY l")
+    _add("regex_filter_T", lambda s, d: corpus.matching(_t(s, d), {"l": "^[[:alpha:]]{3,}$"}, {"l": "^th"}).groupBy("l").agg(F.count("*").alias("f")), rf"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE regexp_matches(l, '^\p{{L}}{{3,}}$') AND NOT regexp_matches(l, '^th') GROUP BY l")
+    _add("sample_T", lambda s, d: corpus.sample(_t(s, d).select("doc_id", "pos", "l"), 50, 7, "doc_id", "pos").agg(F.count("*").alias("n")), f"WITH {TOK_T} SELECT least(50, count(*)) AS n FROM tok")
+
+
+def _tdf_sql(attributes: str = "l p", least: int = 1, document_min: int = 4) -> str:
+    a = ", ".join(attributes.split())
+    on = " AND ".join(f"t.{c} = k.{c}" for c in attributes.split())
+    return f"""sized AS (SELECT doc_id FROM tok GROUP BY doc_id HAVING count(*) > {least}),
+tdf0 AS (SELECT {a}, doc_id, date, count(*) AS f FROM tok WHERE doc_id IN (SELECT doc_id FROM sized) GROUP BY ALL),
+kept AS (SELECT {a} FROM tdf0 GROUP BY ALL HAVING count(*) >= {document_min}), tdf AS (SELECT t.* FROM tdf0 t JOIN kept k ON {on})"""
+
+
+def _profile_queries() -> None:
+    def xf(name: str, where, having, items: str, sql_where: str, size: int, sql_having: str = "true") -> None:
+        sql = f"""WITH {TOK_B}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL),
+nt AS (SELECT {_slice(size)} AS slice, sum(f) AS N FROM xf GROUP BY 1), f1t AS (SELECT {_slice(size)} AS slice, sum(f) AS f1 FROM xf WHERE {sql_where} GROUP BY 1),
+f12t AS (SELECT {_slice(size)} AS slice, {', '.join(items.split())}, sum(f) AS f12, sum(f) AS f2 FROM xf WHERE {sql_where} AND {sql_having} GROUP BY ALL), {_assembled_sql(items, 'fm', 0.0, f2=False)} {_final(items)}"""
+        _add(name, lambda s, d: profiles.unigram_profile(relations.unigrams(_b(s, d), ATTRS), where, items.split(), size=size, having=having, name="fm"), sql)
+
+    xf("xf_slice1_B", {"p": "PROMO"}, None, "l", "p = 'PROMO'", 1)
+    xf("xf_slice3_B", {"p": P.any_of(["PROMO", "SMALL"])}, {"l": P.prefix("Brand#1")}, "l p", "p IN ('PROMO', 'SMALL')", 3, "starts_with(l, 'Brand#1')")
+
+    def cof(name: str, where, items: str, sql_where: str, *, k: int | None = None, least: float | None = None, score: str = "ld", size: int = 1, sql_one_pass: str = "", sql_date: str = "true", sql_having: str = "true", eps: float = 0.0, **how) -> None:
+        sql = f"{BASE_B},\n{_cof_profile_sql(sql_where, items, size=size, date=sql_date, having=sql_having, name=score, eps=eps, one_pass=sql_one_pass)} {_final(items, k, least)}"
+
+        def make(s: SparkSession, d: str) -> DataFrame:
+            out = profiles.cof_profile(*_cof(_b(s, d)), where, items.split(), size=size, name=score, eps=eps, **how)
+            out = out if least is None else trim.cut_off(out, least)
+            return out if k is None else trim.best(out, items.split(), k)
+
+        _add(name, make, sql)
+
+    one, sql_one = {"l": "Brand#11"}, "l1 = 'Brand#11'"
+    cof("cof_slice2_B", one, "l", sql_one, size=2)
+    cof("cof_two_pass_f2_B", one, "p", sql_one, size=0)
+    cof("cof_onepass_f2_B", one, "l", sql_one, size=0, one_pass=True, sql_one_pass="c.l2 = marg.l AND c.p2 = marg.p")
+    cof("cof_having_B", one, "l", sql_one, size=3, having={"p": "PROMO"}, sql_having="p2 = 'PROMO'")
+    cof("cof_multi_attr_groupby_B", one, "l p", sql_one, size=0)
+    cof("cof_date_range_B", one, "l", sql_one, size=1, date="1996:1998", sql_date="date BETWEEN 1996 AND 1998")
+    cof("cof_date_open_B", one, "l", sql_one, size=0, date="1998-*", sql_date="date >= 1998")
+    cof("cof_date_list_B", one, "l", sql_one, size=1, date="1995, 1997|2000", sql_date="date IN (1995, 1997, 2000)")
+    cof("cof_date_regex_B", one, "l", sql_one, size=1, date="/[68]$/", sql_date="regexp_matches(CAST(date AS VARCHAR), '[68]$')")
+    cof("target_set", {"l": P.any_of(["Brand#11", "Brand#7"])}, "l", "l1 IN ('Brand#11', 'Brand#7')", size=0)
+    cof("target_regex", {"l": P.regex("^brand#[12]$", "i")}, "l", "regexp_matches(l1, '(?i)^brand#[12]$')", size=0)
+    cof("target_regex_whole", {"l": P.regex("Brand#.", "g")}, "l", "regexp_matches(l1, '^(?:Brand#.)$')", size=0)
+    cof("target_prefix", {"l": P.prefix("Brand#1")}, "l", "starts_with(l1, 'Brand#1')", size=0)
+    cof("target_suffix", {"l": P.suffix(["3", "5"])}, "l", "(l1 LIKE '%3' OR l1 LIKE '%5')", size=0)
+    cof("target_infix", {"l": P.infix("#2")}, "l", "contains(l1, '#2')", size=0)
+    cof("target_negated", {"l": P.negated(P.prefix("Brand#1")), "p": "SMALL"}, "l", "NOT starts_with(l1, 'Brand#1') AND p1 = 'SMALL'", size=0)
+    cof("target_with_pos", {"l": "Brand#11", "p": "SMALL"}, "l", "l1 = 'Brand#11' AND p1 = 'SMALL'", size=0)
+    for score in ("f", "fm", "lf", "lfm", "milf", "mi1", "mi3", "ld", "ll"):
+        cof(f"score_{score}", one, "l", sql_one, size=2, score=score)
+        cof(f"score_{score}_eps", one, "l", sql_one, size=2, score=score, eps=0.5)
+    cof("kbest_local", one, "l", sql_one, size=1, k=5)
+    cof("cutoff", one, "l", sql_one, size=2, least=9.0)
+    _add(
+        "cof_global_T", lambda s, d: trim.best(profiles.cof_profile(*_cof(_t(s, d), ("l",)), {"l": "the"}, ["l"], size=0, name="ld"), ["l"], 10),
+        f"{BASE_T},\n{_cof_profile_sql("l1 = 'the'", 'l', size=0, name='ld', attributes='l')} {_final('l', 10)}",
+    )
+    fill_base = f"WITH {TOK_E},\n{_pairs_sql('l', key='doc_id day')},\n{_cof_sql('l', 30)}"
+
+    def fill(s: SparkSession, d: str) -> DataFrame:
+        pairs, margin = _cof(adapters.event_tokens(s, d), ("l",), minimum=30)
+        found = profiles.cof_profile(pairs, margin, {"l": "error"}, ["l"], size=1, name="ld")
+        return profiles.filled(found, profiles.slice_totals(relations.totals_by_date(margin, "f1"), 1), ["l"])
+
+    filled = "SELECT n.slice AS slice, CAST(NULL AS VARCHAR) AS l, CAST(n.N AS BIGINT) AS N, CAST(0 AS BIGINT) AS f1, CAST(0 AS BIGINT) AS f2, CAST(0 AS BIGINT) AS f12, CAST(NULL AS DOUBLE) AS score FROM nt n WHERE n.slice NOT IN (SELECT slice FROM prof)"
+    _add("cof_fill_E", fill, f"{fill_base},\n{_cof_profile_sql("l1 = 'error'", 'l', name='ld', attributes='l')} {_final('l')} UNION ALL {filled}")
+
+    overall = f"""tops AS (SELECT l FROM (SELECT l, {_score_sql('ld')} AS score FROM (SELECT l, sum(f12) AS f12, sum(f2) AS f2, any_value(t.N) AS N, any_value(t.f1) AS f1 FROM prof, (SELECT sum(N) AS N, sum(f1) AS f1 FROM (SELECT DISTINCT slice, N, f1 FROM prof)) t GROUP BY l)) ORDER BY coalesce(score, 0) DESC, l LIMIT 5),
+grid AS (SELECT t.l AS l, s.* FROM tops t CROSS JOIN (SELECT DISTINCT slice, N, f1 FROM prof) s),
+done AS (SELECT g.slice AS slice, g.l AS l, g.N AS N, g.f1 AS f1, coalesce(p.f2, 0) AS f2, coalesce(p.f12, 0) AS f12, coalesce(p.score, 0) AS score FROM grid g LEFT JOIN prof p ON p.slice = g.slice AND p.l = g.l)"""
+    _add("kbest_global", lambda s, d: trim.best_overall(profiles.cof_profile(*_cof(_b(s, d)), one, ["l"], size=1, name="ld"), ["l"], 5, "ld"), f"{BASE_B},\n{_cof_profile_sql(sql_one, 'l', name='ld')},\n{overall} {_final('l', source='done')}")
+
+
+_DIFF_SQL = {
+    "adiff": "a - b", "diff": "a - b", "sum": "a + b", "min": "least(a, b)", "max": "greatest(a, b)", "avg": "(a + b) / 2",
+    "havg": "((CASE WHEN a <= 0 OR b <= 0 THEN 0 ELSE 2 * a * b / nullif(a + b, 0) END) + (a + b) / 2) / 2",
+    "gavg": "(sign(a * b) * sqrt(abs(a * b)) + (a + b) / 2) / 2",
+    "lavg": "exp((ln(a + greatest(0, 1 - least(a, b))) + ln(b + greatest(0, 1 - least(a, b)))) / 2) - greatest(0, 1 - least(a, b))",
+}
+_SIDES = ", ".join(f"coalesce({s}.{c}, 0) AS {s}_{c}" for s in "ab" for c in COUNTS)
+
+
+def _diff_sql(op: str, k: int, key: str = "slice") -> str:
+    how = "JOIN" if op in ("min", "avg", "havg", "gavg", "lavg") else "FULL OUTER JOIN"
+    union = op in ("adiff", "diff", "max")
+    rank = "abs(diff)" if op == "adiff" else "diff"
+    ranked = lambda t: f"(SELECT *, row_number() OVER (PARTITION BY slice ORDER BY coalesce(score, 0) DESC, l) AS rk FROM {t})"
+    return f"""met AS (SELECT coalesce(a.slice, b.slice) AS slice, coalesce(a.l, b.l) AS l, {_SIDES}, coalesce(a.score, 0.0) AS a_score, coalesce(b.score, 0.0) AS b_score, a.rk AS ra, b.rk AS rb
+  FROM {ranked('pa')} a {how} {ranked('pb')} b ON a.slice = b.slice AND a.l = b.l),
+compared AS (SELECT *, {_named(_DIFF_SQL[op])} AS diff FROM met {f'WHERE ra <= {k} OR rb <= {k}' if union else ''})
+SELECT slice, l, {', '.join(f'{s}_{c}' for s in 'ab' for c in COUNTS)}, round(a_score, 6) + 0.0 AS a_score, round(b_score, 6) + 0.0 AS b_score, round(diff, 6) + 0.0 AS diff
+FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY coalesce({rank}, 0) DESC, l) AS rk FROM compared) WHERE rk <= {k}"""
+
+
+def _named(formula: str) -> str:
+    return re.sub(r"\b([ab])\b", r"\1_score", formula)
+
+
+def _two_profiles_sql(a: str, b: str, size: int, date_a: str = "true", date_b: str = "true") -> str:
+    """Two profiles as pa and pb."""
+    parts = []
+    for side, where, date in (("a", a, date_a), ("b", b, date_b)):
+        sql = _cof_profile_sql(where, "l", size=size, name="ld", date=date)
+        for t in ("nt", "f1t", "f12t", "f2t", "prof0", "prof"):
+            sql = re.sub(rf"\b{t}\b", f"{t}_{side}", sql)
+        parts.append(f"{sql},\np{side} AS (SELECT * FROM prof_{side})")
+    return ",\n".join(parts)
+
+
+def _compare_queries() -> None:
+    a, b = {"l": "Brand#11"}, {"l": "Brand#7"}
+
+    def sides(s: SparkSession, d: str, size: int, x=a, y=b, **dates) -> tuple[DataFrame, DataFrame]:
+        tables = _cof(_b(s, d))
+        return tuple(profiles.cof_profile(*tables, w, ["l"], size=size, name="ld", date=dates.get(n)) for w, n in ((x, "a"), (y, "b")))
+
+    two = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#7'", 2)
+    for op in _DIFF_SQL:
+        _add(f"diff_{op}", lambda s, d, op=op: compare.compared(*sides(s, d, 2), ["l"], op, 8), f"{BASE_B},\n{two},\n{_diff_sql(op, 8)}")
+    early_late = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#11'", 0, "date BETWEEN 1995 AND 1997", "date BETWEEN 1998 AND 2001")
+    _add("diff_dates", lambda s, d: compare.compared(*sides(s, d, 0, a, a, a="1995:1997", b="1998:2001"), ["l"], "adiff", 10), f"{BASE_B},\n{early_late},\n{_diff_sql('adiff', 10)}")
+
+    def one_to_many(s: SparkSession, d: str) -> DataFrame:
+        tables = _cof(_b(s, d))
+        whole = profiles.cof_profile(*tables, a, ["l"], size=0, name="ld")
+        return compare.compared(profiles.cof_profile(*tables, a, ["l"], size=3, name="ld"), whole, ["l"], "diff", 5, align=True)
+
+    split = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#11'", 3).replace("pb AS (SELECT * FROM prof_b)", "")
+    whole = _cof_profile_sql("l1 = 'Brand#11'", "l", size=0, name="ld")
+    for t in ("nt", "f1t", "f12t", "f2t", "prof0", "prof"):
+        whole = re.sub(rf"\b{t}\b", f"{t}_w", whole)
+    first = split.split(",\nnt_b AS")[0]
+    spread = "pb AS (SELECT s.slice AS slice, w.* EXCLUDE (slice) FROM prof_w w CROSS JOIN (SELECT DISTINCT slice FROM pa) s)"
+    _add("diff_broadcast_slice", one_to_many, f"{BASE_B},\n{first},\n{whole},\n{spread},\n{_diff_sql('diff', 5)}")
+
+    def overall(s: SparkSession, d: str) -> DataFrame:
+        return compare.compared_overall(*sides(s, d, 3), ["l"], "adiff", 4, "ld")
+
+    def summed(p: str) -> str:
+        return f"(SELECT 0 AS slice, l, N, f1, f2, f12, {_score_sql('ld')} AS score FROM (SELECT l, any_value(t.N) AS N, any_value(t.f1) AS f1, sum(f2) AS f2, sum(f12) AS f12 FROM {p}, (SELECT sum(N) AS N, sum(f1) AS f1 FROM (SELECT DISTINCT slice, N, f1 FROM {p})) t GROUP BY l))"
+
+    three = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#7'", 3)
+    chosen = _diff_sql("adiff", 4).replace("met AS", "met0 AS").replace("FROM met ", "FROM met0 ").replace("compared AS", "compared0 AS").replace("FROM compared)", "FROM compared0)").replace("FROM pa)", f"FROM {summed('pa')})").replace("FROM pb)", f"FROM {summed('pb')})")
+    head, tail = chosen.split("\nSELECT slice", 1)
+    _add("diff_global_adiff", overall, f"{BASE_B},\n{three},\n{head},\nchosen AS (SELECT slice{tail}),\n" + _diff_sql("adiff", 1 << 30).replace("WHERE ra <= 1073741824 OR rb <= 1073741824", "") + " AND l IN (SELECT l FROM chosen)")
+
+
+def _document_queries() -> None:
+    def matrix(s: SparkSession, d: str) -> documents.Matrix:
+        return documents.Matrix(relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4).select("l", "p", "doc_id", "date", "f"), adapters.basket_docs(s, d), ATTRS)
+
+    base = f"WITH {TOK_B}, {DOC_B}, {_tdf_sql()}"
+    holds = lambda c: f"doc_id IN (SELECT doc_id FROM tdf WHERE {c})"
+
+    def sql(terms: str, in_docs: str, items: str, size: int = 0, date: str = "true", having: str = "true") -> str:
+        g = items.split()
+        by_term, by_meta = [c for c in g if c in ATTRS], [c for c in g if c not in ATTRS]
+        names, sl = ", ".join(g), _slice(size)
+        q = f"q AS (SELECT doc_id, date, sum(f) AS q FROM tdf WHERE ({terms}) AND ({in_docs}) AND {date} GROUP BY ALL)"
+        if not by_meta:
+            f12 = f"SELECT {sl} AS slice, {names}, sum(least(q, g)) AS f12 FROM (SELECT doc_id, {names}, sum(f) AS g FROM tdf WHERE {date} AND {having} GROUP BY ALL) JOIN q USING (doc_id) GROUP BY ALL"
+            f2 = f"SELECT {sl} AS slice, {names}, sum(f) AS f2 FROM tdf WHERE {date} AND {having} GROUP BY ALL"
+        elif not by_term:
+            f12 = f"SELECT {sl} AS slice, {names}, sum(q) AS f12 FROM q JOIN docs USING (doc_id) WHERE {having} GROUP BY ALL"
+            f2 = f"SELECT {sl} AS slice, {names}, sum(f) AS f2 FROM tdf JOIN docs USING (doc_id) WHERE {having} GROUP BY ALL"
+        else:
+            f12 = f"SELECT {sl} AS slice, {names}, sum(least(q, f)) AS f12 FROM tdf JOIN q USING (doc_id, date) JOIN docs USING (doc_id) WHERE {having} GROUP BY ALL"
+            f2 = f"SELECT {sl} AS slice, {names}, sum(f) AS f2 FROM tdf JOIN docs USING (doc_id) WHERE {date} AND {having} GROUP BY ALL"
+        return f"{base}, {q}, nt AS (SELECT {sl} AS slice, sum(f) AS N FROM tdf GROUP BY 1), f1t AS (SELECT {sl} AS slice, sum(q) AS f1 FROM q GROUP BY 1), f12t AS ({f12}), f2t AS ({f2}), {_assembled_sql(items, 'll', 0.0)} {_final(items)}"
+
+    def add(name: str, query, terms: str, in_docs: str, items: str, **how) -> None:
+        sql_how = {k[4:]: how.pop(k) for k in list(how) if k.startswith("sql_")}
+        _add(name, lambda s, d: documents.tdf_profile(query(matrix(s, d)), items.split(), name="ll", **how), sql(terms, in_docs, items, size=how.get("size", 0), **sql_how))
+
+    t = documents.terms
+    x, y, sx, sy = {"l": "Brand#11"}, {"p": "PROMO"}, "l = 'Brand#11'", "p = 'PROMO'"
+    add("tdf_terms_B", lambda m: t(m, x), sx, "true", "l", size=2)
+    add("tdf_terms_date_B", lambda m: t(m, x), sx, "true", "l", date="1996:1999", sql_date="date BETWEEN 1996 AND 1999")
+    add("tdf_meta_B", lambda m: t(m, x), sx, "true", "segment", size=3)
+    add("tdf_mixed_B", lambda m: t(m, x), sx, "true", "l segment")
+    add("tdf_having_B", lambda m: t(m, x), sx, "true", "l segment", having={"p": "SMALL", "segment": "BUILDING"}, sql_having="p = 'SMALL' AND segment = 'BUILDING'")
+    add("tdf_with", lambda m: t(m, x).with_(t(m, y)), f"{sx} AND {sy}", "true", "l")
+    add("tdf_without", lambda m: t(m, x).without(t(m, y)), f"{sx} AND NOT {sy}", "true", "l")
+    add("tdf_and", lambda m: t(m, x).and_(t(m, {"l": "Brand#7"})), f"{sx} OR l = 'Brand#7'", f"{holds(sx)} AND {holds('l = ' + repr('Brand#7'))}", "l")
+    add("tdf_or", lambda m: t(m, x).or_(t(m, y)), f"{sx} OR {sy}", "true", "l")
+    add("tdf_negated", lambda m: t(m, x).negated(), f"NOT {sx}", "true", "segment")
+    add("tdf_meta_filter", lambda m: t(m, x).in_documents({"segment": "BUILDING", "priority": P.regex("^[12]")}), sx, "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING' AND regexp_matches(priority, '^[12]'))", "l")
+    add("tdf_doc_only", lambda m: documents.Query(m).in_documents({"nation": P.infix("A")}), "true", "doc_id IN (SELECT doc_id FROM docs WHERE contains(nation, 'A'))", "l")
+
+
+def _other_queries() -> None:
+    def near(name: str, distance: int, adjacent: bool, minimum: int) -> None:
+        coef, gap = (1, "gap = 1") if adjacent else (2 * distance, f"abs(gap) <= {distance}")
+        sql = f"""WITH {TOK_B}, {_pairs_sql('l p', distance)}, f12t AS (SELECT {_slice(3)} AS slice, l2 AS l, count(*) AS f12 FROM pr WHERE l1 = 'Brand#11' AND {gap} GROUP BY ALL HAVING count(*) >= {minimum}),
+f2t AS (SELECT {_slice(3)} AS slice, l, {coef} * count(*) AS f2 FROM tok GROUP BY ALL), f1t AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS f1 FROM tok WHERE l = 'Brand#11' GROUP BY 1),
+nt AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS N FROM tok GROUP BY 1), {_assembled_sql('l', 'ld', 0.0)} {_final('l')}"""
+
+        def make(s: SparkSession, d: str) -> DataFrame:
+            tokens = _b(s, d)
+            return profiles.near_profile(relations.pairs(tokens, ATTRS, distance), tokens, {"l": "Brand#11"}, ["l"], size=3, distance=distance, adjacent=adjacent, minimum=minimum, name="ld")
+
+        _add(name, make, sql)
+
+    near("near_dist2", 2, False, 1)
+    near("phrase_adjacent", 1, True, 1)
+    near("near_fmin", 3, False, 8)
+
+    def halves(s: SparkSession, d: str) -> list[DataFrame]:
+        return [_b(s, d).filter(F.col("doc_id") % 2 == k) for k in (0, 1)]
+
+    _add("union_xf", lambda s, d: merge.union_unigrams([relations.unigrams(h, ATTRS) for h in halves(s, d)], ATTRS), _SQL["xf_counts_B"])
+    both = f"WITH {TOK_B}, {_pairs_sql('l p')}, parts AS (SELECT l1, p1, date, l2, p2, doc_id % 2 AS h, count(*) AS f12 FROM pr GROUP BY ALL HAVING count(*) >= 2)"
+    _add("union_cof", lambda s, d: merge.union_cooccurrences([_cof(h)[0] for h in halves(s, d)], ATTRS, 3), f"{both} SELECT l1, p1, date, l2, p2, CAST(sum(f12) AS BIGINT) AS f12 FROM parts GROUP BY ALL HAVING sum(f12) >= 3")
+    _add("union_marginals", lambda s, d: merge.union_marginals([_cof(h)[1] for h in halves(s, d)], ATTRS), _SQL["cof_marginals_B"])
+
+    def shards(s: SparkSession, d: str) -> DataFrame:
+        parts = [profiles.cof_profile(*_cof(h, minimum=1), {"l": "Brand#11"}, ["l"], size=2) for h in halves(s, d)]
+        return profiles.summed(parts, ["l"], "ld")
+
+    every = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p', 1)}"
+    _add("shards_profile", shards, f"{every},\n{_cof_profile_sql('l1 = ' + repr('Brand#11'), 'l', size=2, name='ld')} {_final('l')}")
+
+    def extended(s: SparkSession, d: str) -> DataFrame:
+        tables = _cof(_b(s, d), minimum=20)
+        keys = s.createDataFrame([(y, f"Brand#{n}") for y in (1996, 1998) for n in (1, 11, 19)], "slice int, l string")
+        return profiles.cof_profile(*tables, {"l": "Brand#11"}, ["l"], size=2, name="ld", keys=keys)
+
+    twenty = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p', 20)}"
+    asked = _cof_profile_sql("l1 = 'Brand#11'", "l", size=2, name="ld").replace("f12t AS (", "f12s AS (")
+    cut = asked.index("f2t AS (")
+    keyed = "f12t AS (SELECT k.slice AS slice, k.l AS l, coalesce(s.f12, 0) AS f12 FROM (SELECT CAST(y AS INTEGER) AS slice, 'Brand#' || n AS l FROM (SELECT unnest([1996, 1998]) AS y), (SELECT unnest([1, 11, 19]) AS n)) k LEFT JOIN f12s s ON s.slice = k.slice AND s.l = k.l),\n"
+    _add("extend_missing_keys", extended, f"{twenty},\n{asked[:cut]}{keyed}{asked[cut:]} {_final('l')}")
+
+    def keys_lacking(s: SparkSession, d: str) -> DataFrame:
+        parts = {str(k): profiles.cof_profile(*_cof(h, minimum=6), {"l": "Brand#11"}, ["l"], size=1) for k, h in enumerate(halves(s, d))}
+        return profiles.missing_keys(parts, ["l"])
+
+    lacking = f"WITH {TOK_B}, {_pairs_sql('l p')}, parts AS (SELECT l1, p1, date, l2, p2, doc_id % 2 AS h, count(*) AS f12 FROM pr GROUP BY ALL HAVING count(*) >= 6), held AS (SELECT DISTINCT CAST(h AS VARCHAR) AS shard, date AS slice, l2 AS l FROM parts WHERE l1 = 'Brand#11')"
+    _add("missing_keys", keys_lacking, f"{lacking} SELECT s.shard AS shard, k.slice AS slice, k.l AS l FROM (SELECT DISTINCT slice, l FROM held) k CROSS JOIN (SELECT unnest(['0', '1']) AS shard) s WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.shard = s.shard AND h.slice = k.slice AND h.l = k.l)")
+    ids = lambda s, d, c: _b(s, d).filter(c).select("doc_id")
+    _add("set_intersection", lambda s, d: merge.common(ids(s, d, "l = 'Brand#11'"), ids(s, d, "p = 'PROMO'")), f"WITH {TOK_B} SELECT doc_id FROM tok WHERE l = 'Brand#11' INTERSECT SELECT doc_id FROM tok WHERE p = 'PROMO'")
+    _add("set_union", lambda s, d: merge.either(ids(s, d, "l = 'Brand#11'"), ids(s, d, "p = 'PROMO'")), f"WITH {TOK_B} SELECT doc_id FROM tok WHERE l = 'Brand#11' UNION SELECT doc_id FROM tok WHERE p = 'PROMO'")
+    _add("set_complement", lambda s, d: merge.other_than(ids(s, d, "true"), ids(s, d, "p = 'PROMO'")), f"WITH {TOK_B} SELECT doc_id FROM tok EXCEPT SELECT doc_id FROM tok WHERE p = 'PROMO'")
+    union_info = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, min(date) AS first, max(date) AS last, CAST(sum({v}) AS BIGINT) AS total FROM {t}" for n, v, t in (("xf", "f", "xf"), ("cof", "f12", "cof"), ("marginal", "f1", "marg"), ("tdf", "f", "tdf")))
+
+    def info_of(s: SparkSession, d: str) -> DataFrame:
+        from .plans.database import create
+
+        return create(_b(s, d), adapters.basket_docs(s, d), ATTRS, tuple_min=1, segment_least=1).info()
+
+    _add("database_info", info_of, f"{BASE_B}, {_tdf_sql()}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL) {union_info}")
+
+    def daily(s: SparkSession, d: str) -> DataFrame:
+        from .streaming.unigrams import counts
+
+        return counts(s.read.parquet(f"{d}/events.parquet"), "ts", ["event_type"])
+
+    _add("stream_unigram_daily", daily, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS f FROM events GROUP BY ALL")
+
+
+_build_queries()
+_profile_queries()
+_compare_queries()
+_document_queries()
+_other_queries()
+
+
+def queries() -> dict[str, Make]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
