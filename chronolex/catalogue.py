@@ -107,11 +107,11 @@ prof AS (SELECT *, {_score_sql(name, eps)} AS score FROM prof0)"""
 def _cof_profile_sql(where: str, items: str, *, size: int = 1, date: str = "true", having: str = "true", name: str = "f", eps: float = 0.0, one_pass: str = "", attributes: str = "l p") -> str:
     g = items.split()
     two = ", ".join(f"{c}2 AS {c}" for c in g)
-    narrowed = f"AND EXISTS (SELECT 1 FROM cof c WHERE {one_pass} AND c.date = marg.date AND {where} AND {having} AND {date.replace('date', 'c.date')})" if one_pass else ""
+    narrowed = f"AND EXISTS (SELECT 1 FROM cof c WHERE {one_pass} AND c.date = m.date AND {where} AND {having} AND {date.replace('date', 'c.date')})" if one_pass else ""
     return f"""nt AS (SELECT {_slice(size)} AS slice, sum(f1) AS N FROM marg GROUP BY 1),
 f1t AS (SELECT {_slice(size)} AS slice, sum(f1) AS f1 FROM (SELECT * RENAME ({', '.join(f'{c} AS {c}1' for c in attributes.split())}) FROM marg) WHERE {where} AND {date} GROUP BY 1),
 f12t AS (SELECT {_slice(size)} AS slice, {two}, sum(f12) AS f12 FROM cof WHERE {where} AND {having} AND {date} GROUP BY ALL),
-f2t AS (SELECT {_slice(size)} AS slice, {', '.join(g)}, sum(f1) AS f2 FROM marg WHERE {date} {narrowed} GROUP BY ALL),
+f2t AS (SELECT {_slice(size)} AS slice, {two}, sum(f1) AS f2 FROM (SELECT * RENAME ({', '.join(f'{c} AS {c}2' for c in attributes.split())}) FROM marg) m WHERE {having} AND {date} {narrowed} GROUP BY ALL),
 {_assembled_sql(items, name, eps)}"""
 
 
@@ -201,7 +201,7 @@ f12t AS (SELECT {_slice(size)} AS slice, {', '.join(items.split())}, sum(f) AS f
     one, sql_one = {"l": "Brand#11"}, "l1 = 'Brand#11'"
     cof("cof_slice2_B", one, "l", sql_one, size=2)
     cof("cof_two_pass_f2_B", one, "p", sql_one, size=0)
-    cof("cof_onepass_f2_B", one, "l", sql_one, size=0, one_pass=True, sql_one_pass="c.l2 = marg.l AND c.p2 = marg.p")
+    cof("cof_onepass_f2_B", one, "l", sql_one, size=0, one_pass=True, sql_one_pass="c.l2 = m.l2 AND c.p2 = m.p2")
     cof("cof_having_B", one, "l", sql_one, size=3, having={"p": "PROMO"}, sql_having="p2 = 'PROMO'")
     cof("cof_multi_attr_groupby_B", one, "l p", sql_one, size=0)
     cof("cof_date_range_B", one, "l", sql_one, size=1, date="1996:1998", sql_date="date BETWEEN 1996 AND 1998")

@@ -47,7 +47,7 @@ def cof_profile(
     cof: DataFrame, marginal: DataFrame, where: Where, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None,
     name: str = "f", eps: float = 0.0, one_pass: bool = False, keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Items that co-occur with the target. having restricts items and leaves f1 alone; keys (slice and group_by) is a set that alone is told, with
+    """Items that co-occur with the target. having restricts items, in f12 and f2, and leaves f1 alone; keys (slice and group_by) is a set that alone is told, with
     f12 = 0 where it doesn't co-occur. f2 sums the marginals of all tuples that give an item, or, one_pass, of those that co-occur with the target."""
     in_time = dates(date)(F.col("date"))
     items = list(group_by)
@@ -58,7 +58,7 @@ def cof_profile(
     f12 = hits.groupBy("slice", *renamed).agg(F.sum("f12").alias("f12"))
     if keys is not None:
         f12 = keys.select("slice", *items).distinct().join(f12, ["slice", *items], "left").fillna(0, ["f12"])
-    sums = marginal.filter(in_time)
+    sums = marginal.filter(all_of(having) & in_time)
     if one_pass:
         attributes = [c for c in marginal.columns if c not in ("date", "f1")]
         sums = sums.join(hits.select(*(F.col(f"{a}2").alias(a) for a in attributes), "date").distinct(), [*attributes, "date"], "left_semi")
