@@ -3,7 +3,8 @@
 Each document is a set of five-word shingles. Equal sets fall together by a digest, and one document stands for each. Its MinHash signature
 is written in TREES orders; in each order all documents are sorted, and a document's candidates are those that follow it with a common
 prefix of LEAST_DEPTH values or more, the nearest first. So the depth that a candidate must share adapts to the region: where many documents
-share a short prefix, the next ones in order share a longer one. A comparison of whole signatures drops candidates that can't be links.
+share a short prefix, the next ones in order share a longer one. In regions of several depths the document that most others share values with, as a
+model does with its copies, is a candidate of all. A comparison of whole signatures drops candidates that can't be links.
 
 Links are confirmed on full sets: the two likeliest candidates of each document first, then all whose documents are still in different
 components, so that every candidate is either confirmed, refuted or within a component. Components come from repeated contraction
@@ -19,6 +20,7 @@ doc_id never stands for others unless alone; an empty table gives no rows; extra
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ WORDS = 5
 TREES, DEPTH, LEAST_DEPTH = 16, 12, 4
 #: Followers in order that a document is compared with, in each order.
 FOLLOWERS = 4
+#: Documents that share so many values are a run, if there are enough; the depths of regions that each have a most popular document.
+RUN_DEPTH, LEAST_RUN, HUB_DEPTHS = 6, 3, (4, 6, 9, 12)
 #: Share of equal signature values under which a pair isn't confirmed: of 192 values a link's share has a deviation of 0.026.
 LEAST_SHARE = 0.70
 #: Links: LINK[0] * intersection >= LINK[1] * union.
@@ -101,8 +105,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], schema=_SIGNED)
 
 
-_PAIRS = "a long, b long, depth int, part int, head boolean, place int, tree int, value binary, doc long"
-_PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32()), ("part", pa.int32()), ("head", pa.bool_()), ("place", pa.int32()), ("tree", pa.int32()), ("value", pa.binary()), ("doc", pa.int64())])
+_WALK = "kind int, a long, b long, part int, head boolean, tree int, value binary, n long"
+_WALK_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("tree", pa.int32()), ("value", pa.binary()), ("n", pa.int64())])
+_PAIR, _EDGE, _RUN = range(3)
 
 
 def _depth(a: bytes, b: bytes) -> int:
@@ -113,51 +118,88 @@ def _depth(a: bytes, b: bytes) -> int:
     return len(a) // 2
 
 
-def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents in sorted order within FOLLOWERS places of each other that share LEAST_DEPTH values; and, for what stands on
-    either side of the next partition's edge, its first and last rows."""
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a walk along the sorted orders finds: pairs (a, b) of a document and one at most FOLLOWERS places before it that shares LEAST_DEPTH
+    values; the first and last rows of each partition, for the pairs that its edges part; and, for documents that share RUN_DEPTH values with
+    others, how many do. A run's ids are held until it ends, at most those of a partition."""
     from pyspark import TaskContext
 
-    part, n, held, out = TaskContext.get().partitionId(), 0, [], []
+    part, n, held, run, run_key = TaskContext.get().partitionId(), 0, [], array("q"), None
+    out: dict[str, list] = {c: [] for c in _WALK_ARROW.names}
 
-    def edge(to: int, head: bool, place: int, row: tuple) -> dict:
-        return {"part": to, "head": head, "place": place, "tree": row[0], "value": row[1], "doc": row[2]}
+    def add(**row) -> None:
+        for c, values in out.items():
+            values.append(row.get(c))
+
+    def taken() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_pydict(out, schema=_WALK_ARROW)
+        for values in out.values():
+            values.clear()
+        return batch
+
+    def run_over() -> None:
+        if len(run) >= LEAST_RUN:
+            for doc in run:
+                add(kind=_RUN, a=doc, n=len(run))
+        del run[:]
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "value", "doc")), strict=True):
+            tree, value, doc = row
+            if run_key != (tree, value[: 2 * RUN_DEPTH]):
+                run_over()
+                run_key = tree, value[: 2 * RUN_DEPTH]
+            run.append(doc)
             for other in reversed(held):
-                if other[0] != row[0] or (depth := _depth(other[1], row[1])) < LEAST_DEPTH:
+                if other[0] != tree or _depth(other[1], value) < LEAST_DEPTH:
                     break
-                out.append({"a": min(other[2], row[2]), "b": max(other[2], row[2]), "depth": depth})
+                add(kind=_PAIR, a=doc, b=other[2])
             if n < FOLLOWERS:
-                out.append(edge(part, True, n, row))
-            held = [*held[1 - FOLLOWERS :], row] if FOLLOWERS > 1 else [row]
+                add(kind=_EDGE, part=part, head=True, tree=tree, value=value, a=doc)
+            held = [*held[1 - FOLLOWERS :], row] if len(held) >= FOLLOWERS else [*held, row]
             n += 1
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_pylist(out, schema=_PAIRS_ARROW)
-                out = []
-    out += [edge(part + 1, False, k, row) for k, row in enumerate(held)]
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_PAIRS_ARROW)
+            if len(out["a"]) >= 4096:
+                yield taken()
+    run_over()
+    for tree, value, doc in held:
+        add(kind=_EDGE, part=part + 1, head=False, tree=tree, value=value, a=doc)
+    yield taken()
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(edges: DataFrame) -> DataFrame:
     """The pairs that the edges between partitions part: last rows of one, first rows of the next."""
-    last, first = rows.filter("not head").alias("l"), rows.filter("head").alias("f")
-    shared = lambda d: F.substring(F.col("l.value"), 1, 2 * d) == F.substring(F.col("f.value"), 1, 2 * d)
-    met = last.join(first, (F.col("l.part") == F.col("f.part")) & (F.col("l.tree") == F.col("f.tree"))).filter(shared(LEAST_DEPTH))
-    return met.select(F.least("l.doc", "f.doc").alias("a"), F.greatest("l.doc", "f.doc").alias("b"))
+    last, first = edges.filter("not head").alias("l"), edges.filter("head").alias("f")
+    shared = F.substring(F.col("l.value"), 1, 2 * LEAST_DEPTH) == F.substring(F.col("f.value"), 1, 2 * LEAST_DEPTH)
+    return last.join(first, (F.col("l.part") == F.col("f.part")) & (F.col("l.tree") == F.col("f.tree"))).filter(shared).select(F.col("f.a").alias("a"), F.col("l.a").alias("b"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the documents that stand for sets (doc, values), each once, with the share of equal signature values."""
+def _orders(sets: DataFrame) -> DataFrame:
     trees = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("values", 2 * DEPTH * t + 1, 2 * DEPTH).alias("value")) for t in range(TREES)))
-    forest = sets.select("doc", F.explode(trees).alias("x")).select("x.tree", "x.value", "doc")
-    ordered = forest.repartitionByRange("tree", "value", "doc").sortWithinPartitions("tree", "value", "doc")
-    found = stored(ordered.mapInArrow(_followers, _PAIRS), "forest")
-    pairs = found.filter("a is not null").select("a", "b").unionByName(_across(found.filter("a is null"))).filter("a <> b").distinct()
+    return sets.withColumn("x", F.explode(trees)).select("x.tree", "x.value", *(c for c in sets.columns if c != "values"))
+
+
+def _hubs(sets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and the most popular one, b, of its regions. Copies that each differ from their model in places of their own are
+    closer to it than to each other, so they share more values with it, and more documents do. Only documents in runs are looked at."""
+    popular = runs.groupBy("a").agg(F.sum("n").alias("popular")).withColumnRenamed("a", "doc")
+    depths = F.array(*(F.struct(F.lit(d).alias("depth"), F.substring("value", 1, 2 * d).alias("prefix")) for d in HUB_DEPTHS))
+    regions = _orders(sets.join(popular, "doc")).withColumn("y", F.explode(depths)).select("tree", "y.depth", "y.prefix", "doc", "popular")
+    regions = stored(regions, "regions")
+    region = ["tree", "depth", "prefix"]
+    hubs = stored(regions.groupBy(*region).agg(F.max(F.struct("popular", (-F.col("doc")).alias("doc"))).alias("hub"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_RUN).select(*region, (-F.col("hub.doc")).alias("b")), "hubs")
+    return regions.join(hubs, region).filter("doc <> b").select(F.col("doc").alias("a"), "b")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the documents that stand for sets (doc, values), each once, with the share of equal signature values and the owner,
+    the document that looked for the other; a document owns TREES * (FOLLOWERS + len(HUB_DEPTHS)) pairs at most."""
+    ordered = _orders(sets).repartitionByRange("tree", "value", "doc").sortWithinPartitions("tree", "value", "doc")
+    found = stored(ordered.mapInArrow(_walked, _WALK), "forest")
+    pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").unionByName(_across(found.filter(F.col("kind") == _EDGE))).unionByName(_hubs(sets, found.filter(F.col("kind") == _RUN)))
+    owned = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("owner"))
+    once = owned.groupBy("a", "b").agg(F.min("owner").alias("owner"))
     one, two = sets.select(F.col("doc").alias("a"), F.col("values").alias("va")), sets.select(F.col("doc").alias("b"), F.col("values").alias("vb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(_shares, "a long, b long, share double")
+    both = once.join(one, "a").join(two, "b").select("a", "b", "owner", "va", "vb").mapInArrow(_shares, "a long, b long, owner long, share double")
     out = stored(both.filter(F.col("share") >= LEAST_SHARE), "candidates")
     forget(found)
     return out
@@ -167,7 +209,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             va, vb = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for n in ("va", "vb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((va == vb).mean(axis=1))], names=["a", "b", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("owner"), pa.array((va == vb).mean(axis=1))], names=["a", "b", "owner", "share"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +254,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
-    """For each document the n pairs of the largest share in which it is the smaller; it has TREES * FOLLOWERS of them at most, or the larger."""
-    best = Window.partitionBy("a").orderBy(F.desc("share"), "b")
+    """The n pairs of the largest share of those that each document owns."""
+    best = Window.partitionBy("owner").orderBy(F.desc("share"), "a", "b")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("a", "b")
 
 
