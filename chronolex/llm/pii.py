@@ -41,7 +41,7 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|io|de|fr|es|it|uk|us|eu|ch|at|nl|be|pl|ru|cn|jp|br|mx|ca|au)$"
 _PRIVATE = r"^0*(?:0|10|127|2[2-5][0-9])\."
 _ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
-_COUNTRIES = r"^\+?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+_COUNTRIES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Words before a span that speak for it or against it.
 _FOR = {
     "email": r"(?i)(?:mail|contact|write|e-?mail|courriel|correo|kontakt)",

@@ -89,9 +89,12 @@ def test_pruning_in_small_shards(spark, data, texts, monkeypatch):
     terms, _ = bm25.terms_of(docs[3][1])
     import numpy as np
 
-    all_ids, all_scores = shard.best(-1, terms, np.ones(len(terms)), 10_000)
-    ids, scores = shard.best(-1, terms, np.ones(len(terms)), 3)
+    ask = lambda k: next(shard.search(np.array([-1]), np.array([0, len(terms)]), terms, np.ones(len(terms)), k))
+    all_ids, all_scores = ask(10_000)
+    before = shard.scored
+    ids, scores = ask(3)
     assert ids.tolist() == all_ids[:3].tolist() and np.allclose(scores, all_scores[:3])
+    assert shard.scored - before <= before
 
 
 def test_odd_rows(spark, odd, empty):
