@@ -167,6 +167,10 @@ def _build_queries() -> None:
     _add("stoplist_filter_T", lambda s, d: corpus.listed(_t(s, d), "l", ["the", "of", "and", "de"], keep=False).groupBy("l").agg(F.count("*").alias("f")), f"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE l NOT IN ('the', 'of', 'and', 'de') GROUP BY l")
     _add("golist_filter_T", lambda s, d: corpus.listed(_t(s, d), "l", ["the", "of", "and", "de"]).groupBy("l").agg(F.count("*").alias("f")), f"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE l IN ('the', 'of', 'and', 'de') GROUP BY l")
     _add("regex_filter_T", lambda s, d: corpus.matching(_t(s, d), {"l": "^[[:alpha:]]{3,}$"}, {"l": "^th"}).groupBy("l").agg(F.count("*").alias("f")), rf"WITH {TOK_T} SELECT l, count(*) AS f FROM tok WHERE regexp_matches(l, '^\p{{L}}{{3,}}$') AND NOT regexp_matches(l, '^th') GROUP BY l")
+    first = f"WITH {TOK_B}, xf AS (SELECT DISTINCT l, p FROM tok) SELECT l, p FROM xf WHERE starts_with(l, 'Brand#1') ORDER BY l, p LIMIT 40"
+    _add("target_expansion_B", lambda s, d: corpus.targets(relations.unigrams(_b(s, d), ATTRS), P.all_of({"l": P.prefix("Brand#1")}), ATTRS, 40), first)
+    _add("count_by_B", lambda s, d: corpus.counted_by(_b(s, d), {"colour": F.regexp_extract("w", r"^(\w+)", 1), "p": F.col("p")}, 1000), rf"WITH {TOK_B} SELECT regexp_extract(w, '^(\w+)', 1) AS colour, p, count(*) AS f FROM tok GROUP BY ALL HAVING count(*) >= 1000")
+    _add("metadata_filter_B", lambda s, d: corpus.metadata(adapters.basket_docs(s, d), bad="^nat").groupBy("segment", "priority").agg(F.count("*").alias("n")), f"WITH {DOC_B} SELECT segment, priority, count(*) AS n FROM docs GROUP BY ALL")
     _add("sample_T", lambda s, d: corpus.sample(_t(s, d).select("doc_id", "pos", "l"), 50, 7, "doc_id", "pos").agg(F.count("*").alias("n")), f"WITH {TOK_T} SELECT least(50, count(*)) AS n FROM tok")
 
 

@@ -13,10 +13,6 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import java_regex
 
-#: Documents with less than this many bytes of values are sent to all executors; larger lists are joined by a shuffle.
-SMALL_LIST = 100_000
-
-
 def segments(marks: DataFrame, is_break: Column, by: Sequence[str] = ("doc_id",), order: str = "pos", name: str = "sent_id") -> DataFrame:
     """marks without its break rows, with the number of breaks before each row as name."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -76,3 +72,21 @@ def frequent(tokens: DataFrame, attributes: Sequence[str], tuple_min: int = 2, m
 def sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows, the same ones for the same seed, whatever the partitions."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def metadata(docs: DataFrame, good: str | None = None, bad: str | None = None, key: str = "doc_id") -> DataFrame:
+    """docs with the metadata columns alone whose names match good and not bad."""
+    import re
+
+    names = [c for c in docs.columns if c != key and (good is None or re.search(good, c)) and not (bad and re.search(bad, c))]
+    return docs.select(key, *names)
+
+
+def targets(xf: DataFrame, where: Column, attributes: Sequence[str], most: int = 65_535) -> DataFrame:
+    """The distinct tuples that a condition takes in, the first ones in order if they are more than most."""
+    return xf.filter(where).select(*attributes).distinct().orderBy(*attributes).limit(most)
+
+
+def counted_by(tokens: DataFrame, keys: Mapping[str, Column], least: int = 1) -> DataFrame:
+    """Counts by any expressions, such as parts of attributes, of which the frequent ones are told."""
+    return tokens.groupBy(*(c.alias(n) for n, c in keys.items())).agg(F.count("*").alias("f")).filter(F.col("f") >= least)

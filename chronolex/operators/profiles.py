@@ -110,15 +110,15 @@ def missing_keys(shards: Mapping[str, DataFrame], items: Sequence[str]) -> DataF
     return every.join(held, ["shard", "slice", *items], "left_anti")
 
 
-def summed(profiles: Sequence[DataFrame], items: Sequence[str], name: str = "f", eps: float = 0.0) -> DataFrame:
-    """Profiles of shards as one: all counts add up. A shard that lacks an item still adds to N and f1."""
+def summed(profiles: Sequence[DataFrame], items: Sequence[str], name: str = "f", eps: float = 0.0, one_n: bool = False) -> DataFrame:
+    """Profiles of shards as one: all counts add up. A shard that lacks an item still adds to N and f1. one_n: all have the same N, which isn't summed."""
     counts = totals = None
     for k, p in enumerate(profiles):
         a = p.select("slice", *items, "f2", "f12")
         b = p.select("slice", "N", "f1").distinct().withColumn("shard", F.lit(k))
         counts, totals = (a, b) if counts is None else (counts.unionByName(a), totals.unionByName(b))
     by_item = counts.groupBy("slice", *items).agg(F.sum("f2").alias("f2"), F.sum("f12").alias("f12"))
-    by_slice = totals.groupBy("slice").agg(F.sum("N").alias("N"), F.sum("f1").alias("f1"))
+    by_slice = totals.groupBy("slice").agg((F.max("N") if one_n else F.sum("N")).alias("N"), F.sum("f1").alias("f1"))
     return scored(by_item.join(by_slice, "slice"), name, eps).select("slice", *items, "N", "f1", "f2", "f12", "score")
 
 

@@ -75,7 +75,7 @@ def read_tabs(spark: SparkSession, path: str | list[str], break_class: str | Non
     paged = in_file.withColumn("page", page).filter(F.col("page_mark") == "")
     breaks = F.col("broken") != "" if break_class is None else F.col("broken") == break_class.lstrip("#")
     tokens = _numbered(paged, F.trim(line) == "", breaks).filter("broken = ''")
-    meta = F.map_zip_with("meta", none, lambda k, a, b: F.when(k == "author", text.author(a)).when(k == "textClass", a).otherwise(a))
+    meta = F.transform_values("meta", lambda k, v: F.when(k == "author", text.author(v)).otherwise(v))
     docs = docs.select("doc_id", F.coalesce(F.col("meta")["basename"], F.regexp_extract("doc_id", r"([^/]+)$", 1)).alias("label"), "date", meta.alias("meta"), text.genre(F.col("meta")["textClass"]).alias("genre"))
     return Corpus(docs, tokens.select("doc_id", "sent_id", "seg_id", "pos", "date", *(v.alias(a) for a, v in fields.items()), "page"))
 
