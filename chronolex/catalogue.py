@@ -388,8 +388,10 @@ nt AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS N FROM tok GROUP BY 1),
     _add("union_marginals", lambda s, d: merge.union_marginals([_cof(h)[1] for h in halves(s, d)], ATTRS), _SQL["cof_marginals_B"])
 
     def shards(s: SparkSession, d: str) -> DataFrame:
-        parts = [profiles.cof_profile(*_cof(h, minimum=1), {"l": "Brand#11"}, ["l"], size=2) for h in halves(s, d)]
-        return profiles.summed(parts, ["l"], "ld")
+        tables = [_cof(h, minimum=1) for h in halves(s, d)]
+        ask = lambda t, **how: profiles.cof_profile(*t, {"l": "Brand#11"}, ["l"], size=2, **how)
+        keys = profiles.requested(ask(tables[0]), ["l"]).union(profiles.requested(ask(tables[1]), ["l"])).distinct()
+        return profiles.summed([ask(t, keys=keys) for t in tables], ["l"], "ld")
 
     every = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p', 1)}"
     _add("shards_profile", shards, f"{every},\n{_cof_profile_sql('l1 = ' + repr('Brand#11'), 'l', size=2, name='ld')} {_final('l')}")
@@ -400,9 +402,9 @@ nt AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS N FROM tok GROUP BY 1),
         return profiles.cof_profile(*tables, {"l": "Brand#11"}, ["l"], size=2, name="ld", keys=keys)
 
     twenty = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p', 20)}"
-    asked = _cof_profile_sql("l1 = 'Brand#11'", "l", size=2, name="ld").replace("f12t AS (", "f12s AS (")
+    asked = _cof_profile_sql("l1 = 'Brand#11'", "l", size=2, name="ld").replace("f12t AS (", "f12s AS (").replace("f1t AS (", "f1s AS (")
     cut = asked.index("f2t AS (")
-    keyed = "f12t AS (SELECT k.slice AS slice, k.l AS l, coalesce(s.f12, 0) AS f12 FROM (SELECT CAST(y AS INTEGER) AS slice, 'Brand#' || n AS l FROM (SELECT unnest([1996, 1998]) AS y), (SELECT unnest([1, 11, 19]) AS n)) k LEFT JOIN f12s s ON s.slice = k.slice AND s.l = k.l),\n"
+    keyed = "f1t AS (SELECT nt.slice AS slice, coalesce(f1s.f1, 0) AS f1 FROM nt LEFT JOIN f1s ON f1s.slice = nt.slice), f12t AS (SELECT k.slice AS slice, k.l AS l, coalesce(s.f12, 0) AS f12 FROM (SELECT CAST(y AS INTEGER) AS slice, 'Brand#' || n AS l FROM (SELECT unnest([1996, 1998]) AS y), (SELECT unnest([1, 11, 19]) AS n)) k LEFT JOIN f12s s ON s.slice = k.slice AND s.l = k.l),\n"
     _add("extend_missing_keys", extended, f"{twenty},\n{asked[:cut]}{keyed}{asked[cut:]} {_final('l')}")
 
     def keys_lacking(s: SparkSession, d: str) -> DataFrame:

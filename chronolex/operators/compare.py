@@ -24,8 +24,9 @@ def aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"{n} slices can't be aligned with {m}")
     made = []
     for own, p, k, other in ((sides[0], a, n, sides[1]), (sides[1], b, m, sides[0])):
-        labels = own if k > 1 or n == m else own.select("slice").join(other.select("ordinal"))
-        made.append(p.join(F.broadcast(labels), "slice"))
+        # A side of one slice takes the other's labels.
+        labels = own.withColumn("to", F.col("slice")) if k > 1 or n == m else own.select("slice").join(other.select("ordinal", F.col("slice").alias("to")))
+        made.append(p.join(F.broadcast(labels), "slice").withColumn("slice", F.col("to")).drop("to"))
     return made[0], made[1]
 
 

@@ -65,7 +65,7 @@ def cof_profile(
     # The marginals are summed by item before they meet the items that were found.
     f2 = _sliced(sums, size).groupBy("slice", *items).agg(F.sum("f1").alias("f2"))
     if keys is not None:
-        f12 = f12.join(f1.select("slice"), "slice", "left_semi")
+        f1 = n.select("slice").join(f1, "slice", "left").fillna(0, ["f1"])
     return _assembled(f12, f2, f1, n, items, name, eps)
 
 
@@ -111,7 +111,7 @@ def missing_keys(shards: Mapping[str, DataFrame], items: Sequence[str]) -> DataF
 
 
 def summed(profiles: Sequence[DataFrame], items: Sequence[str], name: str = "f", eps: float = 0.0, one_n: bool = False) -> DataFrame:
-    """Profiles of shards as one: all counts add up. A shard that lacks an item still adds to N and f1. one_n: all have the same N, which isn't summed."""
+    """Profiles of shards as one: all counts add up. Each must tell the items that any tells (see missing_keys and keys of cof_profile), or their f2 falls short. one_n: all have the same N, which isn't summed."""
     counts = totals = None
     for k, p in enumerate(profiles):
         a = p.select("slice", *items, "f2", "f12")
