@@ -39,6 +39,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 12, 4
 FOLLOWERS = 4
 #: Documents that share so many values are a run, if there are enough; the depths of regions that each have a most popular document.
 RUN_DEPTH, LEAST_RUN, HUB_DEPTHS = 6, 3, (4, 6, 9, 12)
+#: Bits of the map that tells where texts are read which of them candidates may need; 8 MB, however many there are.
+FILTER_BITS, _MAP_BITS = 1 << 26, 1 << 15
 #: Share of equal signature values under which a pair isn't confirmed: of 192 values a link's share has a deviation of 0.026.
 LEAST_SHARE = 0.70
 #: Links: LINK[0] * intersection >= LINK[1] * union.
@@ -230,6 +232,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc is in wanted. A map of hashed ids, of FILTER_BITS bits at most, is broadcast and drops most others where they are read, so
+    that their texts aren't shuffled; the join that follows drops the rest, and does all the work once the ids fill the map."""
+    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    place = [(spot / _MAP_BITS).cast("int").alias("page"), (spot % _MAP_BITS).alias("at")]
+    maps = wanted.select(*place).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("map"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    bit = F.expr("cast(pow(2, at % 8) as long)")
+    marked = rows.select("*", *place).join(F.broadcast(maps), "page").filter(byte.bitwiseAND(bit) != 0)
+    return marked.select(*rows.columns).join(wanted, "doc", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs whose full sets (doc, hashes) are links."""
     one, two = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("hashes").alias("sb"))
@@ -266,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("values").alias("values"), F.count("*").alias("copies")), "sets")
     pairs = candidates(sets.select("doc", "values"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = narrow.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi")
+    texts = _among(narrow.withColumnRenamed("doc_id", "doc"), wanted)
     full = stored(texts.mapInArrow(_sets, "doc long, hashes binary").groupBy("doc").agg(F.min("hashes").alias("hashes")), "full")
     first = confirmed(_likeliest(pairs, 2), full, "links")
     roots = components(first)

@@ -71,3 +71,11 @@ def test_signatures_estimate_similarity():
     share = (near_dup.signature(a) == near_dup.signature(b)).mean()
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs(share - true) < 0.12 and len(near_dup.shingles("")) == 0
+
+
+def test_among_keeps_exactly_the_wanted(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id as doc", "cast(id as string) as text").unionByName(spark.sql("SELECT cast(NULL as long) doc, 'x' text"))
+    wanted = [-2999, -64, -1, 0, 7, 8, 32767, 2500] + list(range(100, 400))
+    got = near_dup._among(rows, spark.createDataFrame([(k,) for k in wanted], "doc long"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, str(k)) for k in wanted if k < 3000)
+    assert near_dup._among(rows, spark.createDataFrame([], "doc long")).count() == 0
