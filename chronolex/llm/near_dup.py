@@ -233,15 +233,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose doc is in wanted. A map of hashed ids, of FILTER_BITS bits at most, is broadcast and drops most others where they are read, so
-    that their texts aren't shuffled; the join that follows drops the rest, and does all the work once the ids fill the map."""
+    """The rows whose doc is in wanted, which holds each once. A map of hashed ids, of FILTER_BITS bits at most, is broadcast and drops most others where they are read, so
+    that their texts aren't shuffled; the join that follows drops the rest, and does all the work once the ids fill the map.
+    It is an inner join, as a semi join would be moved below the map."""
     spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     place = [(spot / _MAP_BITS).cast("int").alias("page"), (spot % _MAP_BITS).alias("at")]
     maps = wanted.select(*place).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("map"))
     byte = F.conv(F.hex(F.expr("substring(map, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("long")
     bit = F.expr("cast(pow(2, at % 8) as long)")
     marked = rows.select("*", *place).join(F.broadcast(maps), "page").filter(byte.bitwiseAND(bit) != 0)
-    return marked.select(*rows.columns).join(wanted, "doc", "left_semi")
+    return marked.select(*rows.columns).join(wanted, "doc")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
