@@ -10,8 +10,12 @@ Links are confirmed on full sets: the two likeliest candidates of each document
 components, so that every candidate is either confirmed, refuted or within a component. Components come from repeated contraction
 to the smallest neighbour.
 
-All steps are sorts, sums and joins over narrow tables; a sort splits a group of any size, and each document has a bounded number of
-candidates, so no group is gathered and no pairs of a group are listed.
+A region with more documents than the walk compares, and with more than one component, is crowded. The documents of crowded regions go through an exact join of sets:
+their shingles are ordered rare first, a link shares one among the first of both, and places and sizes bound what they can share. Pairs that the
+bounds leave, in different components, are confirmed on full sets. So of the pairs that share a region none is left out.
+
+All steps are sorts, sums and joins over narrow tables; a sort splits a group of any size, the forest gives each document a bounded number of
+candidates, and what the join of sets meets at a frequent shingle is dealt to many tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer than five words is
 one shingle; texts of any length are whole; rows that repeat a doc_id each give a row and fall into one class if their sets do; a null
@@ -43,6 +47,8 @@ RUN_DEPTH, LEAST_RUN, HUB_DEPTHS = 6, 3, (4, 6, 9, 12)
 FILTER_BITS, _MAP_BITS = 1 << 26, 1 << 15
 #: Share of equal signature values under which a pair isn't confirmed: of 192 values a link's share has a deviation of 0.026.
 LEAST_SHARE = 0.70
+#: Counters of the sketch that orders shingles by frequency, those of a page of it, and the documents of a shingle that one task of the join meets with the others.
+SKETCH, _SKETCH_PAGE, POSTS = 1 << 22, 1 << 15, 1024
 #: Links: LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 85)
 _MEMO = 1 << 18
@@ -109,7 +115,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _WALK = "kind int, a long, b long, part int, head boolean, tree int, value binary, n long"
 _WALK_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("tree", pa.int32()), ("value", pa.binary()), ("n", pa.int64())])
-_PAIR, _EDGE, _RUN = range(3)
+_PAIR, _EDGE, _RUN, _CROWD = range(4)
 
 
 def _depth(a: bytes, b: bytes) -> int:
@@ -122,11 +128,13 @@ def _depth(a: bytes, b: bytes) -> int:
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a walk along the sorted orders finds: pairs (a, b) of a document and one at most FOLLOWERS places before it that shares LEAST_DEPTH
-    values; the first and last rows of each partition, for the pairs that its edges part; and, for documents that share RUN_DEPTH values with
-    others, how many do. A run's ids are held until it ends, at most those of a partition."""
+    values; the first and last rows of each partition, for the pairs that its edges part; for documents that share RUN_DEPTH values with
+    others, how many do; and the documents of regions whose pairs it doesn't all see, or that a partition's edge may part. The ids of a run and of a region
+    are held until it ends, at most those of a partition."""
     from pyspark import TaskContext
 
     part, n, held, run, run_key = TaskContext.get().partitionId(), 0, [], array("q"), None
+    crowd, crowd_key = array("q"), None
     out: dict[str, list] = {c: [] for c in _WALK_ARROW.names}
 
     def add(**row) -> None:
@@ -145,6 +153,12 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 add(kind=_RUN, a=doc, n=len(run))
         del run[:]
 
+    def crowd_over(edge: bool) -> None:
+        if len(crowd) > FOLLOWERS + 1 or edge:
+            for doc in crowd:
+                add(kind=_CROWD, tree=crowd_key[0], value=crowd_key[1], a=doc)
+        del crowd[:]
+
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "value", "doc")), strict=True):
             tree, value, doc = row
@@ -152,6 +166,10 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run_over()
                 run_key = tree, value[: 2 * RUN_DEPTH]
             run.append(doc)
+            if crowd_key != (tree, value[: 2 * LEAST_DEPTH]):
+                crowd_over(edge=n == len(crowd))
+                crowd_key = tree, value[: 2 * LEAST_DEPTH]
+            crowd.append(doc)
             for other in reversed(held):
                 if other[0] != tree or _depth(other[1], value) < LEAST_DEPTH:
                     break
@@ -163,6 +181,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(out["a"]) >= 4096:
                 yield taken()
     run_over()
+    crowd_over(edge=True)
     for tree, value, doc in held:
         add(kind=_EDGE, part=part + 1, head=False, tree=tree, value=value, a=doc)
     yield taken()
@@ -192,8 +211,8 @@ def _hubs(sets: DataFrame, runs: DataFrame) -> DataFrame:
     return regions.join(hubs, region).filter("doc <> b").select(F.col("doc").alias("a"), "b")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the documents that stand for sets (doc, values), each once, with the share of equal signature values and the owner,
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forest's candidates, and the regions (tree, value) with their documents, doc, of which it hasn't seen all pairs. Candidates are pairs (a, b), a < b, of the documents that stand for sets (doc, values), each once, with the share of equal signature values and the owner,
     the document that looked for the other; a document owns TREES * (FOLLOWERS + len(HUB_DEPTHS)) pairs at most."""
     ordered = _orders(sets).repartitionByRange("tree", "value", "doc").sortWithinPartitions("tree", "value", "doc")
     found = stored(ordered.mapInArrow(_walked, _WALK), "forest")
@@ -203,8 +222,9 @@ def candidates(sets: DataFrame) -> DataFrame:
     one, two = sets.select(F.col("doc").alias("a"), F.col("values").alias("va")), sets.select(F.col("doc").alias("b"), F.col("values").alias("vb"))
     both = once.join(one, "a").join(two, "b").select("a", "b", "owner", "va", "vb").mapInArrow(_shares, "a long, b long, owner long, share double")
     out = stored(both.filter(F.col("share") >= LEAST_SHARE), "candidates")
+    crowds = stored(found.filter(F.col("kind") == _CROWD).select("tree", "value", F.col("a").alias("doc")), "crowds")
     forget(found)
-    return out
+    return out, crowds
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +288,84 @@ def components(links: DataFrame) -> DataFrame:
             return of
 
 
+def _crowded(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc and root of the documents in regions that hold more than one component."""
+    placed = crowds.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("tree", "value", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = placed.groupBy("tree", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tree", "value")
+    return placed.join(mixed, ["tree", "value"], "left_semi").select("doc", "root").distinct()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's counts of shingles by their place in the sketch."""
+    counts = np.zeros(SKETCH, dtype=np.uint32)
+    for batch in batches:
+        for x in batch.column("hashes"):
+            np.add.at(counts, np.frombuffer(x.as_py(), dtype=np.uint64) % np.uint64(SKETCH), 1)
+    for page in range(SKETCH // _SKETCH_PAGE):
+        part = counts[page * _SKETCH_PAGE : (page + 1) * _SKETCH_PAGE]
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed counts of each page, on a scale of bytes: 0 for none, 1 for one, and from 9 on logarithms."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for page, counts in zip(batch.column("page").to_pylist(), batch.column("counts"), strict=True):
+            sums[page] = sums.get(page, 0) + np.frombuffer(counts.as_py(), dtype=np.uint32).astype(np.int64)
+    for page, n in sums.items():
+        scaled = np.where(n > 0, np.minimum(1 + 8 * np.log2(np.maximum(n, 1)), 255), 0).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "counts": pa.array([scaled.tobytes()], pa.binary())})
+
+
+def _posted(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, rare ones first, that a link with a set of the same size or less must share one of. Those that no other set has are left out."""
+    frequency = np.frombuffer(sketch.value, dtype=np.uint8)
+    for batch in batches:
+        for doc, root, hashes in zip(batch.column("doc").to_pylist(), batch.column("root").to_pylist(), batch.column("hashes"), strict=True):
+            found = np.frombuffer(hashes.as_py(), dtype=np.uint64)
+            n, f = len(found), frequency[found % np.uint64(SKETCH)]
+            first = np.lexsort((found, f))[: n + 1 + -LINK[1] * n // LINK[0]]
+            at = np.flatnonzero(f[first] > 1)
+            if len(at):
+                same = lambda x: pa.array(np.full(len(at), x, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(found[first[at]].view(np.int64)), same(doc), same(root), same(n), pa.array(at.astype(np.int64))], names=["token", "doc", "root", "n", "at"])
+
+
+def _met(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets in different components that share one of their first shingles, and of which sizes and places don't tell that they share too
+    little for a link. The smaller set's part is shorter: a link shares 2 * LINK[1] / (LINK[0] + LINK[1]) of it at least."""
+    least, most = 2 * LINK[1], LINK[0] + LINK[1]
+    shared = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / POSTS).alias("salts")).filter("low <> high").select("token", "salts")
+    kept = posts.join(shared, "token")
+    small = kept.filter(f"at <= n + floor(-{least} * n / {most})").select("token", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("doc", "root", "n", "at")))
+    large = kept.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_b") for c in ("doc", "root", "n", "at")))
+    bound = f"{most} * least(n_a - at_a, n_b - at_b) >= {LINK[1]} * (n_a + n_b)"
+    both = small.join(large, ["token", "salt"]).filter(f"root_a <> root_b and n_a <= n_b and {bound}")
+    return both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
+def unseen_links(crowds: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame | None:
+    """All links between components among the documents of crowded regions, or None if no region has two components."""
+    spark = full.sparkSession
+    docs = stored(_crowded(crowds, roots), "crowded")
+    if docs.isEmpty():
+        forget(docs)
+        return None
+    sets = stored(full.join(docs, "doc").select("doc", "root", "hashes"), "crowded-sets")
+    counts = bytearray(SKETCH)
+    for row in sets.select("hashes").mapInArrow(_counted, "page int, counts binary").repartition("page").mapInArrow(_summed, "page int, counts binary").toLocalIterator():
+        counts[row["page"] * _SKETCH_PAGE : (row["page"] + 1) * _SKETCH_PAGE] = row["counts"]
+    sketch = spark.sparkContext.broadcast(bytes(counts))
+    posts = stored(sets.mapInArrow(lambda batches: _posted(batches, sketch), "token long, doc long, root long, n long, at long"), "posts")
+    met = stored(_met(posts), "met")
+    found = confirmed(met, sets.select("doc", "hashes"), "links")
+    for old in (docs, sets, posts, met):
+        forget(old)
+    sketch.unpersist()
+    return found
+
+
 def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
     """The n pairs of the largest share of those that each document owns."""
     best = Window.partitionBy("owner").orderBy(F.desc("share"), "a", "b")
@@ -279,8 +377,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     narrow = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), null_as_empty(column(docs, "text")).alias("text"))
     signed = stored(narrow.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, values binary"), "signed")
     sets = stored(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("values").alias("values"), F.count("*").alias("copies")), "sets")
-    pairs = candidates(sets.select("doc", "values"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    pairs, crowds = candidates(sets.select("doc", "values"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(crowds.select("doc")).distinct()
     texts = _among(narrow.withColumnRenamed("doc_id", "doc"), wanted)
     full = stored(texts.mapInArrow(_sets, "doc long, hashes binary").groupBy("doc").agg(F.min("hashes").alias("hashes")), "full")
     first = confirmed(_likeliest(pairs, 2), full, "links")
@@ -290,7 +388,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = confirmed(open_pairs, full, "links")
     known = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     final = components(known.unionByName(more))
-    for old in (pairs, full, more, roots):
+    if (unseen := unseen_links(crowds, final, full)) is not None:
+        seen, final = final, components(final.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(unseen))
+        for old in (seen, unseen):
+            forget(old)
+    for old in (pairs, crowds, full, more, roots):
         forget(old)
     classes = sets.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"), "doc", "copies")
     classes = stored(classes.filter("copies > 1 or root <> doc").select("digest", "root"), "classes")

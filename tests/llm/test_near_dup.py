@@ -1,6 +1,7 @@
 """Operator 2 against all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -79,3 +80,28 @@ def test_among_keeps_exactly_the_wanted(spark):
     got = near_dup._among(rows, spark.createDataFrame([(k,) for k in wanted], "doc long"))
     assert sorted(map(tuple, got.collect())) == sorted((k, str(k)) for k in wanted if k < 3000)
     assert near_dup._among(rows, spark.createDataFrame([], "doc long")).count() == 0
+
+
+def test_links_within_a_family_that_is_alike(spark):
+    """Thousands of texts alike at 0.7 to 0.84 and, far apart in any order, pairs of them at 0.85 to 0.9."""
+    rnd, fresh = random.Random(5), iter(range(10**9))
+    own = lambda n: [f"o{next(fresh)}" for _ in range(n)]
+    common, rows = own(160), []
+    for k in range(2400):
+        rows.append((k, common + own(rnd.randint(16, 32))))
+    for k in range(100):
+        rows.append((5000 + k, common + (tail := own(20))))
+        rows.append((8000 + k, common + tail[: -rnd.randint(10, 14)] + own(0)))
+        rows[-1][1].extend(own(180 - len(rows[-1][1])))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    held = Counter(x for s in sets.values() for x in s)
+    place = {x: k for k, x in enumerate(x for x, n in held.items() if n > 1)}
+    has, docs = np.zeros((len(rows), len(place)), dtype=np.float32), np.array([d for d, _ in rows])
+    for k, d in enumerate(docs):
+        has[k, [place[x] for x in sets[d] if x in place]] = 1
+    both, size = (has @ has.T).round().astype(np.int64), np.array([len(sets[d]) for d in docs])
+    a, b = np.nonzero(np.triu(100 * both >= 85 * (size[:, None] + size - both), 1))
+    assert sorted(zip(docs[a].tolist(), docs[b].tolist(), strict=True)) == [(5000 + k, 8000 + k) for k in range(100)]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()}
+    assert got == {d: d - 3000 if d >= 8000 else d for d, _ in rows}
