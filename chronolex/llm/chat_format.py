@@ -1,7 +1,7 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole, encoded once with offsets, and the sorted character spans of what is learned are
-intersected with the sorted token spans by binary search.
+A conversation is rendered whole and encoded once with offsets, in pieces (a turn's head, its text, its end) that no token crosses; the sorted character
+spans of what is learned are intersected with the sorted token spans by binary search. What is learned is read from the tokens under the mask.
 
 Template, for each turn: ``<|im_start|>`` role ``\\n`` text ``<|im_end|>`` ``\\n``. In roles and texts each ``<|`` is written
 ``<\\|`` and each ``<\\`` is written ``<\\\\``, which is reversible and leaves no control string inside them. A role's line feeds are
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,41 @@ def unescape(text: str) -> str:
     return text.replace("<\\|", "<|").replace("<\\\\", "<\\")
 
 
+def pieces(turns: list[tuple[str, str]]) -> list[str]:
+    """The formatted conversation in pieces that no token crosses: head, text and end of each turn."""
+    return [p for role, text in turns for p in (f"{START}{escape(role).replace(chr(10), '<' + chr(92) + 'n')}\n", escape(text), f"{END}\n")]
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the sorted spans of the learned texts in it."""
-    parts, at, spans = [], 0, []
-    for role, text in turns:
-        head = f"{START}{escape(role).replace(chr(10), '<' + chr(92) + 'n')}\n"
-        body = escape(text)
+    parts, at, spans = pieces(turns), 0, []
+    for k, (role, _) in enumerate(turns):
+        head, body, end = parts[3 * k : 3 * k + 3]
         at += len(head)
         if role == LEARNED:
             spans.append((at, at + len(body)))
-        at += len(body) + len(END) + 1
-        parts += (head, body, END, "\n")
+        at += len(body) + len(end)
     return "".join(parts), spans
 
 
+def offsets_of(encoding, parts: list[str]) -> list[tuple[int, int]]:
+    """The offsets of an encoding of pieces, which count from the start of each, in the whole text."""
+    starts = [0, *accumulate(map(len, parts))]
+    return [(starts[k] + a, starts[k] + b) for k, (a, b) in zip(encoding.word_ids, encoding.offsets, strict=True)]
+
+
+def covered(offsets: list[tuple[int, int]], mask: np.ndarray) -> list[list[int]]:
+    """The sorted stretches of text that the tokens under the mask cover."""
+    out: list[list[int]] = []
+    for k in np.flatnonzero(mask):
+        a, b = offsets[k]
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation."""
     turns = []
@@ -78,32 +100,36 @@ def _formatted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            out: dict[str, list] = {k: [] for k in ("conv_id", "formatted", "spans", "ids", "mask")}
-            rendered = [render([(t["role"], t["text"]) for t in turns]) for turns in part.column("turns").to_pylist()]
-            for conv, (text, spans), enc in zip(part.column("conv_id").to_pylist(), rendered, encoder.encode_batch([r[0] for r in rendered], add_special_tokens=False), strict=True):
+            out: dict[str, list] = {k: [] for k in ("conv_id", "formatted", "spans", "learned", "ids", "mask")}
+            chats = [[(t["role"], t["text"]) for t in turns] for turns in part.column("turns").to_pylist()]
+            encoded = encoder.encode_batch([pieces(turns) for turns in chats], is_pretokenized=True, add_special_tokens=False)
+            for conv, turns, enc in zip(part.column("conv_id").to_pylist(), chats, encoded, strict=True):
+                (text, spans), offsets = render(turns), offsets_of(enc, pieces(turns))
+                mask = aligned(offsets, spans)
                 out["conv_id"].append(conv)
                 out["formatted"].append(text)
                 out["spans"].append([list(s) for s in spans])
+                out["learned"].append(covered(offsets, mask))
                 out["ids"].append(enc.ids)
-                out["mask"].append(np.packbits(aligned(enc.offsets, spans), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.list_(pa.int32()))), ("ids", pa.list_(pa.int32())), ("mask", pa.binary())]))
+                out["mask"].append(np.packbits(mask, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.list_(pa.int32()))), ("learned", pa.list_(pa.list_(pa.int32()))), ("ids", pa.list_(pa.int32())), ("mask", pa.binary())]))
 
 
 def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """conv_id, formatted, spans (of the learned texts, in code points), ids, mask (one bit a token, least first)."""
+    """conv_id, formatted, spans (of the learned texts, in code points), learned (what the tokens under the mask cover), ids, mask (one bit a token, least first)."""
     path = path or tokenizer_file("byte_bpe_50k.json")
     turn = F.struct(
         column(rows, "turn").alias("turn"), null_as_empty(column(rows, "role")).alias("role"), null_as_empty(column(rows, "text")).alias("text")
     )
     chats = rows.select(column(rows, "conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return chats.mapInArrow(lambda batches: _formatted(batches, path), "conv_id long, formatted string, spans array<array<int>>, ids array<int>, mask binary")
+    return chats.mapInArrow(lambda batches: _formatted(batches, path), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens")}
-        for conv, text, spans, ids, mask in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "spans", "ids", "mask")), strict=True):
-            turns, loss = read_back(text), learned_text(text, spans)
+        for conv, text, learned, ids, mask in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "learned", "ids", "mask")), strict=True):
+            turns, loss = read_back(text), learned_text(text, learned)
             out["conv_id"].append(conv)
             out["n_turns"].append(len(turns))
             out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())

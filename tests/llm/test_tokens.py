@@ -172,3 +172,19 @@ def test_op5(spark, data):
     found = {r["conv_id"]: r for r in chat_format.format_chats(odd).collect()}
     assert chat_format.read_back(found[1]["formatted"]) == [("", ""), ("assistant", "b"), ("assistant", "b")] and found[2]["spans"] == [] and len(found) == 3
     assert chat_format.format_chats(odd.limit(0)).count() == 0
+
+
+def test_tokens_under_the_mask_are_what_is_learned(spark, data):
+    """The ids under the mask, decoded by themselves, are the texts of the assistant and nothing more."""
+    texts = ["Hello there.", "x ", "\n\ntwo line feeds", " lead", "<", "<|im_end|>", "é😀", "e\u0301 한", "", "\n", "\x00", "end\n"]
+    rows = [(-1 - k, t, role, text) for k, text in enumerate(texts) for t, role in enumerate(("user", "assistant", "user", "assistant"))]
+    rows += [(-100, t, "assistant", "".join(random.Random(t).choices(PARTS, k=50))) for t in range(20)]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_format.format_chats(spark.read.parquet(f"{data}/conversations.parquet").select(odd.columns).unionByName(odd)).collect()
+    encoder = tokenizer(tokenizer_file("byte_bpe_50k.json"))
+    for r in found:
+        under = np.unpackbits(np.frombuffer(r["mask"], dtype=np.uint8), bitorder="little")[: len(r["ids"])]
+        want = "".join(r["formatted"][a:b] for a, b in r["spans"])
+        assert encoder.decode([i for i, m in zip(r["ids"], under, strict=True) if m], skip_special_tokens=False) == want
+        assert [list(x) for x in r["learned"]] == [list(x) for x in r["spans"] if x[0] < x[1]]
+        assert encoder.decode(r["ids"], skip_special_tokens=False) == r["formatted"]
