@@ -4,11 +4,17 @@ Build them once and write them as Parquet, partitioned by date or sorted by the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens that are met with each other in one array; those near its edges come on top.
+BLOCK = 2048
+
 
 def unigrams(tokens: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """attributes, date, f."""
@@ -18,16 +24,43 @@ def unigrams(tokens: DataFrame, attributes: Sequence[str]) -> DataFrame:
 def pairs(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, sentence: Sequence[str] = ("doc_id", "sent_id"), order: Sequence[str] = ("pos",)) -> DataFrame:
     """All ordered pairs of tokens of a sentence at most distance apart, unsummed: each attribute with 1 and with 2, date, gap.
 
-    A sentence becomes an array, and each token is met with the slice around it: one shuffle by sentence, and no self-join."""
-    item = F.struct(*order, "date", *attributes)
-    whole = tokens.groupBy(*sentence).agg(F.array_sort(F.collect_list(item)).alias("t"))
-    placed = whole.select("t", F.posexplode("t").alias("i", "one"))
+    Tokens are sorted by ranges and numbered through, whatever their sentences; blocks of BLOCK numbers become arrays, with the tokens that are near enough after
+    and before them, and each token is met with the slice around it. So arrays are bounded, and a sentence of any length spreads over many tasks."""
+    attributes, within = list(attributes), max(distance, 1)
+    found = numbered(tokens, [*sentence], [*order], attributes)
+    block = F.floor(F.col("__at") / BLOCK)
+    first, last = F.floor((F.col("__at") - within) / BLOCK), F.floor((F.col("__at") + within) / BLOCK)
+    item = F.struct(F.col("__at").alias("at"), (block == F.col("__block")).alias("own"), F.struct(*(F.col(f"`{c}`") for c in sentence)).alias("sentence"), "date", *attributes)
+    dealt = found.withColumn("__block", F.explode(F.sequence(first, last)))
+    whole = dealt.groupBy("__block").agg(F.array_sort(F.collect_list(item)).alias("t"))
+    placed = whole.select("t", F.posexplode("t").alias("i", "one")).filter("one.own")
     start = F.greatest(F.col("i") - distance, F.lit(0))
     near = placed.select("i", "one", start.alias("s"), F.slice("t", start + 1, F.col("i") + distance + 1 - start).alias("around"))
-    met = near.select("i", "one", "s", F.posexplode("around").alias("k", "two")).filter("s + k <> i")
+    met = near.select("i", "one", "s", F.posexplode("around").alias("k", "two")).filter("s + k <> i and one.sentence <=> two.sentence")
     return met.select(*(F.col(f"one.{a}").alias(f"{a}1") for a in attributes), F.col("one.date").alias("date"), *(F.col(f"two.{a}").alias(f"{a}2") for a in attributes), (F.col("s") + F.col("k") - F.col("i")).alias("gap"))
 
 
+def numbered(tokens: DataFrame, sentence: Sequence[str], order: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """The tokens with __at, their number in the order of sentence, order, date and attributes, without gaps. The sorted rows are written once, as what numbers
+    them counts the rows of each partition first."""
+    keys = list(dict.fromkeys((*sentence, *order, "date", *attributes)))
+    ranged = tokens.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(ranged.withColumn("__n", F.monotonically_increasing_id()))
+    part = F.shiftright("__n", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__size")).orderBy("__part").collect()
+    starts = list(zip((r["__part"] for r in sizes), accumulate((r["__size"] for r in sizes), initial=0), strict=False))
+    offsets = F.broadcast(tokens.sparkSession.createDataFrame(starts, "__part long, __start long"))
+    return rows.withColumn("__part", part).join(offsets, "__part").select(*keys, (F.col("__start") + F.col("__n").bitwiseAND((1 << 33) - 1)).alias("__at"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in spark.checkpoint.dir, or, where that is unset, in a temporary folder."""
+    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolex-")
+    path = f"{folder.rstrip('/')}/chronolex-sorted-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cooccurrences(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, **how) -> DataFrame:
     """attributes with 1, date, attributes with 2, f12, before any threshold."""
     found = pairs(tokens, attributes, distance, **how)

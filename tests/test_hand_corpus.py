@@ -1,6 +1,8 @@
 """A corpus of four documents whose counts and scores are worked out by hand."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,25 @@ def test_empty_target_and_trim(tables):
     assert top.count() == 2 and trim.cut_off(found, math.inf).count() == 0
     assert {r["l"] for r in trim.kept(found, top, ["l"]).collect()} == {r["l"] for r in top.collect()}
     assert trim.dropped(found, top, ["l"]).count() == found.count() - 2
+
+
+def test_pairs_of_a_long_sentence_are_dealt_to_many_tasks(spark, monkeypatch):
+    rnd = random.Random(2)
+    sentences = {("x", 0): 700, ("x", 1): 1, (None, 0): 9, ("y", 0): 23, ("z", None): 5}
+    rows = [(d, s, rnd.randrange(200), 1990, rnd.choice("abcd")) for (d, s), n in sentences.items() for _ in range(n)]
+    want = Counter()
+    for key in sentences:
+        words = [r[4] for r in sorted(r for r in rows if r[:2] == key)] if None not in key else [r[4] for r in sorted((r for r in rows if r[:2] == key), key=lambda r: r[2:])]
+        want.update((x, words[k], k - i) for i, x in enumerate(words) for k in range(max(i - 5, 0), min(i + 6, len(words))) if k != i)
+    frame = spark.createDataFrame(rows, "doc_id string, sent_id int, pos int, date int, l string").repartition(5)
+    monkeypatch.setattr(relations, "BLOCK", 3, raising=False)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = relations.pairs(frame, ("l",), 5).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert Counter((r["l1"], r["l2"], r["gap"]) for r in found) == want
+    tasks = Counter(r["task"] for r in found)
+    assert len(tasks) == 4 and max(tasks.values()) < len(found) / 2  # the long sentence has 95 % of all rows
+    assert relations.pairs(frame.limit(0), ("l",), 5).count() == 0
