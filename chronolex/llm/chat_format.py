@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, null_as_empty, table, tokenizer, tokenizer_file
+from .common import null_as_empty, picked, table, tokenizer, tokenizer_file
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -119,9 +119,9 @@ def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
     """conv_id, formatted, spans (of the learned texts, in code points), learned (what the tokens under the mask cover), ids, mask (one bit a token, least first)."""
     path = path or tokenizer_file("byte_bpe_50k.json")
     turn = F.struct(
-        column(rows, "turn").alias("turn"), null_as_empty(column(rows, "role")).alias("role"), null_as_empty(column(rows, "text")).alias("text")
+        F.col("turn").alias("turn"), null_as_empty(F.col("role")).alias("role"), null_as_empty(F.col("text")).alias("text")
     )
-    chats = rows.select(column(rows, "conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    chats = picked(rows, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     return chats.mapInArrow(lambda batches: _formatted(batches, path), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
 
 
@@ -145,5 +145,5 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the planted conversation -1, read back from the formatted output."""
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = picked(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(extra)
     return format_chats(rows).mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, column, null_as_empty, table, tokenizer, tokenizer_file
+from .common import ROWS_AT_ONCE, null_as_empty, picked, table, tokenizer, tokenizer_file
 
 #: A chunk ends, on average, each so many bytes (a power of two), but has so many at least and at most.
 MEAN, LEAST, MOST = 2048, 256, 16384
@@ -201,7 +201,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and decoded, the text that the ids give back."""
     path = path or tokenizer_file("word_bpe_49k.json")
-    text = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), null_as_empty(column(docs, "text")).alias("text"))
+    text = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
     return text.mapInArrow(lambda batches: _encoded(batches, path), "doc_id long, ids array<int>, decoded string")
 
 

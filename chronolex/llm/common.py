@@ -20,11 +20,13 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only, where it is unset) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine; a cluster must name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("chronolex.scratch.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="chronolex-")
             spark.conf.set("chronolex.scratch.dir", found)
     return found
@@ -56,9 +58,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The column by its exact name, also if others differ only in case or hold dots."""
-    return df[f"`{name}`"]
+def placed(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: names that clash, differ only in case or hold dots do no harm."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What placed() calls the column of this exact name, or, without one, of this name in other case."""
+    same = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name} among {df.columns}")
+    return f"c{same[0]}"
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """These columns of df alone."""
+    return placed(df).select(*(F.col(place(df, n)).alias(n) for n in names))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:

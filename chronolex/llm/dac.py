@@ -7,7 +7,8 @@ A payload: ``DAC1``, number of levels (u4), number of ids (u4), then for each le
 the continuation bits (least first, padded to 64 bits) and the ranks before each 512 bits (u4). All little-endian.
 
 Files: Parquet with one row a segment, in ascending doc_id order: shard and segment numbers, ids of the shard before the segment,
-doc_ids, lengths and the payload. Spark writes and reads them, so any store that Spark reaches will do.
+doc_ids, lengths and the payload. Spark writes and reads them, so any store that Spark reaches will do. They are not compressed, as the codes are
+compact and are read where they lie: token_at and tokens_of fetch one segment's payload and decode one id, or one document's range, in it.
 
 Defined cases: a null text is an empty document and so is the end id alone; null doc_ids come first; rows that repeat a doc_id stay,
 in order of their texts; documents of any length stay whole in one segment; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import END_ID, default_files, encode
-from .common import ROWS_AT_ONCE, column, null_as_empty, scratch_path, table
+from .common import ROWS_AT_ONCE, null_as_empty, picked, scratch_path, table
 
 _STEP = 512
 #: Ids after which a segment is closed.
@@ -127,9 +128,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, s
 
 def write_ids(docs: DataFrame, to: str, path: str, ranks: str | None, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the files: documents are dealt by ranges of doc_id, so part files and the segments in them ascend."""
-    text = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), null_as_empty(column(docs, "text")).alias("text"))
+    text = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
     ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda batches: _segments(batches, path, ranks, segment_ids), _SEGMENTS).write.option("compression", "zstd").parquet(to)
+    segments = ordered.mapInArrow(lambda batches: _segments(batches, path, ranks, segment_ids), _SEGMENTS)
+    segments.write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(to)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +147,38 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
 
 
+def _bases(segments: DataFrame) -> DataFrame:
+    """shard, base (ids of all shards before it) and shard_ids. One row a shard, that is a write task, so the running sum is bounded by the number of partitions."""
+    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
+    return totals.withColumn("base", F.sum("shard_ids").over(Window.orderBy("shard")) - F.col("shard_ids"))
+
+
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """The id at a position of the whole collection: the directory tells its segment, and one code of that segment is read."""
+    segments = spark.read.schema(_SEGMENTS).parquet(path)
+    shard = _bases(segments).filter((F.col("base") <= position) & (F.col("base") + F.col("shard_ids") > position)).first()
+    if shard is None:
+        raise IndexError(position)
+    within = position - shard["base"]
+    row = segments.filter((F.col("shard") == shard["shard"]) & (F.col("shard_ids_before") <= within) & (F.col("shard_ids_before") + F.col("n_ids") > within)).select("shard_ids_before", "payload").first()
+    return Dac(row["payload"])[within - row["shard_ids_before"]]
+
+
+def tokens_of(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | None:
+    """The ids of a document (of the first of rows that repeat its doc_id), without decoding those of others; None without it."""
+    segments = spark.read.schema(_SEGMENTS).parquet(path)
+    row = segments.filter(F.array_contains("doc_ids", doc_id)).orderBy("shard", "segment").select("doc_ids", "lengths", "payload").first()
+    if row is None:
+        return None
+    at = row["doc_ids"].index(doc_id)
+    start = sum(row["lengths"][:at])
+    return Dac(row["payload"]).range(start, start + row["lengths"][at])
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document what the files hold: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
-    # One row a shard, that is a write task: the running sum and the broadcast are bounded by the number of partitions.
-    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
-    bases = totals.select("shard", (F.sum("shard_ids").over(Window.orderBy("shard")) - F.col("shard_ids")).alias("base"))
+    bases = _bases(segments).select("shard", "base")
     placed = segments.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("shard_ids_before")).alias("before"), "doc_ids", "lengths", "payload")
     return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

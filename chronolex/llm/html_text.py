@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, null_as_empty, table
+from .common import null_as_empty, picked, table
 
 #: Pages that are looked at together; pages and tokens that a class needs; pages that a text must be on to be the template's.
 BLOCK, LEAST_PAGES, LEAST_TOKENS, LEAST_COPIES = 64, 3, 3, 8
@@ -248,10 +248,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
-    url = column(pages, "url").cast("string")
+    pages = picked(pages, "page_id", "url", "html")
+    url = F.col("url").cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(host.alias("host"), column(pages, "page_id").cast("long").alias("page_id"), url.alias("url"), null_as_empty(column(pages, "html")).alias("html"))
-    sorted_rows = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id", "url")
+    rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), null_as_empty(F.col("html")).alias("html"))
+    sorted_rows = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id", "url", "html")
     return sorted_rows.mapInArrow(_extracted, "page_id long, url string, text string")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROWS_AT_ONCE, column, forget, null_as_empty, stored, table
+from .common import ROWS_AT_ONCE, forget, null_as_empty, picked, stored, table
 
 WORDS = 5
 #: A pair of 85 % similarity shares four values in one of 16 orders at least, but for seven pairs in a million.
@@ -374,7 +374,7 @@ def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    narrow = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), null_as_empty(column(docs, "text")).alias("text"))
+    narrow = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
     signed = stored(narrow.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, values binary"), "signed")
     sets = stored(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("values").alias("values"), F.count("*").alias("copies")), "sets")
     pairs, crowds = candidates(sets.select("doc", "values"))

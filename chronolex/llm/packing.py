@@ -1,12 +1,14 @@
 """Packing of documents into sequences of a fixed number of tokens, by swap-based local search.
 
 Documents are tokenised where they lie. Longer ones are cut so that only the first piece is shorter than a sequence; a whole piece
-is a sequence by itself. The rest, at most one piece a document, are dealt into blocks of a bounded number of pieces. In each block
+is a sequence by itself. The rest, at most one piece a document, are dealt into blocks of a bounded number of pieces by their place in the
+stored table, so equal rows spread like others. In each block
 a best-fit start is improved: the emptiest bin gives its pieces away by moves, one-for-one and two-for-one exchanges with other
-underfull bins, each of which increases the sum of squared fills, until the bin is empty or no exchange helps.
+underfull bins, each of which increases the sum of squared fills, until the bin is empty or no exchange helps. What lies in the emptiest bins
+of all blocks is packed once more, in blocks of its own, until one block holds it: so blocks cost hardly any sequences.
 
-Defined cases: a null text is an empty document of the end id alone; rows that repeat a doc_id are packed each; ties are broken by
-order of doc_id; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null text is an empty document of the end id alone; texts of any length are cut, whole; rows that repeat a doc_id are packed each; ties are broken by
+order of doc_id; an empty table gives no rows; extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import END_ID, default_files, encode
-from .common import ROWS_AT_ONCE, column, null_as_empty, stored, table
+from .common import ROWS_AT_ONCE, null_as_empty, picked, stored, table
 
 ROOM = 1024
 #: Pieces of a block: many enough that a block's last bins don't count, few enough for one task.
 BLOCK = 16384
+#: Of each block one in so many pieces, those of its emptiest bins, are packed again with those of other blocks.
+AGAIN = 16
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64())])
@@ -137,18 +141,31 @@ def packed_block(block: pd.DataFrame, room: int = ROOM) -> pd.DataFrame:
         at = 0
         for i in items:
             sequence[i], offset[i], at = number, at, at + lengths[i]
-    return block.assign(sequence_id=(block["block"].astype(np.int64).to_numpy() << 32) | sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    fill, pieces = np.bincount(sequence, weights=lengths), np.bincount(sequence)
+    emptiest = np.argsort(fill, kind="stable")
+    loose = np.zeros(len(fill), dtype=bool)
+    loose[emptiest[np.cumsum(pieces[emptiest]) <= max(len(block) // AGAIN, pieces[emptiest[0]])]] = True
+    named = block.assign(sequence_id=(block["block"].astype(np.int64).to_numpy() << 32) | sequence, offset=offset, loose=(loose & (fill < room))[sequence])
+    return named[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "loose"]]
 
 
 def pack_documents(docs: DataFrame, path: str, ranks: str | None, room: int = ROOM, block: int = BLOCK) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    text = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), null_as_empty(column(docs, "text")).alias("text"))
+    text = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
     pieces = stored(text.mapInArrow(lambda batches: _pieces(batches, path, ranks, room), _PIECES), "pieces")
-    short = pieces.filter(F.col("length") < room)
-    n_blocks = max(1, -(-short.count() // block))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(n_blocks))
-    packed = short.withColumn("block", key).groupBy("block").applyInPandas(lambda pdf: packed_block(pdf, room), f"{_PIECES}, offset long")
-    return pieces.filter(F.col("length") == room).withColumn("offset", F.lit(0).cast("long")).unionByName(packed)
+    done, left, first = pieces.filter(F.col("length") == room).withColumn("offset", F.lit(0).cast("long")), pieces.filter(F.col("length") < room), 0
+    while True:
+        n_blocks = max(1, -(-left.count() // block))
+        # Rows are dealt by their number in the stored table, which a repeated task counts alike.
+        key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)) + first
+        packed = left.withColumn("block", key).groupBy("block").applyInPandas(lambda pdf: packed_block(pdf, room), f"{_PIECES}, offset long, loose boolean")
+        if n_blocks == 1:
+            return done.unionByName(packed.drop("loose"))
+        packed, first = stored(packed, "packed"), first + n_blocks
+        done, again = done.unionByName(packed.filter("not loose").drop("loose")), packed.filter("loose")
+        if 2 * again.count() > left.count():  # one bin of each block holds most of it
+            return done.unionByName(again.drop("loose"))
+        left = again.drop("offset", "loose")
 
 
 def op8_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

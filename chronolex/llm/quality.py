@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, column, null_as_empty, stored, table
+from .common import SPACE, null_as_empty, picked, place, placed, stored, table
 from .weak_labels import Reliability, estimate
 
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -35,9 +35,9 @@ def _repeat_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(once(placed, lambda a: once(starts(a), lambda s: total(added(s)))))
 
 
-def measured(docs: DataFrame, text: Column) -> DataFrame:
-    """docs as the struct row, with the features of text."""
-    staged = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("row"), null_as_empty(text).alias("text"))
+def measured(docs: DataFrame, text: str) -> DataFrame:
+    """docs as the struct row, with the features of the column named text."""
+    staged = docs.select(F.struct(*docs.columns).alias("row"), null_as_empty(F.col(text)).alias("text"))
     trimmed = F.btrim("text", F.lit(_BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
     staged = staged.withColumn("words", words)
@@ -95,9 +95,8 @@ def probability(model: Reliability) -> Column:
 
 
 def judged(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """row (of docs, or of its doc_id only), the features, base_failed, quality (the posterior) and kept."""
-    of = docs if with_text else docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
-    found = measured(of, column(of, "text"))
+    """row (of placed(docs), or of the doc_id only), the features, base_failed, quality (the posterior) and kept."""
+    found = measured(placed(docs), place(docs, "text")) if with_text else measured(picked(docs, "doc_id", "text"), "text")
     row = F.col("row") if with_text else F.struct(F.col("row")["doc_id"].alias("doc_id"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     voted = stored(found.select(row.alias("row"), *FEATURES, base.alias("base_failed"), F.array(*votes()).alias("votes")), "quality")
@@ -107,7 +106,7 @@ def judged(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, whole, that are kept."""
-    return judged(docs, with_text=True).filter("kept").select("row.*")
+    return judged(docs, with_text=True).filter("kept").select("row.*").toDF(*docs.columns)
 
 
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 Changes are signed: an insert adds a document and its tokens, a delete takes them away, a revised count adds the difference (and moves the
 document, if its source or language is another). A batch of changes is summed by source, language and tokenizer version, and only these sums are
-committed, under the batch's name. A commit writes beside the store and renames at its end, so a batch is there whole or not at all, and a name
-that is there is not written again: repeating a batch, whole or after a crash, changes nothing. Totals are sums over the batches.
+committed, under the batch's name. A commit writes its sums into a folder of their own inside the store and then a manifest under the batch's name,
+by a rename; only folders that a manifest names count. So a batch is there whole or not at all, two writers of one batch count once, and
+repeating a batch, whole or after a crash, changes nothing; the same name with other sums is an error. Totals are sums over
+the committed folders, and a compaction replaces them by one.
 
 Defined cases: null source or lang are groups of their own; null counts are 0; an empty batch is committed and adds nothing; groups
-whose documents and tokens are all gone are left out of the totals; repeated rows count each; extra columns are ignored.
+whose documents and tokens are all gone are left out of the totals; repeated rows count each; texts of any length are counted
+whole; an empty table or store has no totals; extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import default_files, encode
-from .common import ROWS_AT_ONCE, SPACE, column, null_as_empty, scratch_path, stored, table
+from .common import ROWS_AT_ONCE, SPACE, null_as_empty, picked, scratch_path, stored, table
 
 KEYS = ("source", "lang", "tokenizer")
-_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string"
+_SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_MANIFEST = "batch string, folder string, digest string, replaces array<string>"
 
 
 def _change(side: str, sign: int, tokens: Column, keep: Column) -> Column:
@@ -50,29 +56,95 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def _known(spark: SparkSession, store: str, batch: str):
+    """The manifest of a batch, or None."""
+    target, fs = _files(spark, f"{store}/commits/{batch}.json")
+    return spark.read.schema(_MANIFEST).json(str(target)).first() if fs.exists(target) else None
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    # Sums by task first: a source with a third of all rows arrives as one row a task.
+    return changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _digest(sums: DataFrame) -> str:
+    """The same for the same rows in any order."""
+    rows, total = sums.agg(F.count("*"), F.sum(F.xxhash64(*KEYS, "n_docs", "n_tokens").cast("decimal(38,0)"))).first()
+    return f"{rows}:{total}"
+
+
+def _staged(store: str, batch: str, changes: DataFrame) -> tuple[str, str]:
+    """Writes a batch's sums into a folder of their own, which counts only once a manifest names it: (folder, digest of the sums)."""
+    folder = f"{batch}-{uuid.uuid4().hex}"
+    path = f"{store}/data/folder={folder}"
+    _summed(changes).write.parquet(path)
+    return folder, _digest(changes.sparkSession.read.schema(_SUMS).parquet(path))
+
+
+def _published(spark: SparkSession, store: str, batch: str, folder: str, digest: str, replaces: list[str]) -> bool:
+    """Makes the folder the batch's by renaming a manifest to the batch's name; False if another writer was first. There is one manifest a name, so
+    whoever wins, one folder counts."""
+    hidden, fs = _files(spark, f"{store}/commits/.{folder}")
+    target, _ = _files(spark, f"{store}/commits/{batch}.json")
+    fs.mkdirs(target.getParent())
+    out = fs.create(hidden, True)
+    out.write(bytearray(json.dumps({"batch": batch, "folder": folder, "digest": digest, "replaces": replaces}).encode()))
+    out.close()
+    won = not fs.exists(target) and fs.rename(hidden, target)
+    fs.delete(hidden, False)
+    found = _known(spark, store, batch)
+    if found is None:
+        raise OSError(f"batch {batch} could not be committed to {store}")
+    if won and found["folder"] == folder:
+        return True
+    data, _ = _files(spark, f"{store}/data/folder={folder}")
+    fs.delete(data, True)
+    return False
+
+
 def commit(store: str, batch: str, changes: DataFrame) -> bool:
-    """Adds the batch's sums to the store; False if the store has the batch already."""
+    """Adds the batch's sums to the store; False if the store has the batch already. The same name with other sums is an error."""
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", batch):
         raise ValueError(f"not a batch name: {batch!r}")
     spark = changes.sparkSession
-    target, fs = _files(spark, f"{store}/batch={batch}")
-    if fs.exists(target):
-        return False
-    beside = scratch_path(spark, "commit")
-    # Sums by task first: a source with a third of all rows arrives as one row a task.
-    sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sums.write.parquet(beside)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(_files(spark, beside)[0], target) and not fs.exists(target):
-        raise OSError(f"batch {batch} could not be committed to {store}")
-    return True
+    found = _known(spark, store, batch)
+    if found is None:
+        folder, digest = _staged(store, batch, changes)
+        if _published(spark, store, batch, folder, digest, []):
+            return True
+        found = _known(spark, store, batch)
+    else:
+        digest = _digest(_summed(changes))
+    if found["digest"] != digest:
+        raise ValueError(f"batch {batch} is in {store} with other sums")
+    return False
+
+
+def _committed(spark: SparkSession, store: str) -> DataFrame:
+    """The sums of all folders that a manifest names and none replaces."""
+    target, fs = _files(spark, f"{store}/commits")
+    if not fs.exists(target):
+        return spark.createDataFrame([], _SUMS)
+    manifests = spark.read.schema(_MANIFEST).json(str(target))
+    counted = manifests.select("folder").join(manifests.select(F.explode("replaces").alias("folder")), "folder", "left_anti")
+    sums = spark.read.schema(f"{_SUMS}, folder string").option("basePath", f"{store}/data").parquet(f"{store}/data")
+    return sums.join(counted, "folder", "left_semi")
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-    found = spark.read.schema(_SCHEMA).option("basePath", store).parquet(store)
-    summed = found.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return summed.filter("n_docs <> 0 or n_tokens <> 0")
+    return _summed(_committed(spark, store)).filter("n_docs <> 0 or n_tokens <> 0")
+
+
+def compact(spark: SparkSession, store: str) -> bool:
+    """Writes the sums of all committed folders as one that replaces them; names of batches stay known. False if another compaction came first."""
+    manifests = spark.read.schema(_MANIFEST).json(f"{store}/commits")
+    counted = manifests.select("folder").join(manifests.select(F.explode("replaces").alias("folder")), "folder", "left_anti")
+    folders = sorted(r["folder"] for r in counted.collect())  # those since the last compaction
+    number = manifests.filter(F.size("replaces") > 0).count()
+    sums = spark.read.schema(f"{_SUMS}, folder string").option("basePath", f"{store}/data").parquet(*(f"{store}/data/folder={f}" for f in folders))
+    name = f"compacted-{number}"
+    return _published(spark, store, name, *_staged(store, name, sums), folders)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None) -> Iterator[pa.RecordBatch]:
@@ -85,9 +157,9 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None) ->
 
 def counted(docs: DataFrame, path: str, ranks: str | None) -> DataFrame:
     """Per row of docs: source, lang, words (between white space) and ids (of the byte-level BPE)."""
-    text = null_as_empty(column(docs, "text"))
+    text = null_as_empty(F.col("text"))
     words = F.size(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), f"{SPACE}+")).cast("long")
-    rows = docs.select(column(docs, "source").cast("string").alias("source"), column(docs, "lang").cast("string").alias("lang"), F.when(F.translate(text, " \t\n\x0b\x0c\r", "") == "", F.lit(0).cast("long")).otherwise(words).alias("words"), text.alias("text"))
+    rows = picked(docs, "source", "lang", "text").select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.when(F.translate(text, " \t\n\x0b\x0c\r", "") == "", F.lit(0).cast("long")).otherwise(words).alias("words"), text.alias("text"))
     return rows.mapInArrow(lambda batches: _counted(batches, path, ranks), "source string, lang string, words long, ids long")
 
 

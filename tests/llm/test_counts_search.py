@@ -40,6 +40,25 @@ def test_batches(spark, tmp_path):
         token_rollup.commit(store, "../x", load)
 
 
+def test_two_writers_and_a_crash(spark, tmp_path):
+    """Two writers of one batch, both past the look for it, count once; a writer that dies before its manifest counts not at all."""
+    store = str(tmp_path / "store")
+    rows = lambda n: spark.createDataFrame([("a", "en", "v1", n)], "source string, lang string, tokenizer string, n_tokens long")
+    staged = [token_rollup._staged(store, "b1", token_rollup.inserts(rows(5))) for _ in range(2)]
+    assert told(token_rollup.totals(spark, store)) == {}
+    assert [token_rollup._published(spark, store, "b1", *x, []) for x in staged] == [True, False]
+    assert told(token_rollup.totals(spark, store)) == {("a", "en", "v1"): (1, 5)}
+    token_rollup._staged(store, "b2", token_rollup.inserts(rows(7)))  # and then it dies
+    assert told(token_rollup.totals(spark, store)) == {("a", "en", "v1"): (1, 5)}
+    assert token_rollup.commit(store, "b2", token_rollup.inserts(rows(7))) and not token_rollup.commit(store, "b2", token_rollup.inserts(rows(7)))
+    with pytest.raises(ValueError, match="other sums"):
+        token_rollup.commit(store, "b2", token_rollup.inserts(rows(8)))
+    for more in ("b3", "b4"):
+        assert token_rollup.compact(spark, store) and told(token_rollup.totals(spark, store))["a", "en", "v1"][0] == (2 if more == "b3" else 3)
+        assert token_rollup.commit(store, more, token_rollup.inserts(rows(1))) and not token_rollup.commit(store, "b1", token_rollup.inserts(rows(5)))
+    assert told(token_rollup.totals(spark, store)) == {("a", "en", "v1"): (4, 14)}
+
+
 def test_counted_odd_rows(spark, odd, empty):
     rows = sorted((r["words"], r["ids"]) for r in token_rollup.counted(odd, *byte_bpe.default_files()).collect())
     assert len(rows) == 12 and rows[0] == (0, 0) and rows[-1][0] == 30_000 and token_rollup.counted(empty, *byte_bpe.default_files()).count() == 0

@@ -14,12 +14,13 @@ from tests.llm.test_weak import KINDS, features, spans
 
 
 def masked(text):
-    places = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans(text)))
+    keys = [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', text)]
+    places = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans(text) + keys))
     out, at = [], 0
     for a, b, kind in places:
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
-            at = -b
+        at = max(at, -b)
     return "".join(out) + text[at:]
 
 

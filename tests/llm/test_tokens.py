@@ -188,3 +188,68 @@ def test_tokens_under_the_mask_are_what_is_learned(spark, data):
         assert encoder.decode([i for i, m in zip(r["ids"], under, strict=True) if m], skip_special_tokens=False) == want
         assert [list(x) for x in r["learned"]] == [list(x) for x in r["spans"] if x[0] < x[1]]
         assert encoder.decode(r["ids"], skip_special_tokens=False) == r["formatted"]
+
+
+def test_one_token_of_the_files(spark, data, texts, tmp_path, monkeypatch):
+    """Any position and any document are read through one segment's payload."""
+    docs, to = spark.read.parquet(f"{data}/documents.parquet").repartition(3), str(tmp_path / "ids")
+    dac.write_ids(docs, to, BYTES, RANKS, segment_ids=4000)
+    ids = {d: [*whole(BYTES, t or ""), 2] for d, t in texts.items()}
+    every = [i for d in sorted(ids) for i in ids[d]]
+    opened = []
+    monkeypatch.setattr(dac, "Dac", lambda payload, real=dac.Dac: opened.append(len(payload)) or real(payload))
+    places = [0, 1, 3999, 4000, len(every) // 2, len(every) - 1]
+    assert [dac.token_at(spark, to, p) for p in places] == [every[p] for p in places] and len(opened) == len(places)
+    for d in sorted(ids)[:: len(ids) // 3]:
+        assert dac.tokens_of(spark, to, d).tolist() == ids[d]
+    assert dac.tokens_of(spark, to, -5) is None
+    with pytest.raises(IndexError):
+        dac.token_at(spark, to, len(every))
+
+
+def test_swaps_save_bins():
+    """Lengths that fill bins exactly in threes, of which best fit needs more bins than the swaps leave."""
+    rnd, saved = random.Random(3), 0
+    for _ in range(30):
+        lengths = []
+        for _ in range(60):
+            a = rnd.randint(260, 480)
+            b = rnd.randint(260, 1024 - 260 - a)
+            lengths += [a, b, 1024 - a - b]
+        start = packing.best_fit(lengths, 1024)
+        end = packing.improved(lengths, start, 1024)
+        assert sorted(i for b in end for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1024 for b in end)
+        assert len(end) <= len(start)
+        saved += len(start) - len(end)
+    assert saved > 0
+
+
+def test_many_equal_rows_are_dealt(spark):
+    """Equal rows spread over blocks, and blocks cost no sequences."""
+    rows = spark.range(6000).selectExpr("cast(null as long) as doc_id", "repeat('word ', 300) as text").repartition(3)
+    got = packing.pack_documents(rows, BYTES, RANKS, block=1000).collect()
+    fill = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    size = got[0]["length"]
+    assert len(got) == 6000 and max(fill.values()) <= 1024 and len(fill) == -(-6000 // (1024 // size))
+    mixed = spark.range(5000).selectExpr("id as doc_id", "repeat('word ', 1 + cast(pmod(xxhash64(id), 400) as int)) as text").repartition(4)
+    got = packing.pack_documents(mixed, BYTES, RANKS, block=500).collect()
+    assert len({r["sequence_id"] for r in got}) <= -(-sum(r["length"] for r in got) // 1024) + 1
+
+
+def test_columns_whose_names_differ_in_case(spark):
+    """Each operator takes the column of the exact name."""
+    from chronolex.llm import bm25, html_text, near_dup, pii, quality, token_rollup
+    from chronolex.llm.common import picked
+
+    docs = spark.createDataFrame([(1, 9, "a b c d e f g h i j k l m a@b.co", "OTHER", "s", "en", 5)], "doc_id long, DOC_ID long, text string, TEXT string, source string, lang string, n_chars long")
+    assert near_dup.near_duplicates(docs).first()["doc_id"] == 1 and chunk_bpe.encode_documents(docs).first()["doc_id"] == 1
+    assert [len(quality.good_documents(docs).first()), len(pii.masked_documents(docs).first())] == [7, 7]
+    assert "[EMAIL]" in pii.masked_documents(docs).collect()[0][2] and quality.good_documents(docs).columns == docs.columns
+    assert packing.pack_documents(docs, BYTES, RANKS).first()["doc_id"] == 1 and token_rollup.counted(docs, BYTES, RANKS).first()["words"] == 14
+    assert bm25.top_k(docs, picked(docs, "doc_id", "text").selectExpr("5 as query_id", "text")).first()["doc_id"] == 1
+    pages = spark.createDataFrame([(1, 2, "u", "<p>x</p>", "no")], "page_id long, PAGE_ID long, url string, html string, HTML string")
+    assert html_text.main_text(pages).first()["text"] == "x"
+    chats = spark.createDataFrame([(1, 0, "assistant", "ok", "no")], "conv_id long, turn long, role string, text string, TEXT string")
+    assert chat_format.format_chats(chats).first()["conv_id"] == 1
