@@ -39,9 +39,11 @@ def clamp(x: float, low: float, high: float) -> float:
     return min(high, max(low, x))
 
 
-def estimate(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, share: float = 0.8) -> Reliability:
-    """EM for votes 1, -1 and 0 (abstains) with their counts, started from rules that are right nine times in ten. Without rows: the start."""
-    now = Reliability(share, ((0.9, 0.9),) * n_rules)
+def estimate(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, share: float = 0.8, start: Sequence[float] | None = None, hold: float = 0.0) -> Reliability:
+    """EM for votes 1, -1 and 0 (abstains) with their counts, started from rules that are right nine times in ten, or as start says; hold is the weight of
+    the start beside the votes, for rules that seldom meet. Without rows: the start."""
+    start = start or (0.9,) * n_rules
+    now = Reliability(share, tuple((x, x) for x in start))
     total = sum(n for _, n in patterns)
     if not total:
         return now
@@ -49,8 +51,9 @@ def estimate(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, share:
         truth = [(v, n, now.posterior(v)) for v, n in patterns]
         right = []
         for r in range(n_rules):
-            # Nine of ten invented votes are right: a rule that hardly votes stays near the start.
-            one, zero = [9.0, 10.0], [9.0, 10.0]
+            # Ten invented votes or more, as right as at the start: a rule that hardly votes stays near it.
+            invented = 10.0 + hold * sum(n for v, n, _ in truth if v[r])
+            one, zero = [invented * start[r], invented], [invented * start[r], invented]
             for v, n, p in truth:
                 if v[r]:
                     one[0] += n * p * (v[r] > 0)
@@ -58,7 +61,7 @@ def estimate(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, share:
                     zero[0] += n * (1 - p) * (v[r] < 0)
                     zero[1] += n * (1 - p)
             right.append((clamp(one[0] / one[1], LEAST, MOST), clamp(zero[0] / zero[1], LEAST, MOST)))
-        after = Reliability(clamp(sum(n * p for _, n, p in truth) / total, 0.05, 0.95), tuple(right))
+        after = Reliability(clamp((sum(n * p for _, n, p in truth) + hold * total * share) / (total * (1 + hold)), 0.05, 0.95), tuple(right))
         moved = max(abs(after.share - now.share), *(abs(a - b) for x, y in zip(after.right, now.right, strict=True) for a, b in zip(x, y, strict=True)))
         now = after
         if moved < 1e-7:
