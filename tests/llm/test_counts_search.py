@@ -110,10 +110,38 @@ def test_pruning_in_small_shards(spark, data, texts, monkeypatch):
 
     ask = lambda k: next(shard.search(np.array([-1]), np.array([0, len(terms)]), terms, np.ones(len(terms)), k))
     all_ids, all_scores = ask(10_000)
-    before = shard.scored
     ids, scores = ask(3)
     assert ids.tolist() == all_ids[:3].tolist() and np.allclose(scores, all_scores[:3])
-    assert shard.scored - before <= before
+
+
+def test_blocks_are_skipped_unread():
+    """Where few documents hold a query's rare word, pivot and block maxima leave most stretches and postings unread, and the answer is that of scoring all."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    docs = [(k, " ".join(rnd.choices(["the", "of", "and", "to"], k=20) + rnd.choices([f"w{j}" for j in range(300)], k=10) + (["rare"] if k % 97 == 5 else []))) for k in range(3000)]
+    rows = [r for b in bm25._indexed(iter([pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})])) for r in b.to_pylist()]
+    assert len(rows) == 1
+    queries = [(-1, "rare the of and"), (5, docs[5][1]), (-2, "the of"), (-3, "nothing of this kind")]
+    want = brute(docs, queries)
+    df, n = Counter(w for _, t in docs for w in set(t.split())), len(docs)
+    mean = sum(len(t.split()) for _, t in docs) / n
+    for q, text in queries:
+        words = {int(bm25.terms_of(w)[0][0]): w for w in set(text.split())}
+        terms = np.array(sorted(words))
+        idf = np.array([math.log(1 + (n - df[words[t]] + 0.5) / (df[words[t]] + 0.5)) for t in terms.tolist()])
+        shard = bm25.Shard(rows[0], mean)
+        ids, scores = next(shard.search(np.array([q]), np.array([0, len(terms)]), terms, idf, 10))
+        assert len(scores) == len(want[q]) and np.allclose(scores, [s for _, s in want[q]], atol=2e-6)
+        assert {d for d, s in zip(ids.tolist(), scores.tolist(), strict=True) if s > scores[-1] + 1e-5} == {d for d, s in want[q] if s > scores[-1] + 1e-5}
+        seen = shard.seen
+        if q == -1:
+            assert seen["beyond_pivot"] > 0.8 * seen["stretches"] and seen["scored_postings"] < 0.1 * seen["postings"]
+        if q == 5:
+            assert seen["scored_stretches"] < 0.5 * seen["stretches"]
 
 
 def test_odd_rows(spark, odd, empty):
