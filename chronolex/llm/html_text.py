@@ -1,18 +1,24 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages are sorted by host and dealt by ranges, so a host of any size spreads over tasks; in a task, runs of pages of one host are taken
-BLOCK at a time. In a block each token, a tag or a word with the path of elements above it, has an occurrence vector: how often
-each page holds it. Tokens with equal vectors form a class. A class is valid if enough pages hold it, it has enough tokens and they come in one
-order on every page; valid classes nest into a template, outermost first, if no class crosses another's span. What lies in the
-template's gaps are slots, which are extracted; blocks of text that belong to the template itself, and slots under elements that
-bear menus, headers, footers, sidebars, notices, adverts, forms or reader comments, are not.
-
-Inside an ``article`` or ``main`` element no text counts as template, as pages of a host may be copies of each other. Character references are
-decoded, white space in a block becomes one space, and blocks are joined in page order by two line feeds.
-
-Defined cases: a null html is an empty page with empty text; a page alone of its host has no template and is read by its elements; a url that is
-null or names no host forms a group of its own; pages of any length are whole; repeated rows each give a row; unclosed comments, scripts and tags
-end with the page; an empty table gives no rows; extra columns are ignored.
+A page is a sequence of tokens: tags, and the texts between block tags, each with the path of elements above it. A token's occurrence vector says how
+often each page of its host holds it; Spark sums it up over all pages of the host, wherever they lie, as an exclusive or of numbers that pages and counts give, so
+equal vectors have equal sums. Tokens with equal vectors on half of the pages or more form a class. A class is valid if it has enough
+tokens (a text counts as its words do) and crosses no other's span; valid classes nest into the host's template. Its elements are slots, and each knows
+how many words, links apart, all pages of the host have in it.
+
+The main slot is the deepest element of the template, once on a page, that holds nearly all of the host's words, or most of them if it is an
+``article`` or ``main``: names of elements and classes are evidence beside the words. On each page that has the template's tokens in their order, the text of
+the main slot is extracted, without slots under elements that bear menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and without
+the template's own texts. In an ``article`` or ``main`` element no text counts as the template's, and elsewhere none if half of the slot would go,
+as pages of a host may be copies of each other. Pages of hosts with fewer than LEAST_PAGES pages, and pages of another form than their
+host's, are read by the evidence of element names alone.
+
+Character references are decoded, white space in a block becomes one space, and blocks are joined in page order by two line feeds. Nothing depends on how
+pages are dealt to tasks. What Spark sums for a host's template are the tokens on half of its pages, so about two pages' worth, however many there are.
+
+Defined cases: a null html is an empty page with empty text, and no page of its host's template; a url that is
+null or names no host forms a group of its own; pages of any length are whole; repeated rows, also with equal page_id and url, each give a row; unclosed
+comments, scripts and tags end with the page; an empty table gives no rows; extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +31,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_as_empty, picked, table
+from .common import forget, null_as_empty, picked, stored, table
 
-#: Pages that are looked at together; pages and tokens that a class needs; pages that a text must be on to be the template's.
-BLOCK, LEAST_PAGES, LEAST_TOKENS, LEAST_COPIES = 64, 3, 3, 8
+#: Pages that a host needs for a template, and a token to be in it; tokens that a class needs.
+LEAST_PAGES, LEAST_TOKENS = 3, 3
+#: Shares of the host's words that the main slot has: any element, and one that is named as such. Pages that a host needs for texts to be told as the template's.
+MOST, NAMED_MOST, LEAST_COPIES = 0.8, 0.5, 8
+#: Bytes of templates that are broadcast; beyond, pages and templates meet in a join over so many salts.
+BROADCAST, SALTS = 32 << 20, 16
+#: Tokens after which a task hands its sums on.
+HELD = 1 << 19
 
 _PIECE = re.compile(
     r"<!--(?:.*?-->|.*)|<![^>]*>|<\?[^>]*>"
@@ -60,14 +73,19 @@ _NAME = re.compile(r"[A-Za-z]+")
 _CLOSES_ITSELF = frozenset(("p", "li", "dt", "dd", "tr", "option"))
 
 
+#: Elements that can be the main slot.
+_CONTAINERS = frozenset("html body main article section div td table tbody tr center form".split())
+
+
 @dataclass
 class Block:
-    """A stretch of text between two block tags: its words, whether an element around it is outside the article, or is the article."""
+    """A stretch of text between two block tags: the elements around it, whether one is outside the article, or is the article."""
 
-    path: int
+    under: tuple[int, ...]
     outside: bool
     inside: bool
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
 
     def words(self) -> list[str]:
         return entities.unescape("".join(self.parts)).split()
@@ -75,7 +93,7 @@ class Block:
 
 @dataclass
 class Page:
-    tokens: list  # in order: tags with their paths as strings, and blocks
+    tokens: list  # in order: pairs of a path and a tag or a block
     blocks: list[Block]
 
 
@@ -92,22 +110,24 @@ def _is_outside(name: str, attributes: str, in_main: bool) -> bool:
 
 
 def read(page: str) -> Page:
-    """The page's tags and blocks of text, with the elements around each."""
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # name, outside, inside, path
+    """The page's tags and blocks of text. Tags are (path, tag, depth of a container or 0, whether it is named as the article)."""
+    stack: list[tuple] = [("", False, False, "", ())]  # name, outside, inside, path, tokens of the elements around
     tokens: list = []
     blocks: list[Block] = []
     block: Block | None = None
-    at = 0
+    at = links = 0
 
     def add(text: str) -> None:
         nonlocal block
         if block is None:
             if not text.strip():
                 return
-            block = Block(len(blocks), stack[-1][1], stack[-1][2])
+            block = Block(stack[-1][4], stack[-1][1], stack[-1][2])
             blocks.append(block)
             tokens.append((stack[-1][3], block))
         block.parts.append(text)
+        if links:
+            block.linked += len(text.split())
 
     for m in _PIECE.finditer(page):
         if m.start() > at:
@@ -119,143 +139,249 @@ def read(page: str) -> Page:
         if name in _SPACED:
             add(" ")
         if name in _BLOCKS:
-            block = None
-        _, outside, inside, path = stack[-1]
+            block, links = None, 0
+        _, outside, inside, path, under = stack[-1]
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            tokens.append((stack[-1][3], f"</{name}>"))
+            if name == "a":
+                links = 0
+            tokens.append((stack[-1][3], f"</{name}>", 0, False))
         elif name in _VOID:
-            tokens.append((path, f"<{name}>"))
+            tokens.append((path, f"<{name}>", 0, False))
         else:
             if name in _CLOSES_ITSELF and stack[-1][0] == name:
                 stack.pop()
-                _, outside, inside, path = stack[-1]
+                _, outside, inside, path, under = stack[-1]
             if name in _MAIN and not inside and outside and not any(s[0] not in ("nav", "header", "div", "ul", "li") and s[1] for s in stack[1:]):
                 outside = False  # an article ends a menu that was never closed
             attributes = m[4]
-            tokens.append((path, f"<{name}{attributes.strip() if 'class' in attributes or 'id' in attributes else ''}>"))
+            tag = f"<{name}{attributes.strip() if 'class' in attributes or 'id' in attributes else ''}>"
             inside = inside or name in _MAIN and not outside
+            outside_too = outside or _is_outside(name, attributes, inside)
+            links += name == "a"
+            container = name in _CONTAINERS and len(stack) < 40
+            tokens.append((path, tag, len(stack) if container and not outside_too else 0, name in _MAIN))
             # Inline elements share their parent's path: words keep one place whatever is set in bold.
-            stack.append((name, outside or _is_outside(name, attributes, inside), inside, f"{path}/{name}" if name in _BLOCKS and len(stack) < 40 else path))
+            stack.append((name, outside_too, inside, f"{path}/{name}" if name in _BLOCKS and len(stack) < 40 else path, (*under, key(path, tag)) if container else under))
     if at < len(page):
         add(page[at:])
     return Page(tokens, blocks)
 
 
-def classes(pages: list[list[tuple[str, str]]]) -> list[list[tuple[str, str]]]:
-    """Valid equivalence classes of tokens, outermost first, each in its order on the pages; together they nest into a template."""
-    held = Counter()
-    counts = [Counter(tokens) for tokens in pages]
-    for c in counts:
-        held.update(c.keys())
-    frequent = [t for t, n in held.items() if n >= max(LEAST_PAGES, len(pages) // 2 + 1)]
-    vectors: dict[bytes, list] = defaultdict(list)
-    for t in frequent:
-        vectors[np.array([c[t] for c in counts], dtype=np.uint32).tobytes()].append(t)
-    firsts = []
-    for tokens in pages:
-        first: dict = {}
-        for k, t in enumerate(tokens):
-            first.setdefault(t, k)
-        firsts.append(first)
-    found: list[tuple[list, list[list[int]]]] = []
-    for key, members in sorted(vectors.items(), key=lambda kv: (max(np.frombuffer(kv[0], np.uint32)), -len(kv[1]))):
-        if len(members) < LEAST_TOKENS:
+_keys: dict[tuple[str, str], int] = {}
+
+
+def key(path: str, token: str) -> int:
+    """The number of a token, not 0."""
+    found = _keys.get((path, token))
+    if found is None:
+        if len(_keys) >= 1 << 16:
+            _keys.clear()
+        found = _keys[path, token] = (xxhash.xxh64_intdigest(f"{path}\0{token}") >> 1) | 1
+    return found
+
+
+#: What a token's row holds: pages with it, how often in all, the sum of its vector, of its first places, and of words in it; its depth as a container, whether it
+#: is named as the article, and how many words it has as a text.
+_SUMS = "host long, token long, pages long, n long, vector long, place double, mass long, depth int, named int, words int"
+_SUMS_ARROW = pa.schema([("host", pa.int64()), ("token", pa.int64()), ("pages", pa.int64()), ("n", pa.int64()), ("vector", pa.int64()), ("place", pa.float64()), ("mass", pa.int64()), ("depth", pa.int32()), ("named", pa.int32()), ("words", pa.int32())])
+_HOW = {"pages": np.add, "n": np.add, "vector": np.bitwise_xor, "place": np.add, "mass": np.add, "depth": np.maximum, "named": np.maximum, "words": np.maximum}
+
+
+def seen(host: int, source: str, number: int) -> list[tuple]:
+    """The rows of one page: of each token, and of the page as token 0. number stands for the page in vectors."""
+    page = read(source)
+    count, first, shape, mass = Counter(), {}, {}, Counter()
+    for k, (path, token, *rest) in enumerate(page.tokens):
+        if isinstance(token, Block):
+            words = token.words()
+            if not words:
+                continue
+            t, kind = key(path, " ".join(words)) if len(words) < 64 else (xxhash.xxh64_intdigest(f"{path}\0{' '.join(words)}") >> 1) | 1, (0, 0, len(words))
+            if not token.outside and (own := len(words) - token.linked) > 0:
+                mass[0] += own
+                for u in dict.fromkeys(token.under):
+                    mass[u] += own
+        else:
+            t, kind = key(path, token), (rest[0], int(rest[1]), 0)
+        count[t] += 1
+        first.setdefault(t, k)
+        shape.setdefault(t, kind)
+    if not count:
+        return []
+    total = len(page.tokens)
+    vector = {n: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed=number) - (1 << 63) for n in set(count.values())}
+    return [(host, 0, 1, 1, 0, 0.0, mass[0], 0, 0, 0)] + [(host, t, 1, n, vector[n], first[t] / total, mass[t], *shape[t]) for t, n in count.items()]
+
+
+def summed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of pages summed by host and token."""
+    columns = {c: np.array(v, dtype=_SUMS_ARROW.field(c).type.to_pandas_dtype()) for c, v in zip(_SUMS_ARROW.names, zip(*rows, strict=True), strict=True)}
+    order = np.lexsort((columns["token"], columns["host"]))
+    columns = {c: v[order] for c, v in columns.items()}
+    starts = np.flatnonzero(np.append(True, (np.diff(columns["host"]) != 0) | (np.diff(columns["token"]) != 0)))
+    return pa.RecordBatch.from_arrays([pa.array(_HOW[c].reduceat(v, starts) if c in _HOW else v[starts]) for c, v in columns.items()], schema=_SUMS_ARROW)
+
+
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for batch in batches:
+        for host, source, number in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "number")), strict=True):
+            held += seen(host, source, number & 0xFFFFFFFFFFFFFFFF)
+            if len(held) >= HELD:
+                yield summed(held)
+                held = []
+    if held:
+        yield summed(held)
+
+
+@dataclass
+class Template:
+    """A host's main slot, whether its name says so too, the tokens of its class in order, and the texts of the template."""
+
+    main: int | None = None
+    named: bool = False
+    frame: list[int] = field(default_factory=list)
+    texts: list[int] = field(default_factory=list)
+
+
+def classes(rows: list[dict]) -> list[list[dict]]:
+    """Valid classes of a host's tokens, in order of their places; together they nest."""
+    found: dict[int, list[dict]] = defaultdict(list)
+    for r in rows:
+        found[r["vector"]].append(r)
+    valid: list[list[dict]] = []
+    for members in sorted(found.values(), key=lambda m: (-max(r["pages"] for r in m), -len(m), min(r["token"] for r in m))):
+        if sum(1 + r["words"] for r in members) < LEAST_TOKENS:
             continue
-        vector = np.frombuffer(key, np.uint32)
-        on = np.flatnonzero(vector).tolist()
-        members.sort(key=firsts[on[0]].__getitem__)
-        places = [[firsts[p][t] for t in members] for p in on]
-        if any(a > b for page in places for a, b in zip(page, page[1:], strict=False)):
-            continue  # its tokens have no one order
-        if all(_nested(dict(zip(on, places, strict=True)), other) for other in found):
-            found.append((members, dict(zip(on, places, strict=True))))
-    return [members for members, _ in found]
-
-
-def _nested(places: dict[int, list[int]], other: tuple[list, dict[int, list[int]]]) -> bool:
-    """Whether on every page that has both, one class lies within the other's span or beside it, so that none crosses another."""
-
-    def uncrossed(mine: list[int], theirs: list[int]) -> bool:
-        a, b, c, d = mine[0], mine[-1], theirs[0], theirs[-1]
-        return b < c or d < a or c <= a and b <= d or a <= c and d <= b
-
-    return all(uncrossed(mine, other[1][p]) for p, mine in places.items() if p in other[1])
-
-
-def template(pages: list[Page]) -> set[tuple[str, str]]:
-    """The words, with their paths, that belong to the template of pages of one host."""
-    if len(pages) < LEAST_COPIES:
-        return set()
-    streams = []
-    for page in pages:
-        stream: list[tuple[str, str]] = []
-        for path, token in page.tokens:
-            if isinstance(token, str):
-                stream.append((path, token))
-            elif not token.inside and not token.outside:
-                stream += [(path, w) for w in token.words()]
-        streams.append(stream)
-    return {t for members in classes(streams) for t in members if t[1][:1] != "<"}
+        members.sort(key=lambda r: (r["place"] / r["pages"], r["token"]))
+        low, high = members[0]["place"] / members[0]["pages"], members[-1]["place"] / members[-1]["pages"]
+        spans = [(c[0]["place"] / c[0]["pages"], c[-1]["place"] / c[-1]["pages"]) for c in valid]
+        if all(high <= x or y <= low or x <= low and high <= y or low <= x and y <= high for x, y in spans):
+            valid.append(members)
+    return valid
+
+
+def deduced(rows: list[dict]) -> Template:
+    """The template from a host's rows: those of the tokens on half of its pages or more, and of token 0."""
+    pages, total = next((r["pages"], r["mass"]) for r in rows if r["token"] == 0)
+    out = Template()
+    if pages < LEAST_PAGES:
+        return out
+    valid = classes([r for r in rows if r["token"] != 0 and 2 * r["pages"] >= pages])
+    slots = [(r["depth"], r["mass"], r, c) for c in valid for r in c if r["depth"] and r["n"] == r["pages"] and r["mass"] >= (NAMED_MOST if r["named"] else MOST) * total]
+    if total and slots:
+        _, _, main, members = max(slots, key=lambda x: (x[2]["named"], x[0], x[1], x[2]["token"]))
+        out.main, out.named = main["token"], bool(main["named"])
+        out.frame = [r["token"] for r in members if not r["words"] and r["n"] == r["pages"]]
+        if pages >= LEAST_COPIES and not out.named:
+            out.texts = [r["token"] for c in valid for r in c if r["words"]]
+    return out
+
+
+def by_template(page: Page, template: Template) -> list[str] | None:
+    """The blocks of the main slot, or None if the page has another form than the template."""
+    first: dict[int, int] = {}
+    for k, (path, token, *_) in enumerate(page.tokens):
+        if not isinstance(token, Block):
+            first.setdefault(key(path, token), k)
+    places = [first[t] for t in template.frame if t in first]
+    if template.main not in first or any(a > b for a, b in zip(places, places[1:], strict=False)):
+        return None
+    own, kept, left_out = set(template.texts), [], 0
+    for path, block in ((p, t) for p, t, *_ in page.tokens if isinstance(t, Block)):
+        if block.outside or template.main not in block.under and not path.endswith("/h1"):
+            continue
+        words = block.words()
+        if words:
+            text = " ".join(words)
+            shared = bool(own) and (key(path, text) if len(words) < 64 else (xxhash.xxh64_intdigest(f"{path}\0{text}") >> 1) | 1) in own
+            left_out += shared and len(words)
+            kept.append((text, shared, len(words)))
+    copies = 2 * left_out > sum(n for _, _, n in kept)
+    return [text for text, shared, _ in kept if copies or not shared]
+
+
+def by_names(page: Page) -> list[str]:
+    """The blocks that elements' names and classes leave: those of an article or main element if there is one."""
+    main = any(b.inside and not b.outside for b in page.blocks)
+    found = (" ".join(b.words()) for b in page.blocks if not b.outside and (b.inside or not main))
+    return [text for text in found if text]
+
+
+def main_blocks(source: str, template: Template) -> tuple[list[str], bool]:
+    """A page's blocks, and whether the template told them."""
+    page = read(source)
+    found = by_template(page, template) if template.main is not None else None
+    return (by_names(page), False) if found is None else (found, True)
 
 
 def texts(pages: list[str]) -> list[str]:
     """The main text of each of some pages of one host."""
-    parsed = [read(p) for p in pages]
-    own = template(parsed)
-    shown = [{(path, " ".join(t.words())) for path, t in page.tokens if not isinstance(t, str) and not t.outside and not t.inside} if own else set() for page in parsed]
-    held = Counter(x for s in shown for x in s)
-    out = []
-    for page in parsed:
-        main = any(b.inside and not b.outside for b in page.blocks)
-        kept = []
-        for path, block in page.tokens:
-            if isinstance(block, str) or block.outside or main and not block.inside:
-                continue
-            words = block.words()
-            text = " ".join(words)
-            if words and not (not block.inside and own and held[path, text] == len(pages) and all((path, w) in own for w in words)):
-                kept.append(text)
-        out.append("\n\n".join(kept))
+    rows = [r for k, p in enumerate(pages) for r in seen(0, p, k)]
+    template = deduced(summed(rows).to_pylist()) if rows else Template()
+    return ["\n\n".join(main_blocks(p, template)[0]) for p in pages]
+
+
+_TEMPLATE = "host long, main long, named boolean, frame array<long>, texts array<long>"
+_TEMPLATE_ARROW = pa.schema([("host", pa.int64()), ("main", pa.int64()), ("named", pa.bool_()), ("frame", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
+
+
+def _deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for host, rows in zip(batch.column("host").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            t = deduced(rows)
+            if t.main is not None:
+                yield pa.RecordBatch.from_pylist([{"host": host, "main": t.main, "named": t.named, "frame": t.frame, "texts": t.texts}], schema=_TEMPLATE_ARROW)
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """The template of each host that has one, from rows (host, html, number)."""
+    found = rows.select("host", "html", "number").mapInArrow(_observed, _SUMS)
+    how = {"pages": F.sum, "n": F.sum, "vector": F.bit_xor, "place": F.sum, "mass": F.sum, "depth": F.max, "named": F.max, "words": F.max}
+    sums = found.groupBy("host", "token").agg(*(f(c).alias(c) for c, f in how.items()))
+    often = stored(sums.filter((F.col("pages") >= LEAST_PAGES) | (F.col("token") == 0)), "tokens")
+    hosts = often.filter(f"token = 0 and pages >= {LEAST_PAGES}").select("host", F.col("pages").alias("all"))
+    half = often.join(hosts, "host").filter("2 * pages >= all").drop("all")
+    # A token counts if half of the host's pages have it, so a host's list is as long as two of its pages at most.
+    listed = half.groupBy("host").agg(F.collect_list(F.struct(*(c for c in half.columns if c != "host"))).alias("rows"))
+    out = stored(listed.mapInArrow(_deduced, _TEMPLATE), "templates")
+    forget(often)
     return out
 
 
-_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("by_template", pa.bool_())])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        found = texts([r[3] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array(found, pa.string())], schema=_OUT)
-
-    held: list[tuple] = []
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            for row in zip(*(part.column(c).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True):
-                # A host's last pages join the block before them if they are few: a block has up to twice BLOCK pages.
-                if held and held[-1][0] != row[0] or len(held) == 2 * BLOCK:
-                    cut = len(held) if held[-1][0] != row[0] else BLOCK
-                    yield done(held[:cut])
-                    held = held[cut:]
-                held.append(row)
-    if held:
-        yield done(held)
+        found = []
+        for source, main, named, frame, own in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "named", "frame", "texts")), strict=True):
+            found.append(main_blocks(source, Template(main, named or False, frame or [], own or [])))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(["\n\n".join(b) for b, _ in found], pa.string()), pa.array([t for _, t in found], pa.bool_())], schema=_OUT)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of each page."""
+    """page_id, url and text of each page, and whether its host's template told it (by_template)."""
     pages = picked(pages, "page_id", "url", "html")
     url = F.col("url").cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), null_as_empty(F.col("html")).alias("html"))
-    sorted_rows = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id", "url", "html")
-    return sorted_rows.mapInArrow(_extracted, "page_id long, url string, text string")
+    source = null_as_empty(F.col("html"))
+    rows = pages.select(F.xxhash64(host).alias("host"), F.xxhash64("page_id", url, source).alias("number"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), source.alias("html"))
+    found = templates(rows)
+    size = found.select(F.sum(64 + 8 * (F.size("frame") + F.size("texts")))).first()[0] or 0
+    if size <= BROADCAST:
+        met = rows.join(F.broadcast(found), "host", "left")
+    else:
+        salt = F.pmod("number", F.lit(SALTS))
+        met = rows.withColumn("salt", salt).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
+    narrow = met.select("page_id", "url", "html", "main", "named", "frame", "texts")
+    return narrow.mapInArrow(_extracted, "page_id long, url string, text string, by_template boolean")
 
 
 def op1_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
-    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_template")

@@ -58,5 +58,42 @@ def test_odd_rows(spark):
 
 
 def test_classes_nest():
-    frame = [[("", "<a>"), ("", "<b>"), *[("", f"w{k}{j}") for j in range(k)], ("", "<c>")] for k in range(5)]
-    assert [[t for _, t in c] for c in html_text.classes(frame)] == [["<a>", "<b>", "<c>"]]
+    row = lambda token, vector, place, words=0: {"token": token, "vector": vector, "place": 3 * place, "pages": 3, "words": words}
+    outer, inner = [row(k, 7, x) for k, x in enumerate((0.0, 0.1, 0.9), 1)], [row(k, 8, x) for k, x in enumerate((0.3, 0.4, 0.5), 11)]
+    crossing, few = [row(k, 9, x) for k, x in enumerate((0.2, 0.35), 21)] + [row(23, 9, 0.45)], [row(31, 5, 0.6)]
+    found = html_text.classes([*inner, *few, *outer, *crossing])
+    assert [[r["token"] for r in c] for c in found] == [[1, 2, 3], [11, 12, 13]]
+    assert [[r["token"] for r in c] for c in html_text.classes([row(31, 5, 0.6, words=2)])] == [[31]]  # a text counts as its words do
+
+
+SHAPE = "<html><body><div class=x>Welcome to our site friends</div><table><tr><td><a href=/>Home page of ours</a></td><td class=c><h2>{}</h2><p>{}</p></td></tr></table><div>All rights reserved by us</div></body></html>"
+
+
+def test_any_partitions_give_the_same_texts(spark):
+    """Hosts without telling elements, over many partitions or one; a page of another kind and an empty one among them change nothing."""
+    bodies, want = pages_of_one_host(150, SHAPE)
+    rows = [(k, "http://one.host/x", b) for k, b in enumerate(bodies)] + [(500, "http://one.host/login", "<html><body><form>name</form><p>Log in</p></body></html>"), (501, "http://one.host/e", None)]
+    few, wanted = pages_of_one_host(12, SHAPE.replace("Home", "Start"))
+    rows += [(1000 + k, "http://two.host/x", b) for k, b in enumerate(few)]
+    expect = {**dict(enumerate(want)), 500: "Log in", 501: "", **{1000 + k: w for k, w in enumerate(wanted)}}
+    for parts in (1, 37):
+        found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()
+        assert {r["page_id"]: r["text"] for r in found} == expect
+        assert {r["page_id"] for r in found if not r["by_template"]} <= {500, 501}
+
+
+def test_template_joined_by_salts(spark, monkeypatch):
+    bodies, want = pages_of_one_host(40, SHAPE)
+    rows = spark.createDataFrame([(k, "http://one.host/x", b) for k, b in enumerate(bodies)], "page_id long, url string, html string").repartition(5)
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(rows).collect()} == dict(enumerate(want))
+
+
+def test_copies_without_telling_elements_stay():
+    page = SHAPE.format("A title of note", "The same article text on each page here, longer than the rest of the page by far, as it should be.")
+    assert html_text.texts([page] * 20)[0].endswith("as it should be.")
+
+
+def test_test_pages_are_told_by_the_template(spark, data):
+    found = html_text.main_text(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet")).collect()
+    assert sum(r["by_template"] for r in found) >= 0.8 * len(found)
