@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.diffs import diff
 from .profiles import over_slices, rank_value
+from .relations import written
 from .trim import best
 
 _SIDE = ("N", "f1", "f2", "f12", "score")
@@ -17,6 +18,7 @@ _SIDE = ("N", "f1", "f2", "f12", "score")
 
 def aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with a column ordinal: their slices in order. A side of one slice goes with each slice of the other; otherwise there must be as many."""
+    a, b = written(a), written(b)  # their slices are counted first
     order = Window.orderBy("slice")  # over a row a slice
     sides = [p.select("slice").distinct().withColumn("ordinal", F.row_number().over(order)) for p in (a, b)]
     n, m = (s.count() for s in sides)
@@ -54,5 +56,6 @@ def compared(a: DataFrame, b: DataFrame, items: Sequence[str], op: str | Callabl
 
 def compared_overall(a: DataFrame, b: DataFrame, items: Sequence[str], op: str = "adiff", k: int = 10, name: str = "f", eps: float = 0.0) -> DataFrame:
     """Comparison slice by slice of the items that are best with all slices as one."""
+    a, b = written(a), written(b)  # each is read three times
     one = compared(over_slices(a, items, name, eps), over_slices(b, items, name, eps), items, op, k).select(*items)
-    return compared(a, b, items, op).join(F.broadcast(one), list(items), "left_semi")
+    return compared(a, b, items, op).join(F.broadcast(one) if k >= 0 else one, list(items), "left_semi")  # k items at most

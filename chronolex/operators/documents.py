@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import all_of, dates
 from ..functions.text import sliced
-from .profiles import Where, scored
+from .profiles import Where, every_slice, scored, told
 
 
 @dataclass(frozen=True)
@@ -75,32 +75,35 @@ def _met(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
     return b if a is None else a if b is None else a.join(b, "doc_id", "left_semi")
 
 
-def tdf_profile(query: Query, group_by: Sequence[str], *, date: str | int | None = None, size: int = 0, having: Where | None = None, name: str = "f", eps: float = 0.0) -> DataFrame:
-    """Items of terms, of metadata, or of both. Items of terms are summed in a segment before the smaller count is taken; items of both take it term by term."""
+def tdf_profile(query: Query, group_by: Sequence[str], *, date: str | int | None = None, size: int = 0, having: Where | None = None, name: str = "f", eps: float = 0.0, keys: DataFrame | None = None) -> DataFrame:
+    """Items of terms, of metadata, or of both. Items of terms are summed in a segment before the smaller count is taken; items of both take it term by term.
+    keys (slice and items) is a set that alone is told, with f12 = 0 where the target doesn't meet an item."""
     m, items = query.matrix, list(group_by)
     by_term, by_meta = [g for g in items if g in m.attributes], [g for g in items if g not in m.attributes]
-    keys = list(dict.fromkeys((*m.segment, "doc_id")))
+    segment = list(dict.fromkeys((*m.segment, "doc_id")))
     in_time = dates(date)(F.col("date"))
     slice_ = sliced(F.col("date"), size).alias("slice")
     hit = m.tdf if query.terms is None else m.tdf.filter(query.terms)
     if query.docs is not None:
         hit = hit.join(query.docs, "doc_id", "left_semi")
-    q = hit.filter(in_time).groupBy(*keys, "date").agg(F.sum("f").alias("q"))
+    q = hit.filter(in_time).groupBy(*segment, "date").agg(F.sum("f").alias("q"))
     n = m.tdf.groupBy("date").agg(F.sum("f").alias("n")).groupBy(slice_).agg(F.sum("n").alias("N"))
     f1 = q.groupBy(slice_).agg(F.sum("q").alias("f1"))
     wanted = all_of({k: v for k, v in (having or {}).items() if k in m.attributes})
     meta = m.docs.filter(all_of({k: v for k, v in (having or {}).items() if k not in m.attributes})).select("doc_id", *by_meta)
     everything = m.tdf.filter(wanted)
     if by_term and not by_meta:
-        grouped = everything.filter(in_time).groupBy(*keys, *by_term).agg(F.sum("f").alias("g"))
-        f12 = grouped.join(q, keys).groupBy(slice_, *by_term).agg(F.sum(F.least("q", "g")).alias("f12"))
+        grouped = everything.filter(in_time).groupBy(*segment, *by_term).agg(F.sum("f").alias("g"))
+        f12 = grouped.join(q, segment).groupBy(slice_, *by_term).agg(F.sum(F.least("q", "g")).alias("f12"))
         f2 = everything.filter(in_time).groupBy(slice_, *by_term).agg(F.sum("f").alias("f2"))
     elif by_meta and not by_term:
         f12 = q.join(meta, "doc_id").groupBy(slice_, *by_meta).agg(F.sum("q").alias("f12"))
         # Sizes of documents by metadata take no notice of the dates asked for.
         f2 = m.tdf.groupBy("doc_id", "date").agg(F.sum("f").alias("f")).join(meta, "doc_id").groupBy(slice_, *by_meta).agg(F.sum("f").alias("f2"))
     else:
-        f12 = everything.filter(in_time).join(q.drop("date"), keys).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum(F.least("q", "f")).alias("f12"))
+        f12 = everything.filter(in_time).join(q.drop("date"), segment).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum(F.least("q", "f")).alias("f12"))
         f2 = everything.filter(in_time).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum("f").alias("f2"))
+    if keys is not None:
+        f12, f1 = told(keys, f12, items), every_slice(f1, n)
     counts = f12.join(f2, ["slice", *items]).join(f1, "slice").join(n, "slice")
     return scored(counts, name, eps).select("slice", *items, "N", "f1", "f2", "f12", "score")

@@ -45,4 +45,4 @@ def either(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def other_than(universe: DataFrame, a: DataFrame) -> DataFrame:
     """What the universe has and a lacks; nulls are equal."""
-    return universe.distinct().exceptAll(a.distinct())
+    return universe.subtract(a)

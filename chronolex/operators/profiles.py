@@ -34,30 +34,44 @@ def _assembled(f12: DataFrame, f2: DataFrame | None, f1: DataFrame, n: DataFrame
     return scored(counts, name, eps).select("slice", *items, "N", "f1", "f2", "f12", "score")
 
 
-def unigram_profile(xf: DataFrame, where: Where | None, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None, name: str = "f", eps: float = 0.0) -> DataFrame:
-    """Targets profile themselves: f12 = f2 = the item's own count; N counts tokens."""
-    n = slice_totals(xf.groupBy("date").agg(F.sum("f").alias("n")), size)
-    hits = _sliced(xf.filter(all_of(where) & dates(date)(F.col("date"))), size)
+def unigram_profile(xf: DataFrame, where: Where | None, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None, name: str = "f", eps: float = 0.0, keys: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Targets profile themselves: f12 = f2 = the item's own count; N counts tokens. keys (slice and group_by) is a set that alone is told, with f12 = 0 where the
+    target doesn't take an item in, and f2 the item's count all the same. totals (date, n) spares the sums of N."""
+    in_time, items = dates(date)(F.col("date")), list(group_by)
+    n = slice_totals(xf.groupBy("date").agg(F.sum("f").alias("n")) if totals is None else totals, size)
+    hits = _sliced(xf.filter(all_of(where) & in_time), size)
     f1 = hits.groupBy("slice").agg(F.sum("f").alias("f1"))
-    own = hits.filter(all_of(having)).groupBy("slice", *group_by).agg(F.sum("f").alias("f12")).withColumn("f2", F.col("f12"))
-    return _assembled(own, None, f1, n, group_by, name, eps)
+    own = hits.filter(all_of(having)).groupBy("slice", *items).agg(F.sum("f").alias("f12"))
+    if keys is None:
+        return _assembled(own.withColumn("f2", F.col("f12")), None, f1, n, items, name, eps)
+    f2 = _sliced(xf.filter(all_of(having) & in_time), size).groupBy("slice", *items).agg(F.sum("f").alias("f2"))
+    return _assembled(told(keys, own, items), f2, every_slice(f1, n), n, items, name, eps)
+
+
+def told(keys: DataFrame, f12: DataFrame, items: Sequence[str]) -> DataFrame:
+    """f12 for the slices and items of keys alone, 0 where it lacks one."""
+    return keys.select("slice", *items).distinct().join(f12, ["slice", *items], "left").fillna(0, ["f12"])
+
+
+def every_slice(f1: DataFrame, n: DataFrame) -> DataFrame:
+    return n.select("slice").join(f1, "slice", "left").fillna(0, ["f1"])
 
 
 def cof_profile(
     cof: DataFrame, marginal: DataFrame, where: Where, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None,
-    name: str = "f", eps: float = 0.0, one_pass: bool = False, keys: DataFrame | None = None,
+    name: str = "f", eps: float = 0.0, one_pass: bool = False, keys: DataFrame | None = None, totals: DataFrame | None = None,
 ) -> DataFrame:
     """Items that co-occur with the target. having restricts items, in f12 and f2, and leaves f1 alone; keys (slice and group_by) is a set that alone is told, with
-    f12 = 0 where it doesn't co-occur. f2 sums the marginals of all tuples that give an item, or, one_pass, of those that co-occur with the target."""
+    f12 = 0 where it doesn't co-occur; totals (date, n) spares the sums of N. f2 sums the marginals of all tuples that give an item, or, one_pass, of those that co-occur with the target."""
     in_time = dates(date)(F.col("date"))
     items = list(group_by)
-    n = slice_totals(marginal.groupBy("date").agg(F.sum("f1").alias("n")), size)
+    n = slice_totals(marginal.groupBy("date").agg(F.sum("f1").alias("n")) if totals is None else totals, size)
     f1 = _sliced(marginal.filter(all_of(where) & in_time), size).groupBy("slice").agg(F.sum("f1").alias("f1"))
     hits = _sliced(cof.filter(all_of(where, lambda a: f"{a}1") & all_of(having, lambda a: f"{a}2") & in_time), size)
     renamed = [F.col(f"{a}2").alias(a) for a in items]
     f12 = hits.groupBy("slice", *renamed).agg(F.sum("f12").alias("f12"))
     if keys is not None:
-        f12 = keys.select("slice", *items).distinct().join(f12, ["slice", *items], "left").fillna(0, ["f12"])
+        f12 = told(keys, f12, items)
     sums = marginal.filter(all_of(having) & in_time)
     if one_pass:
         attributes = [c for c in marginal.columns if c not in ("date", "f1")]
@@ -65,7 +79,7 @@ def cof_profile(
     # The marginals are summed by item before they meet the items that were found.
     f2 = _sliced(sums, size).groupBy("slice", *items).agg(F.sum("f1").alias("f2"))
     if keys is not None:
-        f1 = n.select("slice").join(f1, "slice", "left").fillna(0, ["f1"])
+        f1 = every_slice(f1, n)
     return _assembled(f12, f2, f1, n, items, name, eps)
 
 

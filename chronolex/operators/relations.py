@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens that are met with each other in one array; those near its edges come on top.
@@ -21,21 +21,35 @@ def unigrams(tokens: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return tokens.groupBy(*attributes, "date").agg(F.count("*").alias("f"))
 
 
-def pairs(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, sentence: Sequence[str] = ("doc_id", "sent_id"), order: Sequence[str] = ("pos",)) -> DataFrame:
-    """All ordered pairs of tokens of a sentence at most distance apart, unsummed: each attribute with 1 and with 2, date, gap.
+def windows(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, sentence: Sequence[str] = ("doc_id", "sent_id"), order: Sequence[str] = ("pos",)) -> DataFrame:
+    """The tokens in blocks, as an array column t, for pairs_of and marginals_of.
 
     Tokens are sorted by ranges and numbered through, whatever their sentences; blocks of BLOCK numbers become arrays, with the tokens that are near enough after
-    and before them, and each token is met with the slice around it. So arrays are bounded, and a sentence of any length spreads over many tasks."""
+    and before them. So arrays are bounded, and a sentence of any length spreads over many tasks. The blocks are written once, whatever is made of them."""
     attributes, within = list(attributes), max(distance, 1)
     found = numbered(tokens, [*sentence], [*order], attributes)
     block = F.floor(F.col("__at") / BLOCK)
     first, last = F.floor((F.col("__at") - within) / BLOCK), F.floor((F.col("__at") + within) / BLOCK)
     item = F.struct(F.col("__at").alias("at"), (block == F.col("__block")).alias("own"), F.struct(*(F.col(f"`{c}`") for c in sentence)).alias("sentence"), "date", *attributes)
     dealt = found.withColumn("__block", F.explode(F.sequence(first, last)))
-    whole = dealt.groupBy("__block").agg(F.array_sort(F.collect_list(item)).alias("t"))
-    placed = whole.select("t", F.posexplode("t").alias("i", "one")).filter("one.own")
+    return written(dealt.groupBy("__block").agg(F.sort_array(F.collect_list(item)).alias("t")).select("t"))
+
+
+def _around(blocks: DataFrame, distance: int, where: Column) -> DataFrame:
+    """i and one, each token that where takes in, with the slice around it, which starts at s."""
+    placed = blocks.select("t", F.posexplode("t").alias("i", "one")).filter(F.col("one.own") & where)
     start = F.greatest(F.col("i") - distance, F.lit(0))
-    near = placed.select("i", "one", start.alias("s"), F.slice("t", start + 1, F.col("i") + distance + 1 - start).alias("around"))
+    return placed.select("i", "one", start.alias("s"), F.slice("t", start + 1, F.col("i") + distance + 1 - start).alias("around"))
+
+
+def pairs(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, **how) -> DataFrame:
+    """All ordered pairs of tokens of a sentence at most distance apart, unsummed: each attribute with 1 and with 2, date, gap."""
+    return pairs_of(windows(tokens, attributes, distance, **how), attributes, distance)
+
+
+def pairs_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
+    """The pairs in windows of at least this distance. A condition on the first token, its attributes or date, is applied before any is met with another."""
+    near = _around(blocks, distance, F.lit(True))
     met = near.select("i", "one", "s", F.posexplode("around").alias("k", "two")).filter("s + k <> i and one.sentence <=> two.sentence")
     return met.select(*(F.col(f"one.{a}").alias(f"{a}1") for a in attributes), F.col("one.date").alias("date"), *(F.col(f"two.{a}").alias(f"{a}2") for a in attributes), (F.col("s") + F.col("k") - F.col("i")).alias("gap"))
 
@@ -54,8 +68,13 @@ def numbered(tokens: DataFrame, sentence: Sequence[str], order: Sequence[str], a
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir, or, where that is unset, in a temporary folder."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolex-")
+    """df as Parquet in spark.checkpoint.dir, or, where that is unset and all runs on this machine, in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="chronolex-")
     path = f"{folder.rstrip('/')}/chronolex-sorted-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,10 +82,28 @@ def written(df: DataFrame) -> DataFrame:
 
 def cooccurrences(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, **how) -> DataFrame:
     """attributes with 1, date, attributes with 2, f12, before any threshold."""
-    found = pairs(tokens, attributes, distance, **how)
+    return cooccurrences_of(windows(tokens, attributes, distance, **how), attributes, distance)
+
+
+def cooccurrences_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
+    found = pairs_of(blocks, attributes, distance)
     return found.groupBy(*(f"{a}1" for a in attributes), "date", *(f"{a}2" for a in attributes)).agg(F.count("*").alias("f12"))
 
 
+def marginals_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
+    """attributes, date, f1: what marginals() gives, from the number of neighbours that each token has in its sentence, so without making pairs."""
+
+    def counted(x: Column, i: Column) -> Column:
+        start = F.greatest(i - distance, F.lit(0))
+        around = F.slice("t", start + 1, i + distance + 1 - start)
+        near = F.size(F.filter(around, lambda y: y["sentence"].eqNullSafe(x["sentence"]))) - 1
+        return F.struct(*(x[a].alias(a) for a in attributes), x["date"].alias("date"), F.when(x["own"], near).otherwise(0).cast("long").alias("n"))
+
+    # Within each array, as rows of one token each would all carry it.
+    counted = blocks.select(F.explode(F.transform("t", counted)).alias("x")).select("x.*")
+    return counted.filter("n > 0").groupBy(*attributes, "date").agg(F.sum("n").alias("f1"))
+
+
 def marginals(cof: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """attributes, date, f1: the sums over all partners. Take them before thresholding cof."""
     return cof.groupBy(*(F.col(f"{a}1").alias(a) for a in attributes), "date").agg(F.sum("f12").alias("f1"))

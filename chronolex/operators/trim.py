@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .profiles import over_slices, rank_value
+from .relations import written
 
 
 def best(profile: DataFrame, items: Sequence[str], k: int, *, score: str = "score", absolute: bool = False) -> DataFrame:
@@ -22,6 +23,7 @@ def best(profile: DataFrame, items: Sequence[str], k: int, *, score: str = "scor
 
 def best_overall(profile: DataFrame, items: Sequence[str], k: int, name: str = "f", eps: float = 0.0) -> DataFrame:
     """The items that are best with all slices as one, in every slice; f12 = 0 where a slice lacks one."""
+    profile = written(profile)  # it is read three times
     top = over_slices(profile, items, name, eps).orderBy(rank_value().desc(), *items).limit(k).select(*items)
     sizes = profile.select("slice", "N", "f1").distinct()
     grid = F.broadcast(top).join(sizes)  # k rows by a row a slice
@@ -42,7 +44,7 @@ def marked(profile: DataFrame, items: Sequence[str], k: int) -> DataFrame:
 def kept(profile: DataFrame, keys: DataFrame, items: Sequence[str]) -> DataFrame:
     """Only the items of keys; those that a slice lacks have zero counts."""
     sizes = profile.select("slice", "N", "f1").distinct()
-    grid = keys.select(*items).distinct().join(sizes)
+    grid = keys.select(*items).distinct().join(F.broadcast(sizes))  # a row a slice
     out = grid.join(profile.drop("N", "f1"), ["slice", *items], "left").fillna(0, ["f2", "f12"]).fillna(0.0, ["score"])
     return out.select("slice", *items, "N", "f1", "f2", "f12", "score")
 

@@ -12,6 +12,12 @@ from ..functions.predicates import date_bounds
 from ..operators import compare, corpus, documents, merge, profiles, relations, trim
 
 _TABLES = ("xf", "cof", "marginal", "tdf", "docs")
+#: Small tables that write() adds: the totals of each date, and marginals and unigrams over all dates.
+_ROLLUPS = ("totals", "marginal_sums", "xf_sums")
+
+
+#: Bytes of a row group, small enough for a target's rows to be most of those read.
+ROW_GROUP = 4 << 20
 
 
 @dataclass
@@ -23,17 +29,25 @@ class Database:
     tdf: DataFrame
     docs: DataFrame
     cof_min: int = 2
+    totals: DataFrame | None = None
+    marginal_sums: DataFrame | None = None
+    xf_sums: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        """Tables are partitioned by date, which prunes date requests, and sorted by the first attribute, which lets row groups be skipped."""
-        first = self.attributes[0]
+        """Tables are dealt and sorted by the first attribute, then the date: a target lies in one or two files and few row groups, and dates are told by the
+        row groups' statistics. Totals by date and sums over all dates are written beside them, from the tables as written."""
+        first, spark = self.attributes[0], self.xf.sparkSession
         keys = {"xf": first, "cof": f"{first}1", "marginal": first, "tdf": first}
         for name in _TABLES:
             table = getattr(self, name)
             if name in keys:
-                table.repartitionByRange("date", keys[name]).sortWithinPartitions("date", keys[name]).write.partitionBy("date").parquet(f"{path}/{name}")
-            else:
-                table.write.parquet(f"{path}/{name}")
+                table = table.repartitionByRange(keys[name], "date").sortWithinPartitions(keys[name], "date")
+            table.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}")
+        made = {n: spark.read.parquet(f"{path}/{n}") for n in keys}
+        _totals(made["xf"], made["marginal"], made["tdf"]).coalesce(1).write.parquet(f"{path}/totals")
+        for name, value in (("marginal", "f1"), ("xf", "f")):
+            sums = made[name].groupBy(*self.attributes).agg(F.sum(value).alias(value))
+            sums.repartitionByRange(first).sortWithinPartitions(first).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}_sums")
         header = self.xf.sparkSession.createDataFrame([(list(self.attributes), self.cof_min)], "attributes array<string>, cof_min int")
         header.coalesce(1).write.json(f"{path}/header")
 
@@ -52,13 +66,18 @@ class Database:
     def profile(self, relation: str, where, group_by: Sequence[str], *, k: int = -1, least: float | None = None, overall: bool = False, fill: bool = False, date: str | int | None = None, size: int = 1, name: str = "f", eps: float = 0.0, **how) -> DataFrame:
         """relation: xf, cof or tdf (where is then a documents.Query, or a condition on terms)."""
         how |= {"date": date, "size": size, "name": name, "eps": eps}
+        totals = self._totals(relation)
+        # Where neither slices nor dates matter, sums over all dates do.
+        whole = size == 0 and date is None
+        sums = {"xf": self.xf_sums, "cof": None if how.get("one_pass") else self.marginal_sums}.get(relation) if whole else None
+        sums = None if sums is None else sums.withColumn("date", F.lit(0))
         if relation == "xf":
-            found, totals = profiles.unigram_profile(self.xf, where, group_by, **how), relations.totals_by_date(self.xf, "f")
+            found = profiles.unigram_profile(self.xf if sums is None else sums, where, group_by, totals=totals, **how)
         elif relation == "cof":
-            found, totals = profiles.cof_profile(self.cof, self.marginal, where, group_by, **how), relations.totals_by_date(self.marginal, "f1")
+            found = profiles.cof_profile(self.cof, self.marginal if sums is None else sums, where, group_by, totals=totals, **how)
         else:
             query = where if isinstance(where, documents.Query) else documents.terms(self.matrix(), where)
-            found, totals = documents.tdf_profile(query, group_by, **how), relations.totals_by_date(self.tdf, "f")
+            found = documents.tdf_profile(query, group_by, **how)
         if least is not None:
             found = trim.cut_off(found, least)
         if overall and k >= 0:
@@ -74,12 +93,16 @@ class Database:
             found = profiles.filled(found, sizes, group_by)
         return found
 
+    def _totals(self, relation: str) -> DataFrame:
+        """date, n: a row a date."""
+        if self.totals is not None:
+            return self.totals.filter(F.col("relation") == relation).select("date", "n")
+        table, value = {"xf": (self.xf, "f"), "cof": (self.marginal, "f1")}.get(relation, (self.tdf, "f"))
+        return relations.totals_by_date(table, value)
+
     def extend(self, relation: str, where, group_by: Sequence[str], keys: DataFrame, **how) -> DataFrame:
         """The profile of the slices and items of keys alone, also those that don't co-occur."""
-        if relation == "cof":
-            return self.profile("cof", where, group_by, keys=keys, **how)
-        found = self.profile(relation, where, group_by, **how)
-        return found.join(keys.distinct(), ["slice", *group_by], "left_semi")
+        return self.profile(relation, where, group_by, keys=keys, **how)
 
     def compare(self, relation: str, a: Mapping, b: Mapping, group_by: Sequence[str], op: str | Callable = "adiff", k: int = -1, *, overall: bool = False, size: int = 0, name: str = "f", eps: float = 0.0, align: bool = False, **both) -> DataFrame:
         """a and b hold each side's where, date and having; what they lack is taken from both."""
@@ -99,12 +122,22 @@ class Database:
         return out
 
 
+def _totals(xf: DataFrame, marginal: DataFrame, tdf: DataFrame) -> DataFrame:
+    """relation, date, n."""
+    out = None
+    for name, table, value in (("xf", xf, "f"), ("cof", marginal, "f1"), ("tdf", tdf, "f")):
+        part = relations.totals_by_date(table, value).select(F.lit(name).alias("relation"), "date", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def create(tokens: DataFrame, docs: DataFrame, attributes: Sequence[str] = ("l",), *, distance: int = 5, tuple_min: int = 2, minimum: Mapping[str, int] | None = None, cof_min: int = 2, segment_least: int = 4, document_min: int = 4, order: Sequence[str] = ("pos",)) -> Database:
-    """Filters tokens by frequency, then counts unigrams, pairs and segments."""
-    kept = corpus.frequent(tokens, attributes, tuple_min, minimum)
-    pairs = relations.cooccurrences(kept, attributes, distance, order=order)
+    """Filters tokens by frequency and writes them once, then counts unigrams, pairs, marginals and segments of these."""
+    kept = relations.written(corpus.frequent(tokens, attributes, tuple_min, minimum))
+    blocks = relations.windows(kept, attributes, distance, order=order)
     return Database(
-        tuple(attributes), relations.unigrams(kept, attributes), relations.thresholded(pairs, cof_min), relations.marginals(pairs, attributes),
+        tuple(attributes), relations.unigrams(kept, attributes), relations.thresholded(relations.cooccurrences_of(blocks, attributes, distance), cof_min),
+        relations.marginals_of(blocks, attributes, distance),
         relations.term_segments(kept, attributes, least=segment_least, document_min=document_min), docs, cof_min,
     )
 
@@ -114,7 +147,8 @@ def open_database(spark: SparkSession, *paths: str) -> Database:
     found = []
     for path in paths:
         header = spark.read.json(f"{path}/header").first()
-        found.append(Database(tuple(header["attributes"]), *(spark.read.parquet(f"{path}/{t}") for t in _TABLES), cof_min=header["cof_min"]))
+        rollups = {t: spark.read.parquet(f"{path}/{t}") for t in _ROLLUPS}
+        found.append(Database(tuple(header["attributes"]), *(spark.read.parquet(f"{path}/{t}") for t in _TABLES), cof_min=header["cof_min"], **rollups))
     return found[0] if len(found) == 1 else found[0].union(*found[1:])
 
 

@@ -10,9 +10,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files make fewer partitions; where files abound nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters of documents, in lower case; a document is a sentence. p is a class by length."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     words = docs.select("doc_id", (1900 + F.col("doc_id") % 100).cast("int").alias("date"), F.posexplode(runs).alias("pos", "l"))
     size = F.length("l")
