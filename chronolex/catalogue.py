@@ -172,7 +172,7 @@ def _build_queries() -> None:
     _add("target_expansion_B", lambda s, d: corpus.targets(relations.unigrams(_b(s, d), ATTRS), P.all_of({"l": P.prefix("Brand#1")}), ATTRS, 40), first)
     _add("count_by_B", lambda s, d: corpus.counted_by(_b(s, d), {"colour": F.regexp_extract("w", r"^(\w+)", 1), "p": F.col("p")}, 1000), rf"WITH {TOK_B} SELECT regexp_extract(w, '^(\w+)', 1) AS colour, p, count(*) AS f FROM tok GROUP BY ALL HAVING count(*) >= 1000")
     _add("metadata_filter_B", lambda s, d: corpus.metadata(adapters.basket_docs(s, d), bad="^nat").groupBy("segment", "priority").agg(F.count("*").alias("n")), f"WITH {DOC_B} SELECT segment, priority, count(*) AS n FROM docs GROUP BY ALL")
-    _add("sample_T", lambda s, d: corpus.sample(_t(s, d).select("doc_id", "pos", "l"), 50, 7, "doc_id", "pos").agg(F.count("*").alias("n")), f"WITH {TOK_T} SELECT least(50, count(*)) AS n FROM tok")
+    _add("sample_T", lambda s, d: corpus.sample(_t(s, d).select("doc_id", (F.col("pos") + 1).cast("long").alias("i"), "l"), 50, 7, "doc_id", "i"), f"WITH {TOK_T} SELECT doc_id, i, l FROM tok ORDER BY md5(concat_ws(':', '7', doc_id, i)), doc_id, i LIMIT 50")
 
 
 def _tdf_sql(attributes: str = "l p", least: int = 1, document_min: int = 4) -> str:
@@ -363,6 +363,96 @@ def _document_queries() -> None:
     add("tdf_doc_only", lambda m: documents.Query(m).in_documents({"nation": P.infix("A")}), "true", "doc_id IN (SELECT doc_id FROM docs WHERE contains(nation, 'A'))", "l")
 
 
+def _stored(s: SparkSession, d: str):
+    """A database of the baskets, written and opened again."""
+    from .plans.database import create, open_database
+
+    path = relations.scratch_path(s, "database")
+    create(_b(s, d), adapters.basket_docs(s, d), ATTRS, tuple_min=1, segment_least=1).write(path)
+    return open_database(s, path)
+
+
+def _database_queries() -> None:
+    """Databases that are written and opened, asked by requests as users type them."""
+    one, base = "l1 = 'Brand#11'", BASE_B
+
+    def ask(name: str, request: str, by: str, sql_where: str, items: str, *, size: int = 0, k: int | None = None, sql_having: str = "true", **how) -> None:
+        sql = f"{base},\n{_cof_profile_sql(sql_where, items, size=size, having=sql_having, name='ld')} {_final(items, k)}"
+        _add(name, lambda s, d: _stored(s, d).profile("cof", request, by, size=size, name="ld", k=-1 if k is None else k, **how), sql)
+
+    ask("request_word", r"Brand\#11", "l", one, "l", k=10)
+    ask("request_set", r"l=Brand\#11|Brand\#7", "l", "l1 IN ('Brand#11', 'Brand#7')", "l", size=2)
+    ask("request_regex_groupby", r"l=/^brand#1/i, p=SMALL", "l,p=PROMO|SMALL", "regexp_matches(l1, '(?i)^brand#1') AND p1 = 'SMALL'", "l p", sql_having="p2 IN ('PROMO', 'SMALL')")
+    ask("request_prefix_with", r"$l=Brand\#1* WITH $p=PROMO", "$l", "starts_with(l1, 'Brand#1') AND p1 = 'PROMO'", "l")
+    xf = f"""WITH {TOK_B}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL), nt AS (SELECT 0 AS slice, sum(f) AS N FROM xf), f1t AS (SELECT 0 AS slice, sum(f) AS f1 FROM xf WHERE p = 'PROMO'),
+f12t AS (SELECT 0 AS slice, l, sum(f) AS f12, sum(f) AS f2 FROM xf WHERE p = 'PROMO' GROUP BY l), {_assembled_sql('l', 'fm', 0.0, f2=False)} {_final('l')}"""
+    _add("stored_unigrams", lambda s, d: _stored(s, d).profile("xf", "p=PROMO", "l", size=0, name="fm"), xf)
+    meta = f"""WITH {TOK_B}, {DOC_B}, {_tdf_sql()}, q AS (SELECT doc_id, date, sum(f) AS q FROM tdf WHERE l = 'Brand#11' AND doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING') GROUP BY ALL),
+nt AS (SELECT 0 AS slice, sum(f) AS N FROM tdf), f1t AS (SELECT 0 AS slice, sum(q) AS f1 FROM q), f12t AS (SELECT 0 AS slice, l, sum(least(q, g)) AS f12 FROM (SELECT doc_id, l, sum(f) AS g FROM tdf GROUP BY ALL) JOIN q USING (doc_id) GROUP BY ALL),
+f2t AS (SELECT 0 AS slice, l, sum(f) AS f2 FROM tdf GROUP BY l), {_assembled_sql('l', 'll', 0.0)} {_final('l')}"""
+    _add("request_metadata", lambda s, d: _stored(s, d).profile("tdf", r"l=Brand\#11 doc.segment=BUILDING", "l", size=0, name="ll"), meta)
+    two = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#7'", 2)
+    _add("stored_compare", lambda s, d: _stored(s, d).compare("cof", {"where": r"Brand\#11"}, {"where": r"Brand\#7"}, "l", "adiff", 8, size=2, name="ld"), f"{BASE_B},\n{two},\n{_diff_sql('adiff', 8)}")
+
+    def keys(s: SparkSession) -> DataFrame:
+        return s.createDataFrame([(y, f"Brand#{n}") for y in (1996, 1998) for n in (1, 11, 19)], "slice int, l string")
+
+    asked = "k AS (SELECT CAST(y AS INTEGER) AS slice, 'Brand#' || n AS l FROM (SELECT unnest([1996, 1998]) AS y), (SELECT unnest([1, 11, 19]) AS n))"
+    xf_keys = f"""WITH {TOK_B}, {asked}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL), nt AS (SELECT {_slice(2)} AS slice, sum(f) AS N FROM xf GROUP BY 1),
+f1s AS (SELECT {_slice(2)} AS slice, sum(f) AS f1 FROM xf WHERE l = 'Brand#11' GROUP BY 1), f1t AS (SELECT nt.slice AS slice, coalesce(f1s.f1, 0) AS f1 FROM nt LEFT JOIN f1s ON f1s.slice = nt.slice),
+own AS (SELECT {_slice(2)} AS slice, l, sum(f) AS f12 FROM xf WHERE l = 'Brand#11' GROUP BY ALL), f12t AS (SELECT k.slice AS slice, k.l AS l, coalesce(o.f12, 0) AS f12 FROM k LEFT JOIN own o ON o.slice = k.slice AND o.l = k.l),
+f2t AS (SELECT {_slice(2)} AS slice, l, sum(f) AS f2 FROM xf GROUP BY ALL), {_assembled_sql('l', 'fm', 0.0)} {_final('l')}"""
+    _add("extend_xf", lambda s, d: _stored(s, d).extend("xf", {"l": "Brand#11"}, ["l"], keys(s), size=2, name="fm"), xf_keys)
+    tdf_keys = f"""WITH {TOK_B}, {_tdf_sql()}, {asked}, q AS (SELECT doc_id, date, sum(f) AS q FROM tdf WHERE l = 'Brand#11' GROUP BY ALL), nt AS (SELECT {_slice(2)} AS slice, sum(f) AS N FROM tdf GROUP BY 1),
+f1s AS (SELECT {_slice(2)} AS slice, sum(q) AS f1 FROM q GROUP BY 1), f1t AS (SELECT nt.slice AS slice, coalesce(f1s.f1, 0) AS f1 FROM nt LEFT JOIN f1s ON f1s.slice = nt.slice),
+own AS (SELECT {_slice(2)} AS slice, l, sum(least(q, g)) AS f12 FROM (SELECT doc_id, l, sum(f) AS g FROM tdf GROUP BY ALL) JOIN q USING (doc_id) GROUP BY ALL),
+f12t AS (SELECT k.slice AS slice, k.l AS l, coalesce(o.f12, 0) AS f12 FROM k LEFT JOIN own o ON o.slice = k.slice AND o.l = k.l), f2t AS (SELECT {_slice(2)} AS slice, l, sum(f) AS f2 FROM tdf GROUP BY ALL), {_assembled_sql('l', 'll', 0.0)} {_final('l')}"""
+    _add("extend_tdf", lambda s, d: _stored(s, d).extend("tdf", {"l": "Brand#11"}, ["l"], keys(s), size=2, name="ll"), tdf_keys)
+
+    def text_form(s: SparkSession, d: str) -> DataFrame:
+        from .sources import sinks
+
+        path = relations.scratch_path(s, "text")
+        sinks.write_unigrams(relations.unigrams(_b(s, d), ATTRS), ATTRS, path)
+        return sinks.read_unigrams(s, path, ATTRS)
+
+    _add("xf_text_round_trip", text_form, _SQL["xf_counts_B"])
+
+    def pair_text(s: SparkSession, d: str) -> DataFrame:
+        from .sources import sinks
+
+        path = relations.scratch_path(s, "text")
+        sinks.write_cooccurrences(*_cof(_b(s, d)), ATTRS, path)
+        return sinks.read_cooccurrences(s, path, ATTRS)[1]
+
+    _add("cof_text_marginals", pair_text, _SQL["cof_marginals_B"])
+
+    def segments(s: SparkSession, d: str) -> DataFrame:
+        parts = [relations.term_segments(_b(s, d).filter(F.col("doc_id") % 2 == k), ATTRS, least=1, document_min=4).select(*ATTRS, "doc_id", "date", "f") for k in (0, 1)]
+        return merge.union_segments(parts, ATTRS, document_min=170)
+
+    part = lambda k: f"""sized{k} AS (SELECT doc_id FROM tok WHERE doc_id % 2 = {k} GROUP BY doc_id HAVING count(*) > 1), a{k} AS (SELECT l, p, doc_id, date, count(*) AS f FROM tok WHERE doc_id IN (SELECT doc_id FROM sized{k}) GROUP BY ALL),
+k{k} AS (SELECT l, p FROM a{k} GROUP BY ALL HAVING count(*) >= 4), t{k} AS (SELECT l, p, '{k}:' || doc_id AS doc_id, date, f FROM a{k} WHERE (l, p) IN (SELECT l, p FROM k{k}))"""
+    _add("union_tdf", segments, f"WITH {TOK_B}, {part(0)}, {part(1)}, u AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1) SELECT * FROM u WHERE (l, p) IN (SELECT l, p FROM u GROUP BY ALL HAVING count(*) >= 170)")
+
+    def sequence(name: str, op: str, between: int, item: int) -> None:
+        low, high = (1, between + 1) if op == "<" else (between + 2, 32)
+        gap = f"{'' if item == 2 else '-'}gap BETWEEN {low} AND {high}"
+        sql = f"""WITH {TOK_B}, {_pairs_sql('l p', high)}, f12t AS (SELECT {_slice(3)} AS slice, l2 AS l, count(*) AS f12 FROM pr WHERE l1 = 'Brand#11' AND {gap} GROUP BY ALL),
+f2t AS (SELECT {_slice(3)} AS slice, l, {high - low + 1} * count(*) AS f2 FROM tok GROUP BY ALL), f1t AS (SELECT {_slice(3)} AS slice, {high - low + 1} * count(*) AS f1 FROM tok WHERE l = 'Brand#11' GROUP BY 1),
+nt AS (SELECT {_slice(3)} AS slice, {high - low + 1} * count(*) AS N FROM tok GROUP BY 1), {_assembled_sql('l', 'ld', 0.0)} {_final('l')}"""
+
+        def make(s: SparkSession, d: str) -> DataFrame:
+            tokens = _b(s, d)
+            return profiles.sequence_profile(relations.pairs(tokens, ATTRS, high), tokens, {"l": "Brand#11"}, ["l"], size=3, op=op, between=between, item=item, name="ld")
+
+        _add(name, make, sql)
+
+    sequence("sequence_within", "<", 1, 2)
+    sequence("sequence_beyond", ">", 1, 2)
+    sequence("sequence_first_item", "<", 2, 1)
+
+
 def _other_queries() -> None:
     def near(name: str, distance: int, adjacent: bool, minimum: int) -> None:
         coef, gap = (1, "gap = 1") if adjacent else (2 * distance, f"abs(gap) <= {distance}")
@@ -440,6 +530,7 @@ _profile_queries()
 _compare_queries()
 _document_queries()
 _other_queries()
+_database_queries()
 
 
 def queries() -> dict[str, Make]:

@@ -70,8 +70,8 @@ def frequent(tokens: DataFrame, attributes: Sequence[str], tuple_min: int = 2, m
 
 
 def sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """n rows, the same ones for the same seed, whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows, the same ones for the same seed, whatever the partitions: those whose keys have the smallest digests with it."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key))), *key).limit(n)
 
 
 def metadata(docs: DataFrame, good: str | None = None, bad: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -83,7 +83,7 @@ def metadata(docs: DataFrame, good: str | None = None, bad: str | None = None, k
 
 
 def targets(xf: DataFrame, where: Column, attributes: Sequence[str], most: int = 65_535) -> DataFrame:
-    """The distinct tuples that a condition takes in, the first ones in order if they are more than most."""
+    """The distinct tuples that a condition takes in, the first ones in order if they are more than most, an option for reports; profiles take all in."""
     return xf.filter(where).select(*attributes).distinct().orderBy(*attributes).limit(most)
 
 

@@ -30,9 +30,16 @@ def union_marginals(tables: Sequence[DataFrame], attributes: Sequence[str]) -> D
     return _all(tables).groupBy(*attributes, "date").agg(F.sum("f1").alias("f1"))
 
 
-def union_segments(tables: Sequence[DataFrame], segment: str = "doc_id") -> DataFrame:
-    """Segments of different parts stay apart: their ids bear the part's number."""
-    return _all([t.withColumn(segment, F.concat_ws(":", F.lit(k), segment)) for k, t in enumerate(tables)])
+def union_segments(tables: Sequence[DataFrame], attributes: Sequence[str] = (), segment: Sequence[str] = ("doc_id",), *, document_min: int = 0, term_min: int = 0) -> DataFrame:
+    """Segments of different parts stay apart: the ids of their documents bear the part's number, and whatever else names a segment stays. Terms in too few segments of the
+    union, or too rare in them, are dropped."""
+    keys = list(dict.fromkeys((*segment, "doc_id")))
+    union = _all([t.withColumn("doc_id", F.concat_ws(":", F.lit(k), "doc_id")) for k, t in enumerate(tables)])
+    if document_min <= 1 and term_min <= 1:
+        return union
+    held = union.groupBy(*attributes, *keys).agg(F.sum("f").alias("f")).groupBy(*attributes).agg(F.count("*").alias("__d"), F.sum("f").alias("__f"))
+    often = held.filter((F.col("__d") >= document_min) & (F.col("__f") >= term_min)).select(*attributes)
+    return union.join(often, list(attributes), "left_semi")
 
 
 def common(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -94,6 +94,30 @@ def near_profile(
     gap = F.col("gap") == 1 if adjacent else F.abs("gap") <= distance
     hits = _sliced(found.filter(all_of(where, lambda a: f"{a}1") & all_of(having, lambda a: f"{a}2") & gap), size)
     f12 = hits.groupBy("slice", *(F.col(f"{a}2").alias(a) for a in items)).agg(F.count("*").alias("f12")).filter(F.col("f12") >= minimum)
+    return _token_counts(f12, tokens, where, items, size, fcoef, name, eps)
+
+
+#: Tokens that a gap without an upper bound may have.
+FARTHEST = 32
+
+
+def sequence_profile(
+    found: DataFrame, tokens: DataFrame, where: Where, group_by: Sequence[str], *, size: int = 0, op: str = "<", between: int = 0, item: int = 2, minimum: int = 1,
+    name: str = "f", eps: float = 0.0, having: Where | None = None,
+) -> DataFrame:
+    """As near_profile, for two tokens in order with some others between them: between at most ("<"), or more than between and at most FARTHEST (">"). item says
+    which of the two is told, the second (the target comes first) or the first. found must reach as far as the gap does."""
+    items = list(group_by)
+    low, high = (1, between + 1) if op == "<" else (between + 2, FARTHEST)
+    gap = F.col("gap") if item == 2 else -F.col("gap")
+    fcoef = high - low + 1
+    hits = _sliced(found.filter(all_of(where, lambda a: f"{a}1") & all_of(having, lambda a: f"{a}2") & gap.between(low, high)), size)
+    f12 = hits.groupBy("slice", *(F.col(f"{a}2").alias(a) for a in items)).agg(F.count("*").alias("f12")).filter(F.col("f12") >= minimum)
+    return _token_counts(f12, tokens, where, items, size, fcoef, name, eps)
+
+
+def _token_counts(f12: DataFrame, tokens: DataFrame, where: Where, items: list[str], size: int, fcoef: int, name: str, eps: float) -> DataFrame:
+    """f12 with f1, f2 and N as counts of tokens times the coefficient of the query."""
     cut = _sliced(tokens, size)
     f2 = cut.groupBy("slice", *items).agg((fcoef * F.count("*")).alias("f2"))
     f1 = cut.filter(all_of(where)).groupBy("slice").agg((fcoef * F.count("*")).alias("f1"))

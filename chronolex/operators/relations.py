@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tokens that are met with each other in one array; those near its edges come on top.
@@ -67,15 +67,20 @@ def numbered(tokens: DataFrame, sentence: Sequence[str], order: Sequence[str], a
     return rows.withColumn("__part", part).join(offsets, "__part").select(*keys, (F.col("__start") + F.col("__n").bitwiseAND((1 << 33) - 1)).alias("__at"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir, or, where that is unset and all runs on this machine, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in spark.checkpoint.dir, or, where that is unset and all runs on this machine, in a temporary folder."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="chronolex-")
-    path = f"{folder.rstrip('/')}/chronolex-sorted-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/chronolex-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a folder of its own."""
+    path = scratch_path(df.sparkSession, "written")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

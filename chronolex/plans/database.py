@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import requests
 from ..functions.predicates import date_bounds
 from ..operators import compare, corpus, documents, merge, profiles, relations, trim
 
@@ -51,20 +53,26 @@ class Database:
         header = self.xf.sparkSession.createDataFrame([(list(self.attributes), self.cof_min)], "attributes array<string>, cof_min int")
         header.coalesce(1).write.json(f"{path}/header")
 
-    def union(self, *others: Database) -> Database:
+    def union(self, *others: Database, document_min: int = 0, term_min: int = 0) -> Database:
+        """The databases as one; the frequency filters of terms in documents are applied anew to their union."""
         every, a = (self, *others), self.attributes
         pick = lambda name: [getattr(d, name) for d in every]
         docs = [d.withColumn("doc_id", F.concat_ws(":", F.lit(k), "doc_id")) for k, d in enumerate(pick("docs"))]
         joined = docs[0]
         for d in docs[1:]:
             joined = joined.unionByName(d, allowMissingColumns=True)
-        return Database(a, merge.union_unigrams(pick("xf"), a), merge.union_cooccurrences(pick("cof"), a, self.cof_min), merge.union_marginals(pick("marginal"), a), merge.union_segments(pick("tdf")), joined, self.cof_min)
+        return Database(a, merge.union_unigrams(pick("xf"), a), merge.union_cooccurrences(pick("cof"), a, self.cof_min), merge.union_marginals(pick("marginal"), a), merge.union_segments(pick("tdf"), a, document_min=document_min, term_min=term_min), joined, self.cof_min)
 
     def matrix(self) -> documents.Matrix:
         return documents.Matrix(self.tdf, self.docs, self.attributes)
 
     def profile(self, relation: str, where, group_by: Sequence[str], *, k: int = -1, least: float | None = None, overall: bool = False, fill: bool = False, date: str | int | None = None, size: int = 1, name: str = "f", eps: float = 0.0, **how) -> DataFrame:
-        """relation: xf, cof or tdf (where is then a documents.Query, or a condition on terms)."""
+        """relation: xf, cof or tdf (where is then a documents.Query, or a condition on terms). where and group_by may be requests as users type them; metadata
+        conditions of a request, ``doc.NAME=VALUE``, restrict a tdf profile's documents."""
+        where, group_by, how["having"] = self.request(where, group_by, how.get("having"))
+        if relation != "tdf" and any(a.startswith("doc.") for a in (where if isinstance(where, Mapping) else ())):
+            warnings.warn(f"a {relation} profile has no documents: conditions on them are ignored", stacklevel=2)
+            where = {a: p for a, p in where.items() if not a.startswith("doc.")}
         how |= {"date": date, "size": size, "name": name, "eps": eps}
         totals = self._totals(relation)
         # Where neither slices nor dates matter, sums over all dates do.
@@ -76,7 +84,11 @@ class Database:
         elif relation == "cof":
             found = profiles.cof_profile(self.cof, self.marginal if sums is None else sums, where, group_by, totals=totals, **how)
         else:
-            query = where if isinstance(where, documents.Query) else documents.terms(self.matrix(), where)
+            query = where
+            if not isinstance(where, documents.Query):
+                query = documents.terms(self.matrix(), {a: p for a, p in where.items() if not a.startswith("doc.")})
+                about = {a.removeprefix("doc."): p for a, p in where.items() if a.startswith("doc.")}
+                query = query.in_documents(about) if about else query
             found = documents.tdf_profile(query, group_by, **how)
         if least is not None:
             found = trim.cut_off(found, least)
@@ -93,6 +105,15 @@ class Database:
             found = profiles.filled(found, sizes, group_by)
         return found
 
+    def request(self, where, group_by, having=None) -> tuple:
+        """where, group_by and having with strings read as requests."""
+        if isinstance(where, str):
+            where = requests.clauses(where, self.attributes[0])
+        if isinstance(group_by, str):
+            group_by, more = requests.group_by(group_by)
+            having = {**(having or {}), **more} or None
+        return where, list(group_by), having
+
     def _totals(self, relation: str) -> DataFrame:
         """date, n: a row a date."""
         if self.totals is not None:
@@ -106,11 +127,20 @@ class Database:
 
     def compare(self, relation: str, a: Mapping, b: Mapping, group_by: Sequence[str], op: str | Callable = "adiff", k: int = -1, *, overall: bool = False, size: int = 0, name: str = "f", eps: float = 0.0, align: bool = False, **both) -> DataFrame:
         """a and b hold each side's where, date and having; what they lack is taken from both."""
+        _, group_by, having = self.request({}, group_by, both.pop("having", None))
+        both = {**both, "having": having} if having else both
         sides = [self.profile(relation, group_by=group_by, size=side.get("size", size), name=name, eps=eps, **both, **{x: v for x, v in side.items() if x != "size"}) for side in (a, b)]
         if overall:
             return compare.compared_overall(*sides, group_by, op, k, name, eps)
         return compare.compared(*sides, group_by, op, k, align=align)
 
+    def export(self, path: str) -> None:
+        """All tables as tab-separated text with headers, a folder each."""
+        for name in _TABLES:
+            table = getattr(self, name)
+            flat = table.select(*(F.to_json(F.struct(c)).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in table.dtypes))
+            flat.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+
     def info(self) -> DataFrame:
         """Rows, dates and counts of each table."""
         out = None

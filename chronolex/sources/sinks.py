@@ -36,8 +36,10 @@ def as_json(profile: DataFrame, items: Sequence[str]) -> DataFrame:
 
 
 def as_html(profile: DataFrame, items: Sequence[str], rows: int = 1000) -> str:
-    """A table of the first rows of a report, which is trimmed before."""
+    """A table of a report, which is trimmed before: with more rows than these, an error."""
     numbers = DIFF if "diff" in profile.columns else PROFILE
+    if len(profile.limit(rows + 1).collect()) > rows:
+        raise ValueError(f"a report of more than {rows} rows: trim it, or write it as text")
     names = [*numbers, "slice", *items]
     head = "".join(f"<th>{escaped(title(n) if n in items else n)}</th>" for n in names)
     body = "".join("<tr>" + "".join(f"<td>{escaped(r[n])}</td>" for n in names) + "</tr>\n" for r in ordered(profile, numbers[-1]).limit(rows).collect())
@@ -74,6 +76,14 @@ def read_cooccurrences(spark: SparkSession, path: str, attributes: Sequence[str]
     return rows.filter(paired).select(*left, "date", *right, "f12"), marginal
 
 
+def write_matrix(tdf: DataFrame, attributes: Sequence[str], path: str, segment: Sequence[str] = ("doc_id",)) -> None:
+    """The matrix as coordinates with strings, and beside it a header: how many terms, segments and entries it has."""
+    entries = as_coordinates(tdf, attributes, segment)
+    entries.write.option("sep", "\t").csv(f"{path}/entries")
+    header = tdf.sparkSession.read.option("sep", "\t").schema("term string, segment string, f long").csv(f"{path}/entries")
+    header.agg(F.countDistinct("term").alias("terms"), F.countDistinct("segment").alias("segments"), F.count("*").alias("entries")).coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{path}/header")
+
+
 def as_coordinates(tdf: DataFrame, attributes: Sequence[str], segment: Sequence[str] = ("doc_id",)) -> DataFrame:
     """term, segment, f: the matrix as a list."""
     return tdf.select(item_key(*attributes).alias("term"), F.concat_ws(":", *segment).alias("segment"), "f")
