@@ -15,7 +15,7 @@ their shingles are ordered rare first, a link shares one among the first of both
 bounds leave, in different components, are confirmed on full sets. So of the pairs that share a region none is left out.
 
 All steps are sorts, sums and joins over narrow tables; a sort splits a group of any size, the forest gives each document a bounded number of
-candidates, and what the join of sets meets at a frequent shingle is dealt to many tasks.
+candidates, a join deals the rows of a frequent key to many tasks, and what the join of sets meets at a frequent shingle is dealt likewise.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer than five words is
 one shingle; texts of any length are whole; rows that repeat a doc_id each give a row and fall into one class if their sets do; a null
@@ -49,6 +49,8 @@ FILTER_BITS, _MAP_BITS = 1 << 26, 1 << 15
 LEAST_SHARE = 0.70
 #: Counters of the sketch that orders shingles by frequency, those of a page of it, and the documents of a shingle that one task of the join meets with the others.
 SKETCH, _SKETCH_PAGE, POSTS = 1 << 22, 1 << 15, 1024
+#: Rows of one key that a task of a join takes.
+HOT = 1 << 15
 #: Links: LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 85)
 _MEMO = 1 << 18
@@ -194,6 +196,17 @@ def _across(edges: DataFrame) -> DataFrame:
     return last.join(first, (F.col("l.part") == F.col("f.part")) & (F.col("l.tree") == F.col("f.tree"))).filter(shared).select(F.col("f.a").alias("a"), F.col("l.a").alias("b"))
 
 
+def met(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    """rows joined with table, which has each key once. A key that more than HOT rows have is dealt to as many tasks as it needs, each with a copy of the table's
+    row. Broadcast are such keys with their numbers of copies, one in HOT rows at most. rows are read twice."""
+    keys = list(key)
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).alias("copies")).filter("copies > 1"))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), copies)).drop("copies")
+    copied = table.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+    return dealt.join(copied, [*keys, "salt"]).drop("salt")
+
+
 def _orders(sets: DataFrame) -> DataFrame:
     trees = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("values", 2 * DEPTH * t + 1, 2 * DEPTH).alias("value")) for t in range(TREES)))
     return sets.withColumn("x", F.explode(trees)).select("x.tree", "x.value", *(c for c in sets.columns if c != "values"))
@@ -208,7 +221,7 @@ def _hubs(sets: DataFrame, runs: DataFrame) -> DataFrame:
     regions = stored(regions, "regions")
     region = ["tree", "depth", "prefix"]
     hubs = stored(regions.groupBy(*region).agg(F.max(F.struct("popular", (-F.col("doc")).alias("doc"))).alias("hub"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_RUN).select(*region, (-F.col("hub.doc")).alias("b")), "hubs")
-    return regions.join(hubs, region).filter("doc <> b").select(F.col("doc").alias("a"), "b")
+    return met(regions, hubs, *region).filter("doc <> b").select(F.col("doc").alias("a"), "b")
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,9 +231,9 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(ordered.mapInArrow(_walked, _WALK), "forest")
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").unionByName(_across(found.filter(F.col("kind") == _EDGE))).unionByName(_hubs(sets, found.filter(F.col("kind") == _RUN)))
     owned = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("owner"))
-    once = owned.groupBy("a", "b").agg(F.min("owner").alias("owner"))
+    once = stored(owned.groupBy("a", "b").agg(F.min("owner").alias("owner")), "pairs")
     one, two = sets.select(F.col("doc").alias("a"), F.col("values").alias("va")), sets.select(F.col("doc").alias("b"), F.col("values").alias("vb"))
-    both = once.join(one, "a").join(two, "b").select("a", "b", "owner", "va", "vb").mapInArrow(_shares, "a long, b long, owner long, share double")
+    both = met(met(once, one, "a"), two, "b").select("a", "b", "owner", "va", "vb").mapInArrow(_shares, "a long, b long, owner long, share double")
     out = stored(both.filter(F.col("share") >= LEAST_SHARE), "candidates")
     crowds = stored(found.filter(F.col("kind") == _CROWD).select("tree", "value", F.col("a").alias("doc")), "crowds")
     forget(found)
@@ -268,7 +281,10 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs whose full sets (doc, hashes) are links."""
     one, two = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("hashes").alias("sb"))
-    return stored(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), name)
+    narrow = stored(pairs.select("a", "b"), "asked")
+    out = stored(met(met(narrow, one, "a"), two, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), name)
+    forget(narrow)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -395,8 +411,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for old in (pairs, crowds, full, more, roots):
         forget(old)
     classes = sets.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"), "doc", "copies")
-    classes = stored(classes.filter("copies > 1 or root <> doc").select("digest", "root"), "classes")
-    joined = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    classes = stored(classes.filter("copies > 1 or root <> doc").select("digest", "root", "copies"), "classes")
+    # Digests of very many copies are told from a broadcast table, one in HOT rows at most; rows without a digest meet nothing, each under a key of its own.
+    many = classes.filter(F.col("copies") > HOT).select("digest", F.col("root").alias("many"))
+    told = signed.select("doc_id", "n_shingles", "digest").join(F.broadcast(many), "digest", "left")
+    alone = F.col("digest").isNull() | F.col("many").isNotNull()
+    told = told.withColumn("key", F.when(alone, F.monotonically_increasing_id().cast("string").cast("binary")).otherwise(F.col("digest")))
+    few = classes.filter(F.col("copies") <= HOT).select(F.col("digest").alias("key"), "root")
+    joined = told.join(few, "key", "left").withColumn("root", F.coalesce("many", "root"))
     component: Column = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
