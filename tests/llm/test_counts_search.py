@@ -108,14 +108,15 @@ def test_pruning_in_small_shards(spark, data, texts, monkeypatch):
     terms, _ = bm25.terms_of(docs[3][1])
     import numpy as np
 
-    ask = lambda k: next(shard.search(np.array([-1]), np.array([0, len(terms)]), terms, np.ones(len(terms)), k))
+    ask = lambda k: next(shard.search(np.array([-1]), np.array([0, len(terms)]), terms, np.ones(len(terms)), k, np.zeros(1)))
     all_ids, all_scores = ask(10_000)
     ids, scores = ask(3)
     assert ids.tolist() == all_ids[:3].tolist() and np.allclose(scores, all_scores[:3])
 
 
 def test_blocks_are_skipped_unread():
-    """Where few documents hold a query's rare word, pivot and block maxima leave most stretches and postings unread, and the answer is that of scoring all."""
+    """Where few documents hold a query's rare word, most documents and blocks are skipped unscored, more so with a threshold from other shards, and the answer is
+    that of scoring all."""
     import random
 
     import numpy as np
@@ -133,15 +134,44 @@ def test_blocks_are_skipped_unread():
         words = {int(bm25.terms_of(w)[0][0]): w for w in set(text.split())}
         terms = np.array(sorted(words))
         idf = np.array([math.log(1 + (n - df[words[t]] + 0.5) / (df[words[t]] + 0.5)) for t in terms.tolist()])
-        shard = bm25.Shard(rows[0], mean)
-        ids, scores = next(shard.search(np.array([q]), np.array([0, len(terms)]), terms, idf, 10))
+        shard, floor = bm25.Shard(rows[0], mean), 0.0
+        ids, scores = next(shard.search(np.array([q]), np.array([0, len(terms)]), terms, idf, 10, np.array([floor])))
         assert len(scores) == len(want[q]) and np.allclose(scores, [s for _, s in want[q]], atol=2e-6)
         assert {d for d, s in zip(ids.tolist(), scores.tolist(), strict=True) if s > scores[-1] + 1e-5} == {d for d, s in want[q] if s > scores[-1] + 1e-5}
-        seen = shard.seen
+        first = dict(shard.seen)
         if q == -1:
-            assert seen["beyond_pivot"] > 0.8 * seen["stretches"] and seen["scored_postings"] < 0.1 * seen["postings"]
-        if q == 5:
-            assert seen["scored_stretches"] < 0.5 * seen["stretches"]
+            assert first["scored_documents"] < 0.1 * first["documents"] and first["skipped_blocks"] > 0.3 * first["blocks"]
+        if len(scores) == 10:
+            again, same_scores = next(shard.search(np.array([q]), np.array([0, len(terms)]), terms, idf, 10, scores[-1:]))
+            assert again.tolist() == ids.tolist() and np.allclose(same_scores, scores)
+            assert shard.seen["scored_documents"] - first["scored_documents"] <= first["scored_documents"]
+
+
+def test_lists_before_the_pivot_are_skipped():
+    """With a threshold that weak lists can't reach, these are read for candidates alone, and no answer changes."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    docs = [(k, " ".join([f"w{j}" for j in rnd.sample(range(400), 12)] + ["key", "lock"] * (k % 50 == 7))) for k in range(2000)]
+    rows = [r for b in bm25._indexed(iter([pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})])) for r in b.to_pylist()]
+    text = "key lock " + " ".join(f"w{j}" for j in range(40))
+    words = {int(bm25.terms_of(w)[0][0]): w for w in text.split()}
+    terms = np.array(sorted(words))
+    idf = np.array([5.0 if words[t] in ("key", "lock") else 0.01 for t in terms.tolist()])
+    for loose in (0.0, 0.02, 0.5):
+        shard = bm25.Shard(rows[0], 12.0)
+        old, bm25.LOOSE = bm25.LOOSE, loose
+        try:
+            ids, scores = next(shard.search(np.array([-1]), np.array([0, len(terms)]), terms, idf, 10, np.array([9.0])))
+        finally:
+            bm25.LOOSE = old
+        if loose == 0:
+            want = ids.tolist(), scores.tolist()
+        assert ids.tolist() == want[0] and np.allclose(scores, want[1])
+        assert (shard.seen["skipped_postings"] > 0) == (loose > 0)
 
 
 def test_odd_rows(spark, odd, empty):
