@@ -30,13 +30,29 @@ def _ranks(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_SPECIAL: 50256})
 
 
+def is_plain(text: str) -> bool:
+    """Whether the rank file gives a text's ids."""
+    return _PLAIN.fullmatch(text) is not None and not _LONG_RUN.search(text)
+
+
+@lru_cache(maxsize=2)
+def _sizes(path: str) -> np.ndarray:
+    return np.array([len(_ranks(path).decode_single_token_bytes(i)) for i in range(_ranks(path).n_vocab - 1)], dtype=np.int64)
+
+
+def plain_ids(text: str, ranks: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a plain text, in which strings of special tokens are text, and how many bytes each takes."""
+    ids = np.array(_ranks(ranks).encode_ordinary(text), dtype=np.int32)
+    return ids, _sizes(ranks)[ids]
+
+
 def encode(texts: list[str], path: str, ranks: str | None) -> Iterator[np.ndarray]:
     """Each text's ids, as tokenizers gives them with add_special_tokens=False.
 
     ranks is the same vocabulary as a rank file (None: use the tokenizers library alone)."""
     fast = _ranks(ranks) if ranks else None
     for text in texts:
-        if fast is not None and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+        if fast is not None and is_plain(text):
             ids = fast.encode(text, allowed_special="all") if _SPECIAL in text else fast.encode_ordinary(text)
         else:
             ids = tokenizer(path).encode(text, add_special_tokens=False).ids

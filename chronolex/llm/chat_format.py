@@ -8,22 +8,22 @@ Template, for each turn: ``<|im_start|>`` role ``\\n`` text ``<|im_end|>`` ``\\n
 written ``<\\n``, so that the first line feed after the marker always ends the role.
 
 Defined cases: a null text or role is empty; null turns come first; rows that repeat a turn stay, in order of role and text; a
-null conv_id is a conversation of its own; a conversation without assistant rows has an empty loss mask; extra columns are
-ignored; an empty table gives an empty result.
+null conv_id is a conversation of its own; a conversation without assistant rows has an empty loss mask; rows that already bear conv_id -1 join the query's
+planted conversation; texts of any length are whole; extra columns, also of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_as_empty, picked, table, tokenizer, tokenizer_file
+from .byte_bpe import default_files, is_plain, plain_ids
+from .common import null_as_empty, picked, table, tokenizer
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -54,22 +54,50 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), spans
 
 
-def offsets_of(encoding, parts: list[str]) -> list[tuple[int, int]]:
-    """The offsets of an encoding of pieces, which count from the start of each, in the whole text."""
-    starts = [0, *accumulate(map(len, parts))]
-    return [(starts[k] + a, starts[k] + b) for k, (a, b) in zip(encoding.word_ids, encoding.offsets, strict=True)]
-
-
-def covered(offsets: list[tuple[int, int]], mask: np.ndarray) -> list[list[int]]:
+class PieceEncoder:
+    """Ids of pieces, with the places of their tokens; the heads and ends of turns, of which there are few, are kept."""
+
+    KEPT = 4096
+
+    def __init__(self, path: str, ranks: str | None):
+        self.path, self.ranks, self.kept = path, ranks, {}
+
+    def piece(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids and offsets (a row a token: start and end in code points) of a piece."""
+        if self.ranks is None or not is_plain(text):
+            found = tokenizer(self.path, plain_specials=True).encode(text, add_special_tokens=False)
+            return np.array(found.ids, dtype=np.int32), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
+        ids, sizes = plain_ids(text, self.ranks)
+        ends = np.cumsum(sizes)
+        offsets = np.stack([ends - sizes, ends], axis=1)
+        if not text.isascii() and len(ids):  # from bytes to code points
+            chars = np.cumsum(np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0 != 0x80)
+            offsets = np.stack([chars[offsets[:, 0]] - 1, chars[offsets[:, 1] - 1]], axis=1)
+        return ids, offsets
+
+    def __call__(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and offsets of a conversation of pieces."""
+        ids, offsets, at = [], [], 0
+        for k, part in enumerate(parts):
+            got = self.kept.get(part) if k % 3 != 1 else None
+            if got is None:
+                got = self.piece(part)
+                if k % 3 != 1 and len(part) < 64 and len(self.kept) < self.KEPT:
+                    self.kept[part] = got
+            ids.append(got[0])
+            offsets.append(got[1] + at)
+            at += len(part)
+        return np.concatenate(ids), np.concatenate(offsets)
+
+
+def covered(offsets: np.ndarray, mask: np.ndarray) -> list[list[int]]:
     """The sorted stretches of text that the tokens under the mask cover."""
-    out: list[list[int]] = []
-    for k in np.flatnonzero(mask):
-        a, b = offsets[k]
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return out
+    chosen = offsets[mask]
+    if not len(chosen):
+        return []
+    reach = np.maximum.accumulate(chosen[:, 1])
+    first = np.flatnonzero(np.append(True, chosen[1:, 0] > reach[:-1]))
+    return np.stack([chosen[first, 0], reach[np.append(first[1:], len(chosen)) - 1]], axis=1).tolist()
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -81,11 +109,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def aligned(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
-    """For each token whether it overlaps a span. Both lists are sorted; two binary searches bound each token's spans."""
-    if not offsets or not spans:
-        return np.zeros(len(offsets), dtype=bool)
-    token, span = np.array(offsets, dtype=np.int64), np.array([s for s in spans if s[0] < s[1]] or [(0, 0)], dtype=np.int64)
+def aligned(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """For each token whether it overlaps a span. Both are sorted; two binary searches bound each token's spans."""
+    token, span = np.asarray(offsets, dtype=np.int64).reshape(-1, 2), np.array([s for s in spans if s[0] < s[1]] or [(0, 0)], dtype=np.int64)
     first = np.searchsorted(span[:, 1], token[:, 0], side="right")
     after = np.searchsorted(span[:, 0], token[:, 1], side="left")
     return (first < after) & (token[:, 0] < token[:, 1])
@@ -95,34 +121,33 @@ def learned_text(formatted: str, spans: list[list[int]]) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in spans)
 
 
-def _formatted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = tokenizer(path, plain_specials=True)
+def _formatted(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None) -> Iterator[pa.RecordBatch]:
+    encoder = PieceEncoder(path, ranks)
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             out: dict[str, list] = {k: [] for k in ("conv_id", "formatted", "spans", "learned", "ids", "mask")}
-            chats = [[(t["role"], t["text"]) for t in turns] for turns in part.column("turns").to_pylist()]
-            encoded = encoder.encode_batch([pieces(turns) for turns in chats], is_pretokenized=True, add_special_tokens=False)
-            for conv, turns, enc in zip(part.column("conv_id").to_pylist(), chats, encoded, strict=True):
-                (text, spans), offsets = render(turns), offsets_of(enc, pieces(turns))
+            for conv, rows in zip(part.column("conv_id").to_pylist(), part.column("turns").to_pylist(), strict=True):
+                turns = [(t["role"], t["text"]) for t in rows]
+                (text, spans), (ids, offsets) = render(turns), encoder(pieces(turns))
                 mask = aligned(offsets, spans)
                 out["conv_id"].append(conv)
                 out["formatted"].append(text)
                 out["spans"].append([list(s) for s in spans])
                 out["learned"].append(covered(offsets, mask))
-                out["ids"].append(enc.ids)
+                out["ids"].append(ids)
                 out["mask"].append(np.packbits(mask, bitorder="little").tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.list_(pa.int32()))), ("learned", pa.list_(pa.list_(pa.int32()))), ("ids", pa.list_(pa.int32())), ("mask", pa.binary())]))
 
 
-def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
+def format_chats(rows: DataFrame, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """conv_id, formatted, spans (of the learned texts, in code points), learned (what the tokens under the mask cover), ids, mask (one bit a token, least first)."""
-    path = path or tokenizer_file("byte_bpe_50k.json")
+    path, ranks = (path, ranks) if path else default_files()
     turn = F.struct(
         F.col("turn").alias("turn"), null_as_empty(F.col("role")).alias("role"), null_as_empty(F.col("text")).alias("text")
     )
     chats = picked(rows, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return chats.mapInArrow(lambda batches: _formatted(batches, path), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
+    return chats.mapInArrow(lambda batches: _formatted(batches, path, ranks), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
