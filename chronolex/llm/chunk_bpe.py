@@ -19,7 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +98,7 @@ class ChunkEncoder:
     """Encodes texts with bounded tables of chunks and of the windows around their joins."""
 
     def __init__(self, path: str):
-        self.path, self.chunks, self.joins = path, {}, {}
+        self.path, self.wholes, self.chunks, self.joins = path, {}, {}, {}
         self.encoded = self.reused = 0
 
     def _ids(self, data: bytes) -> list[int]:
@@ -112,6 +112,24 @@ class ChunkEncoder:
         ids = np.array(table[0].encode_ordinary(_PARTS.sub(rf"\g<0>{MARK}", text.lower())), dtype=np.int64)
         return (ids - table[1]).tolist()
 
+    def _whole(self, data: bytes) -> list[int]:
+        """Ids of a text that is one chunk."""
+        got = self.wholes.get(data)
+        if got is not None:
+            self.reused += 1
+            return got
+        self.encoded += 1
+        return self._kept(self.wholes, data, self.plain(data))
+
+    @staticmethod
+    def _kept(table: dict, key: bytes, value):
+        """value, which the table keeps; of a full table the older half goes."""
+        if len(table) >= CHUNKS:
+            for old in list(islice(table, CHUNKS // 2)):
+                del table[old]
+        table[key] = value
+        return value
+
     def _chunk(self, data: bytes):
         """(first safe place, last safe place, ids between), or None if white space is nowhere in it."""
         got = self.chunks.get(data)
@@ -123,10 +141,7 @@ class ChunkEncoder:
         if len(spaces):
             a, b = int(spaces[0]) + 1, int(spaces[-1]) + 1
             got = a, b, self.plain(data[a:b])
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        self.chunks[data] = got
-        return got
+        return self._kept(self.chunks, data, got)
 
     def _join(self, data: bytes, a: int, b: int, low: int, high: int) -> list[int]:
         """Ids of data[a:b], which a cut runs through: a window around it is encoded until it agrees with the chunks beside it, known from low to high."""
@@ -139,9 +154,7 @@ class ChunkEncoder:
             got = self.joins.get(window)
             if got is None:
                 got = self._ids(window)
-                if len(self.joins) >= CHUNKS:
-                    self.joins.clear()
-                self.joins[window] = got
+                self._kept(self.joins, window, got)
             if got[: len(head)] == head and got[len(got) - len(tail) :] == tail:
                 return got[len(head) : len(got) - len(tail)]
             if left == low and right == high:
@@ -163,7 +176,7 @@ class ChunkEncoder:
         data = text.encode()
         ends = cuts(data)
         if len(ends) == 1:
-            return self.plain(data)
+            return self._whole(data)
         parts, last = [], 0
         for end in ends:
             got = self._chunk(data[last:end])
