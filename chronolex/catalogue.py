@@ -141,7 +141,8 @@ def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cof(tokens: DataFrame, attributes=ATTRS, distance: int = 5, minimum: int = 2, **how) -> tuple[DataFrame, DataFrame]:
     # Sorting by ranges looks at its input twice.
     blocks = relations.windows(relations.written(tokens), attributes, distance, **how)
-    return relations.thresholded(relations.cooccurrences_of(blocks, attributes, distance), minimum), relations.marginals_of(blocks, attributes, distance)
+    # A profile takes N, f1 and f2 from the marginals, so they are summed once.
+    return relations.thresholded(relations.cooccurrences_of(blocks, attributes, distance), minimum), relations.written(relations.marginals_of(blocks, attributes, distance))
 
 
 BASE_B = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p')}"

@@ -50,7 +50,8 @@ def pairs(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, **how
 def pairs_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
     """The pairs in windows of at least this distance. A condition on the first token, its attributes or date, is applied before any is met with another."""
     near = _around(blocks, distance, F.lit(True))
-    met = near.select("i", "one", "s", F.posexplode("around").alias("k", "two")).filter("s + k <> i and one.sentence <=> two.sentence")
+    # The slice is never empty; the outer form spares the tests for that, which would make it twice more.
+    met = near.select("i", "one", "s", F.posexplode_outer("around").alias("k", "two")).filter("s + k <> i and one.sentence <=> two.sentence")
     return met.select(*(F.col(f"one.{a}").alias(f"{a}1") for a in attributes), F.col("one.date").alias("date"), *(F.col(f"two.{a}").alias(f"{a}2") for a in attributes), (F.col("s") + F.col("k") - F.col("i")).alias("gap"))
 
 

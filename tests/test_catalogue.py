@@ -49,3 +49,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["cof_two_pass_f2_B", "cof_global_T", "kbest_local", "near_dist2"])
+def test_pairs_are_made_once_and_for_the_target_alone(spark, name):
+    """One generation of pairs in the plan, under a filter on the target's own attribute; none for N, f1 and f2."""
+    plan = catalogue.queries()[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(around") == 1 and plan.count("Generate posexplode(t") == 1
+    filters = [line for line in plan.splitlines() if "Filter" in line and "one#" in line and ".l = " in line]
+    assert len(filters) == 1
