@@ -2,7 +2,7 @@
 
 Each document is a set of five-word shingles. Equal sets fall together by a digest, and one document stands for each. Its MinHash signature
 is written in TREES orders; in each order all documents are sorted, and a document's candidates are those that follow it with a common
-prefix of LEAST_DEPTH values or more, the nearest first. So the depth that a candidate must share adapts to the region: where many documents
+prefix of LEAST_DEPTH values or more, the nearest first; in a region of many documents, which the exact join below looks through, only the two nearest. So the depth that a candidate must share adapts to the region: where many documents
 share a short prefix, the next ones in order share a longer one. In regions of several depths the document that most others share values with, as a
 model does with its copies, is a candidate of all. A comparison of whole signatures drops candidates that can't be links.
 
@@ -41,6 +41,8 @@ WORDS = 5
 TREES, DEPTH, LEAST_DEPTH = 16, 12, 4
 #: Followers in order that a document is compared with, in each order.
 FOLLOWERS = 4
+#: Of those the nearest ones that do in a region with more documents than they are, as all its pairs are seen by the exact join if these leave it in pieces.
+NEAREST = 2
 #: Documents that share so many values are a run, if there are enough; the depths of regions that each have a most popular document.
 RUN_DEPTH, LEAST_RUN, HUB_DEPTHS = 6, 3, (4, 6, 9, 12)
 #: Bits of the map that tells where texts are read which of them candidates may need; 8 MB, however many there are.
@@ -172,8 +174,8 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crowd_over(edge=n == len(crowd))
                 crowd_key = tree, value[: 2 * LEAST_DEPTH]
             crowd.append(doc)
-            for other in reversed(held):
-                if other[0] != tree or _depth(other[1], value) < LEAST_DEPTH:
+            for back, other in enumerate(reversed(held)):
+                if other[0] != tree or _depth(other[1], value) < LEAST_DEPTH or back >= NEAREST and len(crowd) > FOLLOWERS + 1:
                     break
                 add(kind=_PAIR, a=doc, b=other[2])
             if n < FOLLOWERS:
@@ -212,8 +214,8 @@ def _orders(sets: DataFrame) -> DataFrame:
     return sets.withColumn("x", F.explode(trees)).select("x.tree", "x.value", *(c for c in sets.columns if c != "values"))
 
 
-def _hubs(sets: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document and the most popular one, b, of its regions. Copies that each differ from their model in places of their own are
+def _hubs(sets: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """With two stored tables that they are read from: pairs (a, b) of a document and the most popular one, b, of its regions. Copies that each differ from their model in places of their own are
     closer to it than to each other, so they share more values with it, and more documents do. Only documents in runs are looked at."""
     popular = runs.groupBy("a").agg(F.sum("n").alias("popular")).withColumnRenamed("a", "doc")
     depths = F.array(*(F.struct(F.lit(d).alias("depth"), F.substring("value", 1, 2 * d).alias("prefix")) for d in HUB_DEPTHS))
@@ -221,7 +223,7 @@ def _hubs(sets: DataFrame, runs: DataFrame) -> DataFrame:
     regions = stored(regions, "regions")
     region = ["tree", "depth", "prefix"]
     hubs = stored(regions.groupBy(*region).agg(F.max(F.struct("popular", (-F.col("doc")).alias("doc"))).alias("hub"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_RUN).select(*region, (-F.col("hub.doc")).alias("b")), "hubs")
-    return met(regions, hubs, *region).filter("doc <> b").select(F.col("doc").alias("a"), "b")
+    return met(regions, hubs, *region).filter("doc <> b").select(F.col("doc").alias("a"), "b"), regions, hubs
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -229,14 +231,16 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     the document that looked for the other; a document owns TREES * (FOLLOWERS + len(HUB_DEPTHS)) pairs at most."""
     ordered = _orders(sets).repartitionByRange("tree", "value", "doc").sortWithinPartitions("tree", "value", "doc")
     found = stored(ordered.mapInArrow(_walked, _WALK), "forest")
-    pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").unionByName(_across(found.filter(F.col("kind") == _EDGE))).unionByName(_hubs(sets, found.filter(F.col("kind") == _RUN)))
+    popular, *read = _hubs(sets, found.filter(F.col("kind") == _RUN))
+    pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").unionByName(_across(found.filter(F.col("kind") == _EDGE))).unionByName(popular)
     owned = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("owner"))
     once = stored(owned.groupBy("a", "b").agg(F.min("owner").alias("owner")), "pairs")
     one, two = sets.select(F.col("doc").alias("a"), F.col("values").alias("va")), sets.select(F.col("doc").alias("b"), F.col("values").alias("vb"))
     both = met(met(once, one, "a"), two, "b").select("a", "b", "owner", "va", "vb").mapInArrow(_shares, "a long, b long, owner long, share double")
     out = stored(both.filter(F.col("share") >= LEAST_SHARE), "candidates")
     crowds = stored(found.filter(F.col("kind") == _CROWD).select("tree", "value", F.col("a").alias("doc")), "crowds")
-    forget(found)
+    for old in (found, once, *read):
+        forget(old)
     return out, crowds
 
 
