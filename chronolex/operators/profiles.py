@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Predicate, all_of, dates
@@ -14,12 +15,27 @@ from ..functions.text import sliced
 Where = Mapping[str, "str | Sequence[str] | Predicate"]
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Totals by date that are known on the driver, a number a date; what is made of them is a part of the plan and not a job."""
+
+    spark: SparkSession
+    by_date: Mapping[int, int]
+
+
 def _sliced(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("slice", sliced(F.col("date"), size))
 
 
-def slice_totals(totals: DataFrame, size: int) -> DataFrame:
+def slice_totals(totals: DataFrame | Totals, size: int) -> DataFrame:
     """slice, N: from date, n. No date request restricts it."""
+    if isinstance(totals, Totals):
+        n: dict[int, int] = {}
+        for date, x in totals.by_date.items():
+            at = date // size * size if size else 0
+            n[at] = n.get(at, 0) + x
+        rows = ", ".join(f"({at}, {x}L)" for at, x in sorted(n.items())) or "(0, 0L)"
+        return totals.spark.sql(f"SELECT slice, N FROM VALUES {rows} AS t(slice, N)" + ("" if n else " WHERE false"))
     return _sliced(totals, size).groupBy("slice").agg(F.sum("n").alias("N"))
 
 
@@ -34,7 +50,7 @@ def _assembled(f12: DataFrame, f2: DataFrame | None, f1: DataFrame, n: DataFrame
     return scored(counts, name, eps).select("slice", *items, "N", "f1", "f2", "f12", "score")
 
 
-def unigram_profile(xf: DataFrame, where: Where | None, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None, name: str = "f", eps: float = 0.0, keys: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+def unigram_profile(xf: DataFrame, where: Where | None, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None, name: str = "f", eps: float = 0.0, keys: DataFrame | None = None, totals: DataFrame | Totals | None = None) -> DataFrame:
     """Targets profile themselves: f12 = f2 = the item's own count; N counts tokens. keys (slice and group_by) is a set that alone is told, with f12 = 0 where the
     target doesn't take an item in, and f2 the item's count all the same. totals (date, n) spares the sums of N."""
     in_time, items = dates(date)(F.col("date")), list(group_by)
@@ -59,10 +75,12 @@ def every_slice(f1: DataFrame, n: DataFrame) -> DataFrame:
 
 def cof_profile(
     cof: DataFrame, marginal: DataFrame, where: Where, group_by: Sequence[str], *, date: str | int | None = None, size: int = 1, having: Where | None = None,
-    name: str = "f", eps: float = 0.0, one_pass: bool = False, keys: DataFrame | None = None, totals: DataFrame | None = None,
+    name: str = "f", eps: float = 0.0, one_pass: bool = False, keys: DataFrame | None = None, totals: DataFrame | Totals | None = None,
+    one_row: bool = False,
 ) -> DataFrame:
     """Items that co-occur with the target. having restricts items, in f12 and f2, and leaves f1 alone; keys (slice and group_by) is a set that alone is told, with
-    f12 = 0 where it doesn't co-occur; totals (date, n) spares the sums of N. f2 sums the marginals of all tuples that give an item, or, one_pass, of those that co-occur with the target."""
+    f12 = 0 where it doesn't co-occur; totals (date, n) spares the sums of N, and one_row says that marginal has one
+    row an item and slice. f2 sums the marginals of all tuples that give an item, or, one_pass, of those that co-occur with the target."""
     in_time = dates(date)(F.col("date"))
     items = list(group_by)
     n = slice_totals(marginal.groupBy("date").agg(F.sum("f1").alias("n")) if totals is None else totals, size)
@@ -77,7 +95,8 @@ def cof_profile(
         attributes = [c for c in marginal.columns if c not in ("date", "f1")]
         sums = sums.join(hits.select(*(F.col(f"{a}2").alias(a) for a in attributes), "date").distinct(), [*attributes, "date"], "left_semi")
     # The marginals are summed by item before they meet the items that were found.
-    f2 = _sliced(sums, size).groupBy("slice", *items).agg(F.sum("f1").alias("f2"))
+    cut = _sliced(sums, size)
+    f2 = cut.select("slice", *items, F.col("f1").alias("f2")) if one_row else cut.groupBy("slice", *items).agg(F.sum("f1").alias("f2"))
     if keys is not None:
         f1 = every_slice(f1, n)
     return _assembled(f12, f2, f1, n, items, name, eps)

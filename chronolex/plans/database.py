@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ class Database:
     totals: DataFrame | None = None
     marginal_sums: DataFrame | None = None
     xf_sums: DataFrame | None = None
+    _dated: list | None = field(default=None, repr=False)
 
     def write(self, path: str) -> None:
         """Tables are dealt and sorted by the first attribute, then the date: a target lies in one or two files and few row groups, and dates are told by the
@@ -82,6 +83,7 @@ class Database:
         if relation == "xf":
             found = profiles.unigram_profile(self.xf if sums is None else sums, where, group_by, totals=totals, **how)
         elif relation == "cof":
+            how["one_row"] = sums is not None and set(group_by) == set(self.attributes)
             found = profiles.cof_profile(self.cof, self.marginal if sums is None else sums, where, group_by, totals=totals, **how)
         else:
             query = where
@@ -100,7 +102,8 @@ class Database:
             low, high = date_bounds(date)
             in_time = F.lit(True) if low is None else F.col("date") >= low
             in_time = in_time if high is None else in_time & (F.col("date") <= high)
-            dated = totals.filter(in_time).select("date")
+            table, value = {"xf": (self.xf, "f"), "cof": (self.marginal, "f1")}.get(relation, (self.tdf, "f"))
+            dated = relations.totals_by_date(table, value).filter(in_time).select("date")
             sizes = profiles.slice_totals(totals, size).join(profiles._sliced(dated, size).select("slice").distinct(), "slice", "left_semi")
             found = profiles.filled(found, sizes, group_by)
         return found
@@ -114,10 +117,12 @@ class Database:
             having = {**(having or {}), **more} or None
         return where, list(group_by), having
 
-    def _totals(self, relation: str) -> DataFrame:
-        """date, n: a row a date."""
+    def _totals(self, relation: str) -> DataFrame | profiles.Totals:
+        """A number a date."""
         if self.totals is not None:
-            return self.totals.filter(F.col("relation") == relation).select("date", "n")
+            if self._dated is None:
+                self._dated = self.totals.collect()
+            return profiles.Totals(self.totals.sparkSession, {r["date"]: r["n"] for r in self._dated if r["relation"] == relation and r["date"] is not None})
         table, value = {"xf": (self.xf, "f"), "cof": (self.marginal, "f1")}.get(relation, (self.tdf, "f"))
         return relations.totals_by_date(table, value)
 
