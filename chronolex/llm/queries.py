@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, chat_format, chunk_bpe, dac, html_text, merkle, near_dup, packing, pii, quality, token_rollup
+from . import bm25, chat_format, chunk_bpe, dac, html_text, imatch, merkle, near_dup, packing, pii, quality, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op9_weak_quality,
         bm25.op10_block_max_wand,
         merkle.op11_mountain_manifest,
+        imatch.op13_imatch_fingerprints,
     )
     return {f.__name__: f for f in found}
 
