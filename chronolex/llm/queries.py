@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, chat_format, chunk_bpe, dac, html_text, imatch, merkle, near_dup, packing, pii, quality, token_rollup
+from . import bm25, chat_format, chunk_bpe, dac, html_text, imatch, merkle, near_dup, packing, phrases, pii, quality, token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op9_weak_quality,
         bm25.op10_block_max_wand,
         merkle.op11_mountain_manifest,
+        phrases.op12_suffix_sigma,
         imatch.op13_imatch_fingerprints,
     )
     return {f.__name__: f for f in found}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Phrases of two to four words within pieces, counted one by one.
+_PHRASES = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS w
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM words) WHERE len(w) >= k)
+), counted AS (
+    SELECT lang, k, phrase, any_value(w) AS w, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut, CAST(floor(CAST(c.f AS HUGEINT) * 2000000 // (x.f + y.f)) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted WHERE k > 1) c
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : cut], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_ AS (
+    SELECT lang, f, array_to_string(w[i : i + size - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM counted WHERE k > 2))
+), longer AS (
+    SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY lang, phrase
+), ranked AS (
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, CAST(t.n AS BIGINT) AS n, b.score
+    FROM best b JOIN totals t USING (lang) LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase
+    WHERE x.f IS NULL OR 100 * x.f < 80 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_suffix_sigma": _PHRASES}
