@@ -4,7 +4,8 @@ Each document is a set of five-word shingles. Equal sets fall together by a dige
 is written in TREES orders; in each order all documents are sorted, and a document's candidates are those that follow it with a common
 prefix of LEAST_DEPTH values or more, the nearest first; in a region of many documents, which the exact join below looks through, only the two nearest. So the depth that a candidate must share adapts to the region: where many documents
 share a short prefix, the next ones in order share a longer one. In regions of several depths the document that most others share values with, as a
-model does with its copies, is a candidate of all. A comparison of whole signatures drops candidates that can't be links.
+model does with its copies, is a candidate of all. A comparison of whole signatures drops candidates of which fewer than LEAST_SHARE of the values are equal: a link at exactly 85 % is
+taken for one of those with a probability of one in a billion, six deviations away.
 
 Links are confirmed on full sets: the two likeliest candidates of each document first, then all whose documents are still in different
 components, so that every candidate is either confirmed, refuted or within a component. Components come from repeated contraction
@@ -18,8 +19,8 @@ All steps are sorts, sums and joins over narrow tables; a sort splits a group of
 candidates, a join deals the rows of a frequent key to many tasks, and what the join of sets meets at a frequent shingle is dealt likewise.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of fewer than five words is
-one shingle; texts of any length are whole; rows that repeat a doc_id each give a row and fall into one class if their sets do; a null
-doc_id never stands for others unless alone; an empty table gives no rows; extra columns are ignored.
+one shingle; texts of any length are whole; rows that share a doc_id are one document: each gives a row, all links of all their texts count, and all that have shingles are in one class; a null
+doc_id never stands for others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,7 +102,12 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least.astype(">u2")
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("values", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("values", pa.binary())])
+
+
+def _digest(found: np.ndarray) -> bytes | None:
+    """What tells a set of shingles; None of an empty one."""
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +118,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column("text").to_pylist():
                 found = shingles(text)
                 counts.append(len(found))
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                digests.append(_digest(found))
                 values.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(values, pa.binary())], schema=_SIGNED)
 
 
 _WALK = "kind int, a long, b long, part int, head boolean, tree int, value binary, n long"
@@ -198,15 +204,15 @@ def _across(edges: DataFrame) -> DataFrame:
     return last.join(first, (F.col("l.part") == F.col("f.part")) & (F.col("l.tree") == F.col("f.tree"))).filter(shared).select(F.col("f.a").alias("a"), F.col("l.a").alias("b"))
 
 
-def met(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
-    """rows joined with table, which has each key once. A key that more than HOT rows have is dealt to as many tasks as it needs, each with a copy of the table's
+def met(rows: DataFrame, table: DataFrame, *key: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once; how is inner or left. A key that more than HOT rows have is dealt to as many tasks as it needs, each with a copy of the table's
     row. Broadcast are such keys with their numbers of copies, one in HOT rows at most. rows are read twice."""
     keys = list(key)
-    hot = F.broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).alias("copies")).filter("copies > 1"))
-    copies = F.coalesce("copies", F.lit(1).cast("long"))
-    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), copies)).drop("copies")
-    copied = table.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
-    return dealt.join(copied, [*keys, "salt"]).drop("salt")
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).alias("met_copies")).filter("met_copies > 1"))
+    copies = F.coalesce("met_copies", F.lit(1).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("met_salt", F.pmod(F.xxhash64(*rows.columns), copies)).drop("met_copies")
+    copied = table.join(hot, keys, "left").withColumn("met_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("met_copies")
+    return dealt.join(copied, [*keys, "met_salt"], how).drop("met_salt")
 
 
 def _orders(sets: DataFrame) -> DataFrame:
@@ -252,10 +258,16 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts, of those that have the digest that is asked for."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["doc", "hashes"])
+            docs, hashes = [], []
+            for doc, digest, text in zip(*(batch.column(c).slice(at, ROWS_AT_ONCE).to_pylist() for c in ("doc", "digest", "text")), strict=True):
+                found = shingles(text)
+                if _digest(found) == digest:
+                    docs.append(doc)
+                    hashes.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.binary())], names=["doc", "hashes"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,17 +281,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose doc is in wanted, which holds each once. A map of hashed ids, of FILTER_BITS bits at most, is broadcast and drops most others where they are read, so
-    that their texts aren't shuffled; the join that follows drops the rest, and does all the work once the ids fill the map.
+def _among(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key (doc, if none is named) is in wanted, which holds each once, with wanted's other columns. A map of hashed keys, of FILTER_BITS bits at most, is broadcast and drops most others where they are read, so
+    that their texts aren't shuffled; the join that follows drops the rest, and does all the work once the keys fill the map.
     It is an inner join, as a semi join would be moved below the map."""
-    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    keys = list(key) or ["doc"]
+    spot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
     place = [(spot / _MAP_BITS).cast("int").alias("page"), (spot % _MAP_BITS).alias("at")]
     maps = wanted.select(*place).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("map"))
     byte = F.conv(F.hex(F.expr("substring(map, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("long")
     bit = F.expr("cast(pow(2, at % 8) as long)")
     marked = rows.select("*", *place).join(F.broadcast(maps), "page").filter(byte.bitwiseAND(bit) != 0)
-    return marked.select(*rows.columns).join(wanted, "doc")
+    return marked.select(*rows.columns).join(wanted, keys)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -299,8 +312,8 @@ def components(links: DataFrame) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "least")
         to = lambda c: least.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to"))
-        now = stored(of.join(to("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")), "roots")
-        rest = stored(edges.join(to("a"), "a").join(to("b"), "b").filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        now = stored(met(of, to("root"), "root", how="left").select("node", F.coalesce("root_to", "root").alias("root")), "roots")
+        rest = stored(met(met(edges, to("a"), "a"), to("b"), "b").filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
         for old in (of, least, edges):
             forget(old)
         of, edges = now, rest
@@ -308,11 +321,11 @@ def components(links: DataFrame) -> DataFrame:
             return of
 
 
-def _crowded(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc and root of the documents in regions that hold more than one component."""
-    placed = crowds.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("tree", "value", "doc", F.coalesce("root", "doc").alias("root"))
+def _crowded(crowds: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc and root of the documents in regions that hold more than one component, and a stored table that they are read from."""
+    placed = stored(crowds.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("tree", "value", "doc", F.coalesce("root", "doc").alias("root")), "placed")
     mixed = placed.groupBy("tree", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tree", "value")
-    return placed.join(mixed, ["tree", "value"], "left_semi").select("doc", "root").distinct()
+    return met(placed, mixed, "tree", "value").select("doc", "root").distinct(), placed
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +381,9 @@ def _met(posts: DataFrame) -> DataFrame:
 def unseen_links(crowds: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame | None:
     """All links between components among the documents of crowded regions, or None if no region has two components."""
     spark = full.sparkSession
-    docs = stored(_crowded(crowds, roots), "crowded")
+    found, placed = _crowded(crowds, roots)
+    docs = stored(found, "crowded")
+    forget(placed)
     if docs.isEmpty():
         forget(docs)
         return None
@@ -392,38 +407,62 @@ def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("a", "b")
 
 
+def _shared_ids(signed: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the sets of rows that share a doc_id; None if no rows of different sets do."""
+    several = stored(signed.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id", "low"), "several")
+    if several.isEmpty():
+        forget(several)
+        return None
+    rows = stored(met(signed.filter("digest is not null").select("doc_id", "digest"), several, "doc_id").filter("digest <> low").select("digest", "low").distinct(), "shared")
+    node = lambda digest, name: sets.select(F.col("digest").alias(digest), F.col("doc").alias(name))
+    links = stored(met(met(rows, node("digest", "a"), "digest"), node("low", "b"), "low").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "shared-links")
+    forget(several)
+    forget(rows)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    narrow = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
-    signed = stored(narrow.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, values binary"), "signed")
-    sets = stored(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("values").alias("values"), F.count("*").alias("copies")), "sets")
+    narrow = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = stored(narrow.mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, digest binary, values binary"), "signed")
+    # A set has a number of its own, doc, up to the end: rows of one doc_id may have several sets.
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    sets = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(least, F.first("values").alias("values"), F.count("*").alias("copies"))
+    sets = stored(sets.select("digest", "least.doc_id", "least.text_hash", "values", "copies").withColumn("doc", F.monotonically_increasing_id()), "sets")
     pairs, crowds = candidates(sets.select("doc", "values"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(crowds.select("doc")).distinct()
-    texts = _among(narrow.withColumnRenamed("doc_id", "doc"), wanted)
+    texts = _among(narrow, wanted.join(sets.select("doc", "doc_id", "text_hash", "digest"), "doc"), "doc_id", "text_hash")
     full = stored(texts.mapInArrow(_sets, "doc long, hashes binary").groupBy("doc").agg(F.min("hashes").alias("hashes")), "full")
     first = confirmed(_likeliest(pairs, 2), full, "links")
     roots = components(first)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    open_pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    open_pairs = met(met(pairs, root("a"), "a", how="left"), root("b"), "b", how="left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = confirmed(open_pairs, full, "links")
-    known = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    final = components(known.unionByName(more))
+    merged = lambda found: found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    links = merged(roots).unionByName(more)
+    if (shared := _shared_ids(signed, sets)) is not None:
+        links = links.unionByName(shared)
+    final = components(links)
     if (unseen := unseen_links(crowds, final, full)) is not None:
-        seen, final = final, components(final.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(unseen))
+        seen, final = final, components(merged(final).unionByName(unseen))
         for old in (seen, unseen):
             forget(old)
-    for old in (pairs, crowds, full, more, roots):
+    for old in (pairs, crowds, full, more, roots, *([] if shared is None else [shared])):
         forget(old)
-    classes = sets.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"), "doc", "copies")
-    classes = stored(classes.filter("copies > 1 or root <> doc").select("digest", "root", "copies"), "classes")
+    placed = stored(sets.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"), "doc_id", "copies"), "placed")
+    # A class is named by its smallest doc_id.
+    names = placed.groupBy("root").agg(F.min("doc_id").alias("name"))
+    classes = met(placed, names, "root").filter("copies > 1 or name <> doc_id").select("digest", "name", "copies")
+    classes = stored(classes, "classes")
+    forget(placed)
     # Digests of very many copies are told from a broadcast table, one in HOT rows at most; rows without a digest meet nothing, each under a key of its own.
-    many = classes.filter(F.col("copies") > HOT).select("digest", F.col("root").alias("many"))
+    many = classes.filter(F.col("copies") > HOT).select("digest", F.col("name").alias("many"))
     told = signed.select("doc_id", "n_shingles", "digest").join(F.broadcast(many), "digest", "left")
     alone = F.col("digest").isNull() | F.col("many").isNotNull()
     told = told.withColumn("key", F.when(alone, F.monotonically_increasing_id().cast("string").cast("binary")).otherwise(F.col("digest")))
-    few = classes.filter(F.col("copies") <= HOT).select(F.col("digest").alias("key"), "root")
-    joined = told.join(few, "key", "left").withColumn("root", F.coalesce("many", "root"))
-    component: Column = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))
+    few = classes.filter(F.col("copies") <= HOT).select(F.col("digest").alias("key"), "name")
+    joined = told.join(few, "key", "left").withColumn("name", F.coalesce("many", "name"))
+    component: Column = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("name", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

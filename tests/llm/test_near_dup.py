@@ -105,3 +105,45 @@ def test_links_within_a_family_that_is_alike(spark):
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(7)
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()}
     assert got == {d: d - 3000 if d >= 8000 else d for d, _ in rows}
+
+
+def brute_rows(rows):
+    """(doc_id, set size, class) of each row, where rows that share a doc_id are one document."""
+    sets = []
+    for doc, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(sets):
+        for j in range(k):
+            y = sets[j]
+            if x and y and (rows[k][0] == rows[j][0] or 100 * len(x & y) >= 85 * len(x | y)):
+                root[find(k)] = find(j)
+    name = {}
+    for k, (doc, _) in enumerate(rows):
+        name[find(k)] = min(doc, name.get(find(k), doc))
+    return sorted((doc, len(sets[k]), name[find(k)]) for k, (doc, _) in enumerate(rows))
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """A doc_id with two texts is linked with what is near either; its class goes on through both."""
+    rnd = random.Random(2)
+    text = lambda k, n=120: [f"{k}x{j}" for j in range(n)]
+    a, b = text("a"), text("b")
+    four = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b[:-1], "end"])), (3, " ".join([*a[:-1], "end"]))]
+    got = lambda rows: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got(four) == brute_rows(four) and {c for _, _, c in got(four)} == {1}
+    bases, rows = [text(k) for k in range(12)], []
+    for _ in range(150):
+        words = list(rnd.choice(bases))
+        for at in rnd.sample(range(len(words)), rnd.choice([0, 0, 1, 2, 6])):
+            words[at] = f"n{rnd.random()}"
+        rows.append((rnd.randint(-40, 40), " ".join(words)))
+    rows += [(-100, " ".join(text(f"own{k}"))) for k in range(40)] + [(90, ""), (90, " ".join(bases[3]))]
+    assert got(rows) == brute_rows(rows)
