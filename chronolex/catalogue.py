@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .operators import compare, corpus, documents, merge, profiles, relations, trim
+from .functions import requests
+from .operators import chains, compare, corpus, documents, merge, profiles, relations, trim
 from .sources import adapters
 
 Make = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +173,9 @@ def _build_queries() -> None:
     first = f"WITH {TOK_B}, xf AS (SELECT DISTINCT l, p FROM tok) SELECT l, p FROM xf WHERE starts_with(l, 'Brand#1') ORDER BY l, p LIMIT 40"
     _add("target_expansion_B", lambda s, d: corpus.targets(relations.unigrams(_b(s, d), ATTRS), P.all_of({"l": P.prefix("Brand#1")}), ATTRS, 40), first)
     _add("count_by_B", lambda s, d: corpus.counted_by(_b(s, d), {"colour": F.regexp_extract("w", r"^(\w+)", 1), "p": F.col("p")}, 1000), rf"WITH {TOK_B} SELECT regexp_extract(w, '^(\w+)', 1) AS colour, p, count(*) AS f FROM tok GROUP BY ALL HAVING count(*) >= 1000")
+    keys = "[$p, w ~ s/^(\\w+) .*/$1/, l ~ s/[0-9]+/*/g ~ s/rand//, date/3, @'all']"
+    _add("count_by_request_B", lambda s, d: corpus.counted_by(_b(s, d), requests.count_keys(keys), 50), rf"WITH {TOK_B} SELECT p, regexp_replace(w, '^(\w+) .*', '\1') AS w, regexp_replace(regexp_replace(l, '[0-9]+', '*', 'g'), 'rand', '') AS l, CAST(date // 3 * 3 AS INTEGER) AS date, 'all' AS all, count(*) AS f FROM tok GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 50")
+    _add("count_by_request_docs", lambda s, d: corpus.counted_by(adapters.basket_docs(s, d), requests.count_keys("#by[doc.priority ~ s/-.*//, doc.segment]")), rf"WITH {DOC_B} SELECT regexp_replace(priority, '-.*', '') AS priority, segment, count(*) AS f FROM docs GROUP BY ALL")
     _add("metadata_filter_B", lambda s, d: corpus.metadata(adapters.basket_docs(s, d), bad="^nat").groupBy("segment", "priority").agg(F.count("*").alias("n")), f"WITH {DOC_B} SELECT segment, priority, count(*) AS n FROM docs GROUP BY ALL")
     _add("sample_T", lambda s, d: corpus.sample(_t(s, d).select("doc_id", (F.col("pos") + 1).cast("long").alias("i"), "l"), 50, 7, "doc_id", "i"), f"WITH {TOK_T} SELECT doc_id, i, l FROM tok ORDER BY md5(concat_ws(':', '7', doc_id, i)), doc_id, i LIMIT 50")
 
@@ -361,6 +365,15 @@ def _document_queries() -> None:
     add("tdf_or", lambda m: t(m, x).or_(t(m, y)), f"{sx} OR {sy}", "true", "l")
     add("tdf_negated", lambda m: t(m, x).negated(), f"NOT {sx}", "true", "segment")
     add("tdf_meta_filter", lambda m: t(m, x).in_documents({"segment": "BUILDING", "priority": P.regex("^[12]")}), sx, "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING' AND regexp_matches(priority, '^[12]'))", "l")
+    text = documents.asked
+    brands = "l = 'Brand#11' OR l = 'Brand#7'"
+    seven, eleven = repr("Brand#7"), repr("Brand#11")
+    add("request_bool_and", lambda m: text(m, r"Brand\#11 && Brand\#7"), brands, f"{holds('l = ' + eleven)} AND {holds('l = ' + seven)}", "l")
+    add("request_bool_without", lambda m: text(m, r"$l=Brand\#1* WITHOUT (p=PROMO || p=SMALL)"), "starts_with(l, 'Brand#1') AND NOT p IN ('PROMO', 'SMALL')", "true", "l", size=2)
+    add("request_bool_or_with", lambda m: text(m, r"(Brand\#11 || Brand\#7), $p=PROMO"), f"({brands}) AND p = 'PROMO'", "true", "l segment")
+    add("request_bool_negated", lambda m: text(m, r"!{Brand\#11,Brand\#7}"), f"NOT ({brands})", "true", "segment")
+    add("request_bool_has", lambda m: text(m, r"Brand\#11 #has[segment,BUILDING] !#has[priority,/^[12]/]"), "l = 'Brand#11'", "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING' AND NOT regexp_matches(priority, '^[12]'))", "l")
+    add("request_bool_documents", lambda m: text(m, r"* #has[nation,{FRANCE,GERMANY}]"), "true", "doc_id IN (SELECT doc_id FROM docs WHERE nation IN ('FRANCE', 'GERMANY'))", "p")
     add("tdf_doc_only", lambda m: documents.Query(m).in_documents({"nation": P.infix("A")}), "true", "doc_id IN (SELECT doc_id FROM docs WHERE contains(nation, 'A'))", "l")
 
 
@@ -385,6 +398,7 @@ def _database_queries() -> None:
     ask("request_set", r"l=Brand\#11|Brand\#7", "l", "l1 IN ('Brand#11', 'Brand#7')", "l", size=2)
     ask("request_regex_groupby", r"l=/^brand#1/i, p=SMALL", "l,p=PROMO|SMALL", "regexp_matches(l1, '(?i)^brand#1') AND p1 = 'SMALL'", "l p", sql_having="p2 IN ('PROMO', 'SMALL')")
     ask("request_prefix_with", r"$l=Brand\#1* WITH $p=PROMO", "$l", "starts_with(l1, 'Brand#1') AND p1 = 'PROMO'", "l")
+    ask("request_bool_cof", r"(Brand\#11 || Brand\#7) WITHOUT $p=PROMO", "l", "l1 IN ('Brand#11', 'Brand#7') AND p1 <> 'PROMO'", "l", size=2)
     xf = f"""WITH {TOK_B}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL), nt AS (SELECT 0 AS slice, sum(f) AS N FROM xf), f1t AS (SELECT 0 AS slice, sum(f) AS f1 FROM xf WHERE p = 'PROMO'),
 f12t AS (SELECT 0 AS slice, l, sum(f) AS f12, sum(f) AS f2 FROM xf WHERE p = 'PROMO' GROUP BY l), {_assembled_sql('l', 'fm', 0.0, f2=False)} {_final('l')}"""
     _add("stored_unigrams", lambda s, d: _stored(s, d).profile("xf", "p=PROMO", "l", size=0, name="fm"), xf)
@@ -449,6 +463,27 @@ nt AS (SELECT {_slice(3)} AS slice, {high - low + 1} * count(*) AS N FROM tok GR
 
         _add(name, make, sql)
 
+    def chain(name: str, request: str, items: str, joins: str, told: str, ways: int, f1: str, *, where: str = "true", least: int = 1, distance: int = 5, tokens: str = "tok", **how) -> None:
+        """joins: tokens a, b and so on with the conditions between them; told: the one that is grouped by; f1: the target's hits times what is left of ways, by slice."""
+        sql = f"""WITH {TOK_B}, {DOC_B}, f12t AS (SELECT {_slice(3).replace('date', told + '.date')} AS slice, {', '.join(f'{told}.{c} AS {c}' for c in items.split())}, count(*) AS f12 FROM {joins} WHERE {where} GROUP BY ALL HAVING count(*) >= {least}),
+f2t AS (SELECT {_slice(3)} AS slice, {', '.join(items.split())}, {ways} * count(*) AS f2 FROM {tokens} GROUP BY ALL), f1t AS ({f1}),
+nt AS (SELECT {_slice(3)} AS slice, {ways} * count(*) AS N FROM tok GROUP BY 1), {_assembled_sql(items, 'ld', 0.0)} {_final(items)}"""
+        _add(name, lambda s, d: chains.chain_profile(_b(s, d), request, items.split(), ATTRS, size=3, name="ld", distance=distance, docs=adapters.basket_docs(s, d), **how), sql)
+
+    then = lambda x, y, low, high: f"JOIN tok {y} ON {y}.doc_id = {x}.doc_id AND {y}.i - {x}.i BETWEEN {low} AND {high}"
+    one_f1 = lambda ways, cond, tokens="tok": f"SELECT {_slice(3)} AS slice, {ways} * count(*) AS f1 FROM {tokens} WHERE {cond} GROUP BY 1"
+    date_of = lambda x: _slice(3).replace("date", f"{x}.date")
+    three = f"tok a {then('a', 'b', 1, 2)} {then('b', 'c', 1, 3)}"
+    chain("sequence_three_middle", r'"$p=PROMO #1 *=2 #2 $p=SMALL"', "l", three, "b", 6, f"SELECT {date_of('a')} AS slice, count(*) AS f1 FROM {three} WHERE a.p = 'PROMO' AND c.p = 'SMALL' GROUP BY 1", where="a.p = 'PROMO' AND c.p = 'SMALL'")
+    chain("sequence_three_last", r'"$p=PROMO=1 #1 $l=Brand\#1* #2 $p=SMALL=2"', "l", three, "c", 6, f"SELECT {date_of('a')} AS slice, count(*) AS f1 FROM {three} WHERE a.p = 'PROMO' AND starts_with(b.l, 'Brand#1') GROUP BY 1", where="a.p = 'PROMO' AND starts_with(b.l, 'Brand#1') AND c.p = 'SMALL'")
+    far = f"tok a {then('a', 'b', 3, 32)} {then('b', 'c', 2, 2)}"
+    chain("sequence_three_first", r'"(*=2 WITHOUT $p=PROMO) #>1 $l=Brand\#11 #=1 *" #fmin 2', "l p", far, "a", 30, f"SELECT {date_of('b')} AS slice, count(*) AS f1 FROM {far} WHERE b.l = 'Brand#11' GROUP BY 1", where="a.p <> 'PROMO' AND b.l = 'Brand#11'", least=2)
+    around = "tok a JOIN tok b ON b.doc_id = a.doc_id AND b.i <> a.i AND abs(b.i - a.i) <= "
+    chain("match_near_first", r"near($p=PROMO=2,Brand\#11,1)", "l", around + "2", "b", 4, one_f1(4, "l = 'Brand#11'"), where="a.l = 'Brand#11' AND b.p = 'PROMO'")
+    chain("match_near_second", r"near(Brand\#11=1,{SMALL,PROMO}=2,2)".replace("{", "$p={"), "l", around + "3", "b", 6, one_f1(6, "l = 'Brand#11'"), where="a.l = 'Brand#11' AND b.p IN ('SMALL', 'PROMO')")
+    chain("match_implicit_near", r"Brand\#11 || Brand\#7 #dmax 2 #fmin 3", "p", around + "2", "b", 4, one_f1(4, "l IN ('Brand#11', 'Brand#7')"), where="a.l IN ('Brand#11', 'Brand#7')", least=3)
+    built = "(SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING'))"
+    chain("match_phrase_has", r'"$p=PROMO=2 Brand\#11" #has[segment,BUILDING] #coef 3', "l", f"{built} a JOIN {built} b ON b.doc_id = a.doc_id AND b.i = a.i + 1", "a", 3, one_f1(3, "l = 'Brand#11'", built), where="a.p = 'PROMO' AND b.l = 'Brand#11'", tokens=built)
     sequence("sequence_within", "<", 1, 2)
     sequence("sequence_beyond", ">", 1, 2)
     sequence("sequence_first_item", "<", 2, 1)

@@ -76,7 +76,9 @@ def as_predicate(value: str | Iterable[str] | Predicate) -> Predicate:
 
 
 def all_of(where: dict[str, str | Iterable[str] | Predicate] | None, name: Callable[[str], str] = str) -> Column:
-    """The conjunction of predicates by attribute; name gives an attribute's column."""
+    """The conjunction of predicates by attribute, or the condition that where makes of the attributes' columns; name gives an attribute's column."""
+    if callable(where):
+        return where(lambda attribute: F.col(name(attribute)))
     out = F.lit(True)
     for attribute, value in (where or {}).items():
         out = out & as_predicate(value)(F.col(name(attribute)))

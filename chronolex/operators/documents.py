@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import querytree as Q
 from ..functions.predicates import all_of, dates
 from ..functions.text import sliced
 from .profiles import Where, every_slice, scored, told
@@ -67,6 +68,25 @@ def terms(matrix: Matrix, where: Where) -> Query:
     return Query(matrix, all_of(where))
 
 
+def asked(matrix: Matrix, request: str | Q.Request, default: str | None = None) -> Query:
+    """A boolean request over terms and documents: WITH and WITHOUT tell of one term, && of one document, #has of its metadata. default is the attribute of bare words."""
+    found = Q.parse(request) if isinstance(request, str) else request
+    default = default or matrix.attributes[0]
+
+    def made(tree: Q.Tree) -> Query:
+        if isinstance(tree, Q.Pair):
+            a, b = made(tree.a), made(tree.b)
+            return {"WITH": a.with_, "WITHOUT": a.without, "&&": a.and_, "||": a.or_}[tree.op](b)
+        if isinstance(tree, Q.Not):
+            return made(tree.a).negated()
+        return Query(matrix, tree.condition(F.col, default))
+
+    out = Query(matrix) if found.tree is None else made(found.tree)
+    for f in found.filters:
+        out = out.in_documents({f.field: f.predicate()})
+    return out
+
+
 def _both(a: Column | None, b: Column | None) -> Column | None:
     return b if a is None else a if b is None else a & b
 

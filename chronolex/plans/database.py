@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import requests
+from ..functions import querytree, requests
 from ..functions.predicates import date_bounds
 from ..operators import compare, corpus, documents, merge, profiles, relations, trim
 
@@ -68,8 +68,17 @@ class Database:
         return documents.Matrix(self.tdf, self.docs, self.attributes)
 
     def profile(self, relation: str, where, group_by: Sequence[str], *, k: int = -1, least: float | None = None, overall: bool = False, fill: bool = False, date: str | int | None = None, size: int = 1, name: str = "f", eps: float = 0.0, **how) -> DataFrame:
-        """relation: xf, cof or tdf (where is then a documents.Query, or a condition on terms). where and group_by may be requests as users type them; metadata
-        conditions of a request, ``doc.NAME=VALUE``, restrict a tdf profile's documents."""
+        """relation: xf, cof or tdf (where is then a documents.Query, or a condition on terms). where and group_by may be requests as users type them, also boolean ones; metadata
+        conditions of a request, ``doc.NAME=VALUE`` or ``#has[NAME,VALUE]``, restrict a tdf profile's documents."""
+        boolean = isinstance(where, str) and querytree.is_boolean(where)
+        if boolean:
+            tree = querytree.parse(where)
+            if relation == "tdf":
+                where = documents.asked(self.matrix(), tree, self.attributes[0])
+            else:
+                if tree.filters:
+                    warnings.warn(f"a {relation} profile has no documents: conditions on them are ignored", stacklevel=2)
+                where = tree.where(self.attributes[0])
         where, group_by, how["having"] = self.request(where, group_by, how.get("having"))
         if relation != "tdf" and any(a.startswith("doc.") for a in (where if isinstance(where, Mapping) else ())):
             warnings.warn(f"a {relation} profile has no documents: conditions on them are ignored", stacklevel=2)
