@@ -127,9 +127,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, s
 
 
 def write_ids(docs: DataFrame, to: str, path: str, ranks: str | None, segment_ids: int = SEGMENT_IDS) -> None:
-    """Writes the files: documents are dealt by ranges of doc_id, so part files and the segments in them ascend."""
+    """Writes the files: documents are dealt by ranges of doc_id and the start of the text, so part files and the segments in them ascend, and rows that share a doc_id spread over tasks."""
     text = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), null_as_empty(F.col("text")).alias("text"))
-    ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = text.repartitionByRange("doc_id", F.left("text", F.lit(128))).sortWithinPartitions("doc_id", "text")
     segments = ordered.mapInArrow(lambda batches: _segments(batches, path, ranks, segment_ids), _SEGMENTS)
     segments.write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(to)
 

@@ -253,3 +253,19 @@ def test_columns_whose_names_differ_in_case(spark):
     assert html_text.main_text(pages).first()["text"] == "x"
     chats = spark.createDataFrame([(1, 0, "assistant", "ok", "no")], "conv_id long, turn long, role string, text string, TEXT string")
     assert chat_format.format_chats(chats).first()["conv_id"] == 1
+
+
+def test_rows_that_share_a_doc_id_spread_over_files(spark, tmp_path):
+    """Range by doc_id alone would put them into one task; the order of ids stays that of doc_id, then text."""
+    rows = [(7 if k % 3 else None, f"text {k:04d} of some words") for k in range(900)] + [(3, "first"), (9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dac.write_ids(docs, str(tmp_path / "ids"), *byte_bpe.default_files(), segment_ids=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = spark.read.parquet(str(tmp_path / "ids")).groupBy("shard").sum("n_ids").collect()
+    assert len(shards) == 4 and max(r["sum(n_ids)"] for r in shards) < 0.6 * sum(r["sum(n_ids)"] for r in shards)
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in sorted(dac.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r["start"])]
+    assert [d for d, _, _ in got] == [None] * 300 + [3] + [7] * 600 + [9]
+    assert all(a + n == b for (_, a, n), (_, b, _) in zip(got, got[1:]))
