@@ -32,8 +32,8 @@ MAX_WORDS, LEAST, LONGER_SHARE, BEST, NO_LANGUAGE = 4, 30, 80, 2000, "und"
 END = b"\xff"
 #: Words that are summed together where they are read, and bytes of a text that are looked at together.
 WORDS_AT_ONCE, SPAN = 1 << 19, 1 << 22
-#: Documents, about, whose suffixes tell the bounds of ranges; bytes of a bound; suffixes of a range, about; bounds are the quantiles of so many suffixes for each range.
-SAMPLE, BOUND_BYTES, RANGE_ROWS, PER_RANGE = 1024, 48, 1 << 20, 64
+#: Documents, about, whose suffixes tell the bounds of ranges; bytes of a bound; suffixes of a range, about; bounds are the quantiles of so many suffixes for each range, and of DRAWN at most.
+SAMPLE, BOUND_BYTES, RANGE_ROWS, PER_RANGE, DRAWN = 1024, 48, 1 << 20, 64, 1 << 19
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 
 
@@ -208,7 +208,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     share = min(1.0, SAMPLE / max(rows, 1))
     some = stored(suffixes(narrow.sample(share, 20240607) if share < 1 else narrow, []).select(F.substring("key", 1, BOUND_BYTES).alias("key")), "sample")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(some.count() / share / RANGE_ROWS) + 1)
-    drawn = sorted(bytes(r["key"]) for r in some.orderBy(F.xxhash64("key", F.monotonically_increasing_id())).limit(PER_RANGE * n).collect())
+    drawn = sorted(bytes(r["key"]) for r in some.orderBy(F.xxhash64("key", F.monotonically_increasing_id())).limit(min(PER_RANGE * n, DRAWN)).collect())
     bounds = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
     forget(some)
     ordered = suffixes(narrow, bounds).repartitionById(n, "part").sortWithinPartitions(F.desc("key")).select("key", "n")
