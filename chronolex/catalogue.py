@@ -226,6 +226,15 @@ f12t AS (SELECT {_slice(size)} AS slice, {', '.join(items.split())}, sum(f) AS f
     cof("target_infix", {"l": P.infix("#2")}, "l", "contains(l1, '#2')", size=0)
     cof("target_negated", {"l": P.negated(P.prefix("Brand#1")), "p": "SMALL"}, "l", "NOT starts_with(l1, 'Brand#1') AND p1 = 'SMALL'", size=0)
     cof("target_with_pos", {"l": "Brand#11", "p": "SMALL"}, "l", "l1 = 'Brand#11' AND p1 = 'SMALL'", size=0)
+    def rollup(name: str, base: str, tokens: Make, where, sql_where: str, items: str, sizes: tuple[int, ...], **how) -> None:
+        sql_how = {k[4:]: how.pop(k) for k in list(how) if k.startswith("sql_")}
+        attributes = ATTRS if base == BASE_B else ("l",)
+        level = lambda k: f"SELECT {k} AS size, * FROM ({base},\n{_cof_profile_sql(sql_where, items, size=k, name='ld', attributes=' '.join(attributes), **sql_how)} {_final(items)})"
+        _add(name, lambda s, d: profiles.rollup_profile(*_cof(tokens(s, d), attributes), where, items.split(), sizes, name="ld", **how), " UNION ALL ".join(map(level, sizes)))
+
+    rollup("rollup_slices_B", BASE_B, _b, {"l": "Brand#11"}, "l1 = 'Brand#11'", "l p", (0, 3, 1))
+    rollup("rollup_slices_having_B", BASE_B, _b, {"l": P.prefix("Brand#1")}, "starts_with(l1, 'Brand#1')", "l", (0, 2), date="1996:1999", having={"p": "PROMO"}, sql_date="date BETWEEN 1996 AND 1999", sql_having="p2 = 'PROMO'")
+    rollup("rollup_slices_T", BASE_T, _t, {"l": "the"}, "l1 = 'the'", "l", (0, 50, 10))
     for score in ("f", "fm", "lf", "lfm", "milf", "mi1", "mi3", "ld", "ll"):
         cof(f"score_{score}", one, "l", sql_one, size=2, score=score)
         cof(f"score_{score}_eps", one, "l", sql_one, size=2, score=score, eps=0.5)
@@ -386,6 +395,21 @@ def _stored(s: SparkSession, d: str):
     return open_database(s, path)
 
 
+def _grown(s: SparkSession, d: str, *, compact: bool = False, remove: str | None = None):
+    """A store of the baskets, added in three batches, maybe with a fourth that takes some away."""
+    from .plans.store import Settings, Store
+
+    store = Store(s, relations.scratch_path(s, "store"), Settings(ATTRS, segment_least=1))
+    tokens, docs = relations.written(_b(s, d)), adapters.basket_docs(s, d)
+    for k in range(3):
+        store.append(f"third {k}", *(t.filter(F.col("doc_id") % 3 == k) for t in (tokens, docs)))
+    if compact:
+        store.compact()
+    if remove:
+        store.remove("some", *(t.filter(remove) for t in (tokens, docs)))
+    return store.open()
+
+
 def _database_queries() -> None:
     """Databases that are written and opened, asked by requests as users type them."""
     one, base = "l1 = 'Brand#11'", BASE_B
@@ -409,6 +433,11 @@ f2t AS (SELECT 0 AS slice, l, sum(f) AS f2 FROM tdf GROUP BY l), {_assembled_sql
     two = _two_profiles_sql("l1 = 'Brand#11'", "l1 = 'Brand#7'", 2)
     _add("stored_compare", lambda s, d: _stored(s, d).compare("cof", {"where": r"Brand\#11"}, {"where": r"Brand\#7"}, "l", "adiff", 8, size=2, name="ld"), f"{BASE_B},\n{two},\n{_diff_sql('adiff', 8)}")
 
+    _add("append_pairs_B", lambda s, d: _grown(s, d).cof, _SQL["cof_pairs_B"])
+    _add("append_segments_B", lambda s, d: _grown(s, d, compact=True).tdf.drop("sent_id"), _SQL["tdf_matrix_B"])
+    left = f"{base.replace('tok AS (', 'tok AS (SELECT * FROM (', 1).replace('ON l_partkey = p_partkey)', 'ON l_partkey = p_partkey) WHERE doc_id % 5 <> 2)', 1)}"
+    _add("append_removed_profile_B", lambda s, d: _grown(s, d, compact=True, remove="doc_id % 5 = 2").profile("cof", r"Brand\#11", "l", size=2, name="ld"), f"{left},\n{_cof_profile_sql(one, 'l', size=2, name='ld')} {_final('l')}")
+
     def keys(s: SparkSession) -> DataFrame:
         return s.createDataFrame([(y, f"Brand#{n}") for y in (1996, 1998) for n in (1, 11, 19)], "slice int, l string")
 

@@ -41,10 +41,12 @@ def compared(a: DataFrame, b: DataFrame, items: Sequence[str], op: str | Callabl
     if align:
         a, b = aligned(a, b)
     left, right = ([key, *items, *(F.col(c).alias(f"{s}_{c}") for c in _SIDE)] for s in "ab")
-    both = a.select(*left, *([F.col("slice").alias("a_slice")] if align else [])).join(b.select(*right, *([F.col("slice").alias("b_slice")] if align else [])), [key, *items], "inner" if wanted.trim == "inner" else "full_outer")
     if wanted.trim == "union" and k >= 0:
-        rank = lambda s: F.row_number().over(Window.partitionBy(key).orderBy(F.col(f"{s}_score").isNull() & F.col(f"{s}_f12").isNull(), rank_value(f"{s}_score").desc(), *items))
-        both = both.withColumns({"ra": rank("a"), "rb": rank("b")}).filter(((F.col("ra") <= k) & F.col("a_f12").isNotNull()) | ((F.col("rb") <= k) & F.col("b_f12").isNotNull())).drop("ra", "rb")
+        # The best of each side first, by ranks that stop at k; then what both sides have of their union.
+        tops = [_best_keys(side, key, items, k) for side in (a, b)]
+        keys = tops[0].unionByName(tops[1]).distinct()
+        a, b = (side.join(keys, [key, *items], "left_semi") for side in (a, b))
+    both = a.select(*left, *([F.col("slice").alias("a_slice")] if align else [])).join(b.select(*right, *([F.col("slice").alias("b_slice")] if align else [])), [key, *items], "inner" if wanted.trim == "inner" else "full_outer")
     both = both.fillna(0, [f"{s}_{c}" for s in "ab" for c in _SIDE[:-1]])
     value = wanted.value(rank_value("a_score"), rank_value("b_score"))
     out = both.withColumns({"a_score": rank_value("a_score"), "b_score": rank_value("b_score"), "diff": value})
@@ -54,6 +56,11 @@ def compared(a: DataFrame, b: DataFrame, items: Sequence[str], op: str | Callabl
     return best(out.select(*columns), items, k, score="diff", absolute=wanted.absolute)
 
 
+def _best_keys(side: DataFrame, key: str, items: Sequence[str], k: int) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(rank_value("score").desc(), *items)
+    return side.select(key, *items, "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, *items)
+
+
 def compared_overall(a: DataFrame, b: DataFrame, items: Sequence[str], op: str = "adiff", k: int = 10, name: str = "f", eps: float = 0.0) -> DataFrame:
     """Comparison slice by slice of the items that are best with all slices as one."""
     a, b = written(a), written(b)  # each is read three times

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Predicate, all_of, dates
 from ..functions.scores import score
 from ..functions.text import sliced
+from .relations import written
 
 Where = Mapping[str, "str | Sequence[str] | Predicate"]
 
@@ -102,6 +103,36 @@ def cof_profile(
     return _assembled(f12, f2, f1, n, items, name, eps)
 
 
+def rollup_profile(
+    cof: DataFrame, marginal: DataFrame, where: Where, group_by: Sequence[str], sizes: Sequence[int], *, date: str | int | None = None, having: Where | None = None, name: str = "f", eps: float = 0.0,
+) -> DataFrame:
+    """cof_profile for several sizes of slices at once, told apart by the column size: each table is read once, and all levels are grouping sets of the same rows. The marginals of all
+    levels are written once, as N, f1 and f2 are all read from them."""
+    items, sizes, in_time = list(group_by), list(dict.fromkeys(sizes)), dates(date)(F.col("date"))
+    levels = [f"__slice{k}" for k in sizes]
+
+    def leveled(rows: DataFrame, *sets: Sequence[str], **sums: Column) -> DataFrame:
+        """Sums by level and each of sets, with size, slice and by, which tells the set (0 for the first)."""
+        cut = rows.withColumns({x: sliced(F.col("date"), k) for x, k in zip(levels, sizes, strict=True)})
+        keys = list(dict.fromkeys(i for s in sets for i in s))
+        is_in = lambda c: F.grouping(c) == 0
+        size = F.coalesce(*(F.when(is_in(x), F.lit(k)) for x, k in zip(levels, sizes, strict=True)))
+        slice_ = F.coalesce(*(F.when(is_in(x), F.col(x)) for x in levels))
+        by = F.when(is_in(keys[0]), F.lit(0)).otherwise(F.lit(1)) if len(sets) > 1 else F.lit(0)
+        groups = [[x, *s] for x in levels for s in sets]
+        found = cut.groupingSets([[F.col(c) for c in g] for g in groups], *(F.col(c) for c in [*levels, *keys])).agg(*(c.alias(n) for n, c in sums.items()), size.alias("size"), slice_.alias("slice"), by.alias("by"))
+        return found.select("size", "slice", "by", *keys, *sums)
+
+    hits = cof.filter(all_of(where, lambda a: f"{a}1") & all_of(having, lambda a: f"{a}2") & in_time).select("date", "f12", *(F.col(f"{a}2").alias(a) for a in items))
+    f12 = leveled(hits, items, f12=F.sum("f12")).drop("by")
+    part = lambda cond: F.coalesce(F.sum(F.when(cond & in_time, F.col("f1"))), F.lit(0).cast("long"))
+    sums = written(leveled(marginal, items, [], N=F.sum("f1"), f1=part(all_of(where)), f2=part(all_of(having))))
+    f2 = sums.filter("by = 0").select("size", "slice", *items, "f2")
+    n = sums.filter("by = 1 and f1 > 0").select("size", "slice", "N", "f1")
+    counts = f12.join(f2, ["size", "slice", *items]).join(n, ["size", "slice"])
+    return scored(counts, name, eps).select("size", "slice", *items, "N", "f1", "f2", "f12", "score")
+
+
 def near_profile(
     found: DataFrame, tokens: DataFrame, where: Where, group_by: Sequence[str], *, size: int = 0, distance: int = 5, adjacent: bool = False, minimum: int = 1,
     name: str = "f", eps: float = 0.0, having: Where | None = None,
