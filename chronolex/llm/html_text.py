@@ -9,8 +9,8 @@ how many words, links apart, all pages of the host have in it.
 The main slot is the deepest element of the template, once on a page, that holds nearly all of the host's words, or most of them if it is an
 ``article`` or ``main``: names of elements and classes are evidence beside the words. On each page that has the template's tokens in their order, the text of
 the main slot is extracted, without slots under elements that bear menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and without
-the template's own texts. In an ``article`` or ``main`` element no text counts as the template's, and elsewhere none if half of the slot would go,
-as pages of a host may be copies of each other. Pages of hosts with fewer than LEAST_PAGES pages, and pages of another form than their
+the template's own texts. A text is the template's if it stands beside LEAST_BODIES different rests of pages or more, on half of the host's pages, or, in an ``article`` or ``main`` element, on
+NAMED_PAGES of them; so pages that are copies of each other have no such texts, and none goes if half of the slot would. Where no name tells the main slot, it is narrowed on each page to the elements inside that hold MOST of its words. Pages of hosts with fewer than LEAST_PAGES pages, and pages of another form than their
 host's, are read by the evidence of element names alone.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined in page order by two line feeds. Nothing depends on how
@@ -39,8 +39,10 @@ from .common import forget, null_as_empty, picked, stored, table
 
 #: Pages that a host needs for a template, and a token to be in it; tokens that a class needs.
 LEAST_PAGES, LEAST_TOKENS = 3, 3
-#: Shares of the host's words that the main slot has: any element, and one that is named as such. Pages that a host needs for texts to be told as the template's.
-MOST, NAMED_MOST, LEAST_COPIES = 0.8, 0.5, 8
+#: Shares of the host's words that the main slot has: any element, and one that is named as such.
+MOST, NAMED_MOST = 0.8, 0.5
+#: Different pages, by all texts that are not under elements outside the article, that a text of the template stands on; the share of a host's pages with a text of the template inside an element named as the article; bits that different pages are told by.
+LEAST_BODIES, NAMED_PAGES, BODIES = 5, 0.8, 62
 #: Bytes of templates that are broadcast; beyond, pages and templates meet in a join over so many salts.
 BROADCAST, SALTS = 32 << 20, 16
 #: Tokens after which a task hands its sums on.
@@ -84,6 +86,7 @@ class Block:
     under: tuple[int, ...]
     outside: bool
     inside: bool
+    within: tuple[int, ...] = ()  # the numbers, on the page, of the containers around it
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -111,7 +114,7 @@ def _is_outside(name: str, attributes: str, in_main: bool) -> bool:
 
 def read(page: str) -> Page:
     """The page's tags and blocks of text. Tags are (path, tag, depth of a container or 0, whether it is named as the article)."""
-    stack: list[tuple] = [("", False, False, "", ())]  # name, outside, inside, path, tokens of the elements around
+    stack: list[tuple] = [("", False, False, "", (), ())]  # name, outside, inside, path, tokens and numbers of the containers around
     tokens: list = []
     blocks: list[Block] = []
     block: Block | None = None
@@ -122,7 +125,7 @@ def read(page: str) -> Page:
         if block is None:
             if not text.strip():
                 return
-            block = Block(stack[-1][4], stack[-1][1], stack[-1][2])
+            block = Block(stack[-1][4], stack[-1][1], stack[-1][2], stack[-1][5])
             blocks.append(block)
             tokens.append((stack[-1][3], block))
         block.parts.append(text)
@@ -140,7 +143,7 @@ def read(page: str) -> Page:
             add(" ")
         if name in _BLOCKS:
             block, links = None, 0
-        _, outside, inside, path, under = stack[-1]
+        _, outside, inside, path, under, within = stack[-1]
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -154,7 +157,7 @@ def read(page: str) -> Page:
         else:
             if name in _CLOSES_ITSELF and stack[-1][0] == name:
                 stack.pop()
-                _, outside, inside, path, under = stack[-1]
+                _, outside, inside, path, under, within = stack[-1]
             if name in _MAIN and not inside and outside and not any(s[0] not in ("nav", "header", "div", "ul", "li") and s[1] for s in stack[1:]):
                 outside = False  # an article ends a menu that was never closed
             attributes = m[4]
@@ -165,7 +168,7 @@ def read(page: str) -> Page:
             container = name in _CONTAINERS and len(stack) < 40
             tokens.append((path, tag, len(stack) if container and not outside_too else 0, name in _MAIN))
             # Inline elements share their parent's path: words keep one place whatever is set in bold.
-            stack.append((name, outside_too, inside, f"{path}/{name}" if name in _BLOCKS and len(stack) < 40 else path, (*under, key(path, tag)) if container else under))
+            stack.append((name, outside_too, inside, f"{path}/{name}" if name in _BLOCKS and len(stack) < 40 else path, *(((*under, key(path, tag)), (*within, m.start())) if container else (under, within))))
     if at < len(page):
         add(page[at:])
     return Page(tokens, blocks)
@@ -185,22 +188,24 @@ def key(path: str, token: str) -> int:
 
 
 #: What a token's row holds: pages with it, how often in all, the sum of its vector, of its first places, and of words in it; its depth as a container, whether it
-#: is named as the article, and how many words it has as a text.
-_SUMS = "host long, token long, pages long, n long, vector long, place double, mass long, depth int, named int, words int"
-_SUMS_ARROW = pa.schema([("host", pa.int64()), ("token", pa.int64()), ("pages", pa.int64()), ("n", pa.int64()), ("vector", pa.int64()), ("place", pa.float64()), ("mass", pa.int64()), ("depth", pa.int32()), ("named", pa.int32()), ("words", pa.int32())])
-_HOW = {"pages": np.add, "n": np.add, "vector": np.bitwise_xor, "place": np.add, "mass": np.add, "depth": np.maximum, "named": np.maximum, "words": np.maximum}
+#: is named as the article, how many words it has as a text, and bits for the different pages that have it as a text.
+_SUMS = "host long, token long, pages long, n long, vector long, place double, mass long, depth int, named int, words int, bodies long"
+_SUMS_ARROW = pa.schema([("host", pa.int64()), ("token", pa.int64()), ("pages", pa.int64()), ("n", pa.int64()), ("vector", pa.int64()), ("place", pa.float64()), ("mass", pa.int64()), ("depth", pa.int32()), ("named", pa.int32()), ("words", pa.int32()), ("bodies", pa.int64())])
+_HOW = {"pages": np.add, "n": np.add, "vector": np.bitwise_xor, "place": np.add, "mass": np.add, "depth": np.maximum, "named": np.maximum, "words": np.maximum, "bodies": np.bitwise_or}
 
 
 def seen(host: int, source: str, number: int) -> list[tuple]:
     """The rows of one page: of each token, and of the page as token 0. number stands for the page in vectors."""
     page = read(source)
-    count, first, shape, mass = Counter(), {}, {}, Counter()
+    count, first, shape, mass, body = Counter(), {}, {}, Counter(), xxhash.xxh64()
     for k, (path, token, *rest) in enumerate(page.tokens):
         if isinstance(token, Block):
             words = token.words()
             if not words:
                 continue
             t, kind = key(path, " ".join(words)) if len(words) < 64 else (xxhash.xxh64_intdigest(f"{path}\0{' '.join(words)}") >> 1) | 1, (0, 0, len(words))
+            if not token.outside:
+                body.update(" ".join(words) + "\0")
             if not token.outside and (own := len(words) - token.linked) > 0:
                 mass[0] += own
                 for u in dict.fromkeys(token.under):
@@ -214,7 +219,8 @@ def seen(host: int, source: str, number: int) -> list[tuple]:
         return []
     total = len(page.tokens)
     vector = {n: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed=number) - (1 << 63) for n in set(count.values())}
-    return [(host, 0, 1, 1, 0, 0.0, mass[0], 0, 0, 0)] + [(host, t, 1, n, vector[n], first[t] / total, mass[t], *shape[t]) for t, n in count.items()]
+    bit = 1 << body.intdigest() % BODIES
+    return [(host, 0, 1, 1, 0, 0.0, mass[0], 0, 0, 0, 0)] + [(host, t, 1, n, vector[n], first[t] / total, mass[t], *shape[t], bit if shape[t][2] else 0) for t, n in count.items()]
 
 
 def summed(rows: list[tuple]) -> pa.RecordBatch:
@@ -277,8 +283,8 @@ def deduced(rows: list[dict]) -> Template:
         _, _, main, members = max(slots, key=lambda x: (x[2]["named"], x[0], x[1], x[2]["token"]))
         out.main, out.named = main["token"], bool(main["named"])
         out.frame = [r["token"] for r in members if not r["words"] and r["n"] == r["pages"]]
-        if pages >= LEAST_COPIES and not out.named:
-            out.texts = [r["token"] for c in valid for r in c if r["words"]]
+        often = pages * (NAMED_PAGES if out.named else 0.5)
+        out.texts = [r["token"] for c in valid for r in c if r["words"] and r["pages"] >= often and r["bodies"].bit_count() >= LEAST_BODIES]
     return out
 
 
@@ -292,8 +298,9 @@ def by_template(page: Page, template: Template) -> list[str] | None:
     if template.main not in first or any(a > b for a, b in zip(places, places[1:], strict=False)):
         return None
     own, kept, left_out = set(template.texts), [], 0
+    inner = None if template.named else narrowed([b for b in page.blocks if not b.outside and template.main in b.under])
     for path, block in ((p, t) for p, t, *_ in page.tokens if isinstance(t, Block)):
-        if block.outside or template.main not in block.under and not path.endswith("/h1"):
+        if block.outside or not path.endswith("/h1") and (template.main not in block.under or inner is not None and inner not in block.within):
             continue
         words = block.words()
         if words:
@@ -305,6 +312,24 @@ def by_template(page: Page, template: Template) -> list[str] | None:
     return [text for text, shared, _ in kept if copies or not shared]
 
 
+def narrowed(blocks: list[Block]) -> int | None:
+    """The number of the innermost element that holds MOST of the words of these blocks, links apart, level by level; None if there is none inside theirs."""
+    found, mass = None, {id(b): max(len(b.words()) - b.linked, 0) for b in blocks}
+    level = min((len(b.within) for b in blocks), default=0)
+    while level and len({b.within[:level] for b in blocks}) > 1:  # up to the element that is around all of them
+        level -= 1
+    while blocks:
+        inside: dict[int, int] = defaultdict(int)
+        for b in blocks:
+            if len(b.within) > level:
+                inside[b.within[level]] += mass[id(b)]
+        best = max(inside, key=inside.get, default=None)
+        if best is None or not inside[best] or inside[best] < MOST * sum(mass[id(b)] for b in blocks):
+            return found
+        found, level, blocks = best, level + 1, [b for b in blocks if len(b.within) > level and b.within[level] == best]
+    return found
+
+
 def by_names(page: Page) -> list[str]:
     """The blocks that elements' names and classes leave: those of an article or main element if there is one."""
     main = any(b.inside and not b.outside for b in page.blocks)
@@ -341,7 +366,7 @@ def _deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(rows: DataFrame) -> DataFrame:
     """The template of each host that has one, from rows (host, html, number)."""
     found = rows.select("host", "html", "number").mapInArrow(_observed, _SUMS)
-    how = {"pages": F.sum, "n": F.sum, "vector": F.bit_xor, "place": F.sum, "mass": F.sum, "depth": F.max, "named": F.max, "words": F.max}
+    how = {"pages": F.sum, "n": F.sum, "vector": F.bit_xor, "place": F.sum, "mass": F.sum, "depth": F.max, "named": F.max, "words": F.max, "bodies": F.bit_or}
     sums = found.groupBy("host", "token").agg(*(f(c).alias(c) for c, f in how.items()))
     often = stored(sums.filter((F.col("pages") >= LEAST_PAGES) | (F.col("token") == 0)), "tokens")
     hosts = often.filter(f"token = 0 and pages >= {LEAST_PAGES}").select("host", F.col("pages").alias("all"))
