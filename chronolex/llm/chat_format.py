@@ -1,31 +1,32 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole and encoded once with offsets, in pieces (a turn's head, its text, its end) that no token crosses; the sorted character
-spans of what is learned are intersected with the sorted token spans by binary search. What is learned is read from the tokens under the mask.
+A conversation is rendered whole and encoded once, with offsets; the sorted character spans of what is learned are intersected with the sorted token spans by binary search.
+What is learned is read from the tokens under the mask. The template's markers are added to the loaded tokenizer as tokens of their own, with ids after its own, so no token crosses from a marker into a text.
 
-Template, for each turn: ``<|im_start|>`` role ``\\n`` text ``<|im_end|>`` ``\\n``. In roles and texts each ``<|`` is written
-``<\\|`` and each ``<\\`` is written ``<\\\\``, which is reversible and leaves no control string inside them. A role's line feeds are
-written ``<\\n``, so that the first line feed after the marker always ends the role.
+Template, for each turn: ``<|im_start|>`` role ``<|im_sep|>`` text ``<|im_end|>`` ``\\n``. In roles and texts each ``<|`` is written ``<\\|`` and each ``<\\`` is written ``<\\\\``, which is reversible
+and leaves no control string inside them, neither the template's nor the tokenizer's.
 
-Defined cases: a null text or role is empty; null turns come first; rows that repeat a turn stay, in order of role and text; a
-null conv_id is a conversation of its own; a conversation without assistant rows has an empty loss mask; rows that already bear conv_id -1 join the query's
-planted conversation; texts of any length are whole; extra columns, also of clashing names, are ignored; an empty table gives an empty result.
+Defined cases: a null text or role is empty; null turns come first; rows that repeat a turn stay, in order of role and text; a row without a conv_id is in no
+conversation and is formatted as one of its own; a conversation without assistant rows has an empty loss mask; rows of the table that bear conv_id -1 are a conversation beside the query's
+planted one; texts of any length are whole, and a conversation is one row of the result, so it must fit into a cell (2 GB) and a task's memory; extra columns, also of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import default_files, is_plain, plain_ids
-from .common import null_as_empty, picked, table, tokenizer
+from .byte_bpe import default_files
+from .common import null_as_empty, picked, table
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = "assistant"
 
 
@@ -37,57 +38,36 @@ def unescape(text: str) -> str:
     return text.replace("<\\|", "<|").replace("<\\\\", "<\\")
 
 
-def pieces(turns: list[tuple[str, str]]) -> list[str]:
-    """The formatted conversation in pieces that no token crosses: head, text and end of each turn."""
-    return [p for role, text in turns for p in (f"{START}{escape(role).replace(chr(10), '<' + chr(92) + 'n')}\n", escape(text), f"{END}\n")]
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the sorted spans of the learned texts in it."""
-    parts, at, spans = pieces(turns), 0, []
-    for k, (role, _) in enumerate(turns):
-        head, body, end = parts[3 * k : 3 * k + 3]
+    parts, at, spans = [], 0, []
+    for role, text in turns:
+        head, body = f"{START}{escape(role)}{SEPARATOR}", escape(text)
         at += len(head)
         if role == LEARNED:
             spans.append((at, at + len(body)))
-        at += len(body) + len(end)
+        at += len(body) + len(END) + 1
+        parts += [head, body, END, "\n"]
     return "".join(parts), spans
 
 
-class PieceEncoder:
-    """Ids of pieces, with the places of their tokens; the heads and ends of turns, of which there are few, are kept."""
-
-    KEPT = 4096
-
-    def __init__(self, path: str, ranks: str | None):
-        self.path, self.ranks, self.kept = path, ranks, {}
-
-    def piece(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """ids and offsets (a row a token: start and end in code points) of a piece."""
-        if self.ranks is None or not is_plain(text):
-            found = tokenizer(self.path, plain_specials=True).encode(text, add_special_tokens=False)
-            return np.array(found.ids, dtype=np.int32), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
-        ids, sizes = plain_ids(text, self.ranks)
-        ends = np.cumsum(sizes)
-        offsets = np.stack([ends - sizes, ends], axis=1)
-        if not text.isascii() and len(ids):  # from bytes to code points
-            chars = np.cumsum(np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0 != 0x80)
-            offsets = np.stack([chars[offsets[:, 0]] - 1, chars[offsets[:, 1] - 1]], axis=1)
-        return ids, offsets
-
-    def __call__(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids and offsets of a conversation of pieces."""
-        ids, offsets, at = [], [], 0
-        for k, part in enumerate(parts):
-            got = self.kept.get(part) if k % 3 != 1 else None
-            if got is None:
-                got = self.piece(part)
-                if k % 3 != 1 and len(part) < 64 and len(self.kept) < self.KEPT:
-                    self.kept[part] = got
-            ids.append(got[0])
-            offsets.append(got[1] + at)
-            at += len(part)
-        return np.concatenate(ids), np.concatenate(offsets)
+@lru_cache(maxsize=2)
+def chat_tokenizer(path: str):
+    """The tokenizer of a file with the markers as tokens; one a worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import AddedToken, Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    found.add_special_tokens([AddedToken(m, normalized=False, special=True) for m in (START, SEPARATOR, END)])
+    return found
+
+
+def encoded(formatted: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """ids and offsets (a row a token: start and end in code points) of a formatted conversation."""
+    found = chat_tokenizer(path).encode(formatted, add_special_tokens=False)
+    return np.array(found.ids, dtype=np.int32), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
 
 
 def covered(offsets: np.ndarray, mask: np.ndarray) -> list[list[int]]:
@@ -104,8 +84,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation."""
     turns = []
     for block in formatted.split(START)[1:]:
-        role, _, rest = block.partition("\n")
-        turns.append((unescape(role.replace("<\\n", "\n")), unescape(rest[: -len(END) - 1])))
+        role, _, rest = block.partition(SEPARATOR)
+        turns.append((unescape(role), unescape(rest[: -len(END) - 1])))
     return turns
 
 
@@ -121,15 +101,15 @@ def learned_text(formatted: str, spans: list[list[int]]) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in spans)
 
 
-def _formatted(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None) -> Iterator[pa.RecordBatch]:
-    encoder = PieceEncoder(path, ranks)
+def _formatted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             out: dict[str, list] = {k: [] for k in ("conv_id", "formatted", "spans", "learned", "ids", "mask")}
             for conv, rows in zip(part.column("conv_id").to_pylist(), part.column("turns").to_pylist(), strict=True):
                 turns = [(t["role"], t["text"]) for t in rows]
-                (text, spans), (ids, offsets) = render(turns), encoder(pieces(turns))
+                text, spans = render(turns)
+                ids, offsets = encoded(text, path)
                 mask = aligned(offsets, spans)
                 out["conv_id"].append(conv)
                 out["formatted"].append(text)
@@ -140,14 +120,16 @@ def _formatted(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.list_(pa.int32()))), ("learned", pa.list_(pa.list_(pa.int32()))), ("ids", pa.list_(pa.int32())), ("mask", pa.binary())]))
 
 
-def format_chats(rows: DataFrame, path: str | None = None, ranks: str | None = None) -> DataFrame:
+def format_chats(rows: DataFrame, path: str | None = None) -> DataFrame:
     """conv_id, formatted, spans (of the learned texts, in code points), learned (what the tokens under the mask cover), ids, mask (one bit a token, least first)."""
-    path, ranks = (path, ranks) if path else default_files()
+    path = path or default_files()[0]
     turn = F.struct(
         F.col("turn").alias("turn"), null_as_empty(F.col("role")).alias("role"), null_as_empty(F.col("text")).alias("text")
     )
-    chats = picked(rows, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return chats.mapInArrow(lambda batches: _formatted(batches, path, ranks), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = picked(rows, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone"), turn.alias("t"))
+    chats = chats.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
+    return chats.mapInArrow(lambda batches: _formatted(batches, path), "conv_id long, formatted string, spans array<array<int>>, learned array<array<int>>, ids array<int>, mask binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,5 +152,5 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the planted conversation -1, read back from the formatted output."""
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    rows = picked(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(extra)
-    return format_chats(rows).mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    both = format_chats(table(spark, sf_dir, "conversations")).unionByName(format_chats(extra))
+    return both.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +172,9 @@ def test_op5(spark, data):
     odd = spark.createDataFrame([(1, 1, "assistant", "b", 0), (1, 0, None, None, 0), (1, 1, "assistant", "b", 0), (2, None, "user", "", 0), (None, 0, "assistant", "x" * 50_000, 0)], "conv_id long, turn long, role string, text string, ids int")
     found = {r["conv_id"]: r for r in chat_format.format_chats(odd).collect()}
     assert chat_format.read_back(found[1]["formatted"]) == [("", ""), ("assistant", "b"), ("assistant", "b")] and found[2]["spans"] == [] and len(found) == 3
+    # Rows without a conv_id are conversations of their own, and rows that bear the planted one's id leave it as it is.
+    alone = chat_format.format_chats(spark.createDataFrame([(None, k, "assistant", f"t{k}") for k in range(500)], "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(chat_format.read_back(r["formatted"])[0][1] for r in alone) == sorted(f"t{k}" for k in range(500)) and len(alone) == 500
     assert chat_format.format_chats(odd.limit(0)).count() == 0
 
 
@@ -181,7 +185,7 @@ def test_tokens_under_the_mask_are_what_is_learned(spark, data):
     rows += [(-100, t, "assistant", "".join(random.Random(t).choices(PARTS, k=50))) for t in range(20)]
     odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = chat_format.format_chats(spark.read.parquet(f"{data}/conversations.parquet").select(odd.columns).unionByName(odd)).collect()
-    encoder = tokenizer(tokenizer_file("byte_bpe_50k.json"))
+    encoder = chat_format.chat_tokenizer(tokenizer_file("byte_bpe_50k.json"))
     for r in found:
         under = np.unpackbits(np.frombuffer(r["mask"], dtype=np.uint8), bitorder="little")[: len(r["ids"])]
         want = "".join(r["formatted"][a:b] for a, b in r["spans"])
@@ -190,6 +194,21 @@ def test_tokens_under_the_mask_are_what_is_learned(spark, data):
         assert encoder.decode(r["ids"], skip_special_tokens=False) == r["formatted"]
 
 
+def test_a_conversation_is_encoded_once_and_whole(spark, data, tmp_path, monkeypatch):
+    calls, real = [], chat_format.encoded
+    monkeypatch.setattr(chat_format, "encoded", lambda text, path: calls.append(text) or real(text, path))
+    turns = [("user", "\n\nHow? <|im_sep|>"), ("assistant", "  So <\\| \n\n"), ("a\nb<|", "x"), ("assistant", "é😀")]
+    batch = pa.RecordBatch.from_pylist([{"conv_id": 1, "turns": [{"role": r, "text": t} for r, t in turns]}])
+    row = next(chat_format._formatted(iter([batch]), BYTES)).to_pylist()[0]
+    assert calls == [row["formatted"]] == [chat_format.render(turns)[0]] and chat_format.read_back(row["formatted"]) == turns
+    assert chat_format.learned_text(row["formatted"], row["learned"]) == turns[1][1] + turns[3][1]
+    (tmp_path / "c").mkdir()
+    rows = [(-1, 0, "assistant", "in the table"), (4, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/c/conversations.parquet")
+    found = sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in chat_format.op5_chat_masks(spark, str(tmp_path / "c")).collect())
+    assert found == [(-1, 1, 12), (-1, 2, 34), (4, 1, 0)]
+
+
 def test_one_token_of_the_files(spark, data, texts, tmp_path, monkeypatch):
     """Any position and any document are read through one segment's payload."""
     docs, to = spark.read.parquet(f"{data}/documents.parquet").repartition(3), str(tmp_path / "ids")
