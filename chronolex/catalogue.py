@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .functions import requests
+from .functions import links, requests
 from .operators import chains, compare, corpus, documents, merge, profiles, relations, trim
 from .sources import adapters
 
@@ -590,12 +590,140 @@ nt AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS N FROM tok GROUP BY 1),
     _add("stream_unigram_daily", daily, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS f FROM events GROUP BY ALL")
 
 
+def _chat_documents(s: SparkSession, d: str) -> DataFrame:
+    """conv_id, date and turns: each conversation's turns in order, with role and words."""
+    tokens = adapters.chat_tokens(s, d).groupBy("doc_id", "date", "sent_id", "p").agg(F.sort_array(F.collect_list(F.struct("pos", "l"))).alias("x"))
+    turns = tokens.groupBy("doc_id", "date").agg(F.sort_array(F.collect_list(F.struct("sent_id", "p", F.col("x.l").alias("words")))).alias("turns"))
+    return turns.withColumnRenamed("doc_id", "conv_id")
+
+
+def _chat_files(s: SparkSession, d: str, kind: str) -> str:
+    """Conversations as files of a class of documents, one each; the path that reads them."""
+    docs, join = _chat_documents(s, d), lambda x, by="": F.array_join(x, by)
+    per_word = lambda make: F.transform("turns", lambda t: join(F.transform(t["words"], lambda w: make(w, t["p"]))))
+    year = F.col("date").cast("string")
+    if kind == "tabs":
+        head = F.concat(F.lit("%%$X:meta.basename="), F.col("conv_id").cast("string"), F.lit("\n%%date="), year, F.lit("\n"))
+        value = F.concat(head, join(per_word(lambda w, p: F.concat(w, F.lit("\t"), p, F.lit("\t"), w, F.lit("\n"))), "\n"))
+    elif kind == "json":
+        words = F.flatten(F.transform("turns", lambda t: F.concat(F.transform(t["words"], lambda w: F.named_struct(F.lit("w"), w, F.lit("p"), t["p"], F.lit("l"), w)), F.array(F.lit(None).cast("struct<w: string, p: string, l: string>")))))
+        value = F.to_json(F.struct(F.col("conv_id").cast("string").alias("label"), "date", words.alias("tokens")))
+    elif kind == "tcf":
+        flat = docs.withColumn("flat", F.flatten(F.transform("turns", lambda t, k: F.transform(t["words"], lambda w: F.struct(w.alias("w"), t["p"].alias("p"), k.alias("k"))))))
+        of = lambda form: join(F.transform("flat", lambda x, i: F.format_string(form, i, x["w"], x["p"])))
+        ends = join(F.transform(F.sequence(F.lit(0), F.size("turns") - 1), lambda k: F.concat(F.lit('<sentence tokenIDs="'), join(F.filter(F.transform("flat", lambda x, i: F.when(x["k"] == k, F.concat(F.lit("w"), i.cast("string")))), lambda v: v.isNotNull()), " "), F.lit('"/>'))))
+        docs, value = flat, F.concat(F.lit('<D><source type="meta:date">'), year, F.lit("</source><tokens>"), of('<token ID="w%1$s">%2$s</token>'), F.lit("</tokens><sentences>"), ends, F.lit("</sentences><POStags>"), of('<tag tokenIDs="w%1$s">%3$s</tag>'), F.lit("</POStags><lemmas>"), of('<lemma tokenIDs="w%1$s">%2$s</lemma>'), F.lit("</lemmas></D>"))
+    else:
+        space, form = ("", '<w type="%2$s" lemma="%1$s">%1$s</w>') if kind == "tei" else (' xmlns:x="urn:x"', '<x:tok x:kind="%2$s"><x:form>%1$s</x:form><x:base v="%1$s"/></x:tok>')
+        turns = per_word(lambda w, p: F.format_string(form, w, p))
+        value = F.concat(F.lit(f"<TEI{space}><teiHeader><title>t</title><date>"), year, F.lit("-05-01</date></teiHeader><text>"), join(F.transform(turns, lambda t: F.concat(F.lit("<p><s>"), t, F.lit("</s></p>")))), F.lit("</text></TEI>"))
+    path = relations.scratch_path(s, "files")
+    docs.select("conv_id", value.alias("value")).write.partitionBy("conv_id").option("lineSep", "\n").text(path)
+    return f"{path}/*/*.txt"
+
+
+def _source_queries() -> None:
+    """Readers and sinks: what is written from the tables and read back."""
+    from .sources import readers, sinks
+
+    def unigrams_of(corpus_: readers.Corpus) -> DataFrame:
+        return relations.unigrams(corpus_.tokens, ("l", "p"))
+
+    paths = {"word": "//x:tok", "fields": {"w": "x:form", "p": "@x:kind", "l": "x:base/@v"}, "namespaces": {"x": "urn:x"}}
+    for kind, options in (("tabs", {}), ("json", {}), ("tcf", {}), ("tei", {}), ("xml", paths)):
+        _add(f"read_{kind}_C", lambda s, d, kind=kind, options=options: unigrams_of(readers.read(s, _chat_files(s, d, kind), kind, **options)), _SQL["xf_counts_C"])
+    cof_c = r"""WITH w AS (SELECT conv_id, turn, CAST(1900 + conv_id % 50 AS INTEGER) AS date, role AS p, regexp_extract_all(lower(text), '\p{L}+') AS x FROM conversations),
+tok AS (SELECT conv_id AS doc_id, turn AS sent, date, p, unnest(x) AS l, CAST(generate_subscripts(x, 1) AS BIGINT) AS i FROM w), """ + _pairs_sql("l", 3, "doc_id sent") + """
+SELECT l1, date, l2, count(*) AS f12 FROM pr GROUP BY ALL HAVING count(*) >= 2"""
+
+    def pairs_of(s: SparkSession, d: str, kind: str, **options) -> DataFrame:
+        tokens = relations.written(readers.read(s, _chat_files(s, d, kind), kind, **options).tokens)
+        return relations.thresholded(relations.cooccurrences(tokens, ("l",), 3), 2)
+
+    _add("read_xml_sentences_C", lambda s, d: pairs_of(s, d, "xml", **paths), cof_c)
+    _add("read_tabs_sentences_C", lambda s, d: pairs_of(s, d, "tabs"), cof_c)
+
+    def compiled(s: SparkSession, d: str) -> DataFrame:
+        """Two compiled corpora, one of them read from a list of files, as one."""
+        path = relations.scratch_path(s, "compiled")
+        tokens = relations.written(adapters.chat_tokens(s, d))
+        for k in (0, 1):
+            part = tokens.filter(F.col("doc_id") % 2 == k)
+            readers.Corpus(part.select("doc_id", "date").distinct(), part).write(f"{path}/{k}")
+        s.createDataFrame([("# corpora",), (f"{path}/0",), ("",), (f"{path}/1",)], "value string").coalesce(1).write.text(f"{path}/list")
+        return unigrams_of(readers.read(s, f"{path}/list", lists=True))
+
+    _add("read_compiled_C", compiled, _SQL["xf_counts_C"])
+
+    def text_of(s: SparkSession, d: str) -> DataFrame:
+        path, found = relations.scratch_path(s, "sink"), profiles.unigram_profile(relations.unigrams(_b(s, d), ATTRS), {"p": "PROMO"}, ["l"], size=2, name="fm")
+        sinks.write_text(found, ["l"], path)
+        columns = F.split("value", "\t")
+        kept = s.read.text(path).select(*(F.get(columns, F.lit(k)).cast("long").alias(c) for k, c in enumerate(("N", "f1", "f2", "f12"))), F.get(columns, F.lit(5)).cast("int").alias("slice"), F.get(columns, F.lit(6)).alias("l"))
+        return kept
+
+    xf = f"""WITH {TOK_B}, xf AS (SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL), nt AS (SELECT {_slice(2)} AS slice, sum(f) AS N FROM xf GROUP BY 1), f1t AS (SELECT {_slice(2)} AS slice, sum(f) AS f1 FROM xf WHERE p = 'PROMO' GROUP BY 1),
+f12t AS (SELECT {_slice(2)} AS slice, l, sum(f) AS f12, sum(f) AS f2 FROM xf WHERE p = 'PROMO' GROUP BY ALL), {_assembled_sql('l', 'fm', 0.0, f2=False)}"""
+    _add("profile_text_B", text_of, f"{xf} SELECT CAST(N AS BIGINT) AS N, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2, CAST(f12 AS BIGINT) AS f12, slice, l FROM prof")
+
+    def opened_union(s: SparkSession, d: str) -> DataFrame:
+        from .plans.database import create, open_database
+
+        path = relations.scratch_path(s, "databases")
+        tokens, docs = relations.written(_b(s, d)), adapters.basket_docs(s, d)
+        for k in (0, 1):
+            create(*(t.filter(F.col("doc_id") % 2 == k) for t in (tokens, docs)), ATTRS, tuple_min=1, cof_min=1, segment_least=1).write(f"{path}/{k}")
+        return open_database(s, f"{path}/0", f"{path}/1").profile("cof", r"Brand\#11", "l", size=2, name="ld")
+
+    every = f"WITH {TOK_B},\n{_pairs_sql('l p')},\n{_cof_sql('l p', 1)},\n{_cof_profile_sql(chr(108) + '1 = ' + repr('Brand#11'), 'l', size=2, name='ld')} {_final('l')}"
+    _add("union_opened_B", opened_union, every)
+
+    def exported(s: SparkSession, d: str) -> DataFrame:
+        path = relations.scratch_path(s, "export")
+        _stored(s, d).export(path)
+        return s.read.option("sep", "\t").option("header", True).schema("l1 string, p1 string, date int, l2 string, p2 string, f12 long").csv(f"{path}/cof")
+
+    _add("export_cof_B", exported, _SQL["cof_pairs_B"])
+
+    def linked(s: SparkSession, d: str) -> DataFrame:
+        request = r"Brand\#11, p=PROMO"
+        found = _stored(s, d).profile("cof", request, "l,p", size=3, name="ld")
+        return links.with_links(found, request, ["l", "p"], relation="cof", size=3).select("slice", "l", "p", "f12", "link", "fcoef")
+
+    mark = r"regexp_replace({}, '([^\w.\-])', '\\\1', 'g')"
+    sql = f"{BASE_B},\n{_cof_profile_sql(chr(108) + '1 = ' + repr('Brand#11') + ' AND p1 = ' + repr('PROMO'), 'l p', size=3, name='ld')}"
+    link = r"'near((Brand\#11=1 WITH $p=PROMO=1),($l=' || " + mark.format("l") + r" || '=2 WITH $p=' || " + mark.format("p") + r" || '=2),4) #date[' || slice || ',' || (slice + 2) || ']'"
+    _add("request_links_B", linked, f"{sql} SELECT slice, l, p, f12, {link} AS link, CAST(10 AS DOUBLE) AS fcoef FROM prof")
+
+
+def _stream_queries() -> None:
+    def streamed(parts: list[str]) -> Make:
+        """Events in parts, each counted when it is there; all but the first go on from the checkpoint."""
+
+        def make(s: SparkSession, d: str) -> DataFrame:
+            from .streaming.unigrams import count_files
+
+            path, events = relations.scratch_path(s, "stream"), s.read.parquet(f"{d}/events.parquet")
+            for k, part in enumerate(parts):
+                events.filter(part).coalesce(1).write.parquet(f"{path}/in/{k}")
+                count_files(s, f"{path}/in/*", events.schema, "ts", ["event_type"], f"{path}/out", f"{path}/state")
+            return s.read.parquet(f"{path}/out")
+
+        return make
+
+    over = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS f FROM events WHERE {0} AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE {0}) GROUP BY ALL"
+    _add("stream_restarted_E", streamed(["dayofyear(ts) <= 10", "dayofyear(ts) > 10 and dayofyear(ts) <= 20", "dayofyear(ts) > 20"]), over.format("true"))
+    _add("stream_late_rows_E", streamed(["event_id % 10 <> 3", "event_id % 10 = 3 and dayofyear(ts) < 25"]), over.format("event_id % 10 <> 3"))
+
+
 _build_queries()
 _profile_queries()
 _compare_queries()
 _document_queries()
 _other_queries()
 _database_queries()
+_source_queries()
+_stream_queries()
 
 
 def queries() -> dict[str, Make]:

@@ -143,6 +143,8 @@ def chain_profile(
     else:
         searched = tokens
     blocks = relations.windows(searched, attributes, chain.reach, sentence, order)
+    if date is None and asked.dates is not None:
+        date = "-".join("*" if x is None else str(x) for x in asked.dates)
     within = dates(date)(F.col("date"))
     cut = lambda rows: rows.filter(within).withColumn("slice", sliced(F.col("date"), size))
     f12 = cut(hits(blocks, chain, items)).groupBy("slice", *items).agg(F.sum("n").alias("f12")).filter(F.col("f12") >= int(asked.options.get("fmin", 1)))

@@ -4,7 +4,7 @@ A document is a file, whose path is its doc_id; Spark lists paths and globs. Sen
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -148,14 +148,101 @@ def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lem
     return Corpus(docs, tokens.select("doc_id", "sent_id", "seg_id", "pos", "date", "w", "p", "l"))
 
 
-def read_compiled(spark: SparkSession, *paths: str) -> Corpus:
-    """One or several compiled corpora as one."""
-    return Corpus(spark.read.parquet(*(f"{p}/docs" for p in paths)), spark.read.option("mergeSchema", True).parquet(*(f"{p}/tokens" for p in paths)))
+def read_xml(
+    spark: SparkSession, path: str | list[str], *, word: str = "//text//w", fields: Mapping[str, str] | None = None, sentence: Sequence[str] = ("//s",), breaks: Sequence[str] = ("//p", "//div", "//pb"),
+    meta: Mapping[str, str] | None = None, namespaces: Mapping[str, str] | None = None,
+) -> Corpus:
+    """XML by paths of one's own, as ElementTree reads them, with prefixes for namespaces. word, sentence and breaks are paths of nodes in the whole document: a word is told
+    where it ends, and a node of sentence or breaks counts from where it starts, also inside a word, for which it counts with the next one. fields are paths from a word's node: ``.`` for its text, ``@name`` for an
+    attribute, ``path/@name`` and ``path`` for those of a node inside. meta are paths in the document, also with ``/@name`` at their end; the year of ``date`` dates it. A path that finds nothing gives an empty string. A file is
+    parsed whole, by one task, and must fit into a cell (2 GB)."""
+    fields = {"w": ".", "p": "@type", "l": "@lemma", **(fields or {})}
+    meta = {"title": ".//teiHeader//title", "author": ".//teiHeader//author", "date": ".//teiHeader//date", **(meta or {})}
+    spaces, sentence, breaks = dict(namespaces or {}), list(sentence), list(breaks)
+    names = [*fields]
+
+    def told(node, where: str) -> str:
+        where, _, attribute = where.partition("@")
+        where = where.rstrip("/") or "."
+        if where.startswith("/"):
+            where = f".{where}"
+        found = node if where == "." else node.find(where, spaces)
+        if found is None:
+            return ""
+        value = found.get("{%s}%s" % (spaces[attribute.split(":")[0]], attribute.split(":")[1]) if ":" in attribute else attribute, "") if attribute else "".join(found.itertext())
+        return " ".join(value.split())
+
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
 
+        for frame in frames:
+            for doc, xml in zip(frame["doc_id"], frame["value"], strict=True):
+                root = ElementTree.Element("document")
+                root.append(ElementTree.fromstring(xml))
+                chosen = lambda paths: {id(e) for p in paths for e in root.findall(f".{p}" if p.startswith("/") else p, spaces)}  # noqa: B023, E731
+                words, ends, parts = chosen([word]), chosen(sentence), chosen(breaks)
+                rows, sent, seg = [], 0, 0
+                stack = [(root, iter(root), 0, 0)]
+                while stack:
+                    node, children, at, part = stack[-1]
+                    child = next(children, None)
+                    if child is not None:
+                        sent, seg = sent + (id(child) in ends), seg + (id(child) in parts)
+                        stack.append((child, iter(child), sent, seg))
+                        continue
+                    stack.pop()
+                    if id(node) in words:  # numbered by what had begun when it did
+                        rows.append((doc, "", "", at, part, len(rows), *(told(node, p) for p in fields.values())))
+                heads = [(doc, k, told(root, p), -1, -1, -1, *([""] * len(names))) for k, p in meta.items()]
+                yield pd.DataFrame([*heads, *rows], columns=["doc_id", "key", "value", "sent_id", "seg_id", "pos", *names])
+
+    files = _files(spark, path)
+    schema = ", ".join(["doc_id string", "key string", "value string", "sent_id int", "seg_id int", "pos int", *(f"`{n}` string" for n in names)])
+    rows = files.mapInPandas(parsed, schema)
+    pairs = rows.filter("pos < 0").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
+    docs = pairs.select("doc_id", F.regexp_extract("doc_id", r"([^/]+)$", 1).alias("label"), F.coalesce(text.leading_year(F.col("meta")["date"]), F.lit(0)).alias("date"), F.transform_values("meta", lambda k, v: F.when(k == "author", text.author(v)).otherwise(v)).alias("meta"))
+    return Corpus(docs, rows.filter("pos >= 0").drop("key", "value").join(docs.select("doc_id", "date"), "doc_id").select("doc_id", "sent_id", "seg_id", "pos", "date", *names))
 
-#: Document classes by name.
-READERS: dict[str, Callable[..., Corpus]] = {"tabs": read_tabs, "json": read_json, "tcf": read_tcf, "tei": read_tei, "compiled": read_compiled}
 
+def read_compiled(spark: SparkSession, *paths: str) -> Corpus:
+    """One or several compiled corpora as one. Each is read by itself, as the folders of dates in it are its own."""
+    out = None
+    for p in paths:
+        one = Corpus(spark.read.parquet(f"{p}/docs"), spark.read.parquet(f"{p}/tokens"))
+        out = one if out is None else out.union(one)
+    return out
 
-def read(spark: SparkSession, path: str | list[str], kind: str = "compiled", **options) -> Corpus:
+
+#: Document classes by name.
+READERS: dict[str, Callable[..., Corpus]] = {"tabs": read_tabs, "json": read_json, "tcf": read_tcf, "tei": read_tei, "xml": read_xml, "compiled": read_compiled}
+
+
+def listed_files(spark: SparkSession, *lists: str) -> list[str]:
+    """The paths that lists of files name, a path a line; empty lines and those that begin with a number sign are left out."""
+    rows = spark.read.text(list(lists)).select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '#')").distinct().orderBy("v")
+    return [r["v"] for r in rows.collect()]  # as Spark wants paths on the driver
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What class of documents a path holds: a compiled corpus by its folders, others by the end of their names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    inside = lambda name: spark._jvm.org.apache.hadoop.fs.Path(target, name)
+    if fs.exists(inside("docs")) and fs.exists(inside("tokens")):
+        return "compiled"
+    ends = {"json": "json", "tabs": "tabs", "tsv": "tabs", "tcf": "tcf", "tei": "tei", "xml": "xml"}
+    end = path.rstrip("*/").rsplit(".", 1)[-1].lower()
+    if end not in ends:
+        raise ValueError(f"can't tell what documents {path} holds")
+    return ends[end]
+
+
+def read(spark: SparkSession, path: str | list[str], kind: str | None = None, *, lists: bool = False, **options) -> Corpus:
+    """Documents of a class, or of the class that the first path tells. lists: the paths are of files that list files."""
+    if lists:
+        path = listed_files(spark, *([path] if isinstance(path, str) else path))
+    first = path if isinstance(path, str) else path[0]
+    kind = kind or kind_of(spark, first)
+    if kind == "compiled" and not isinstance(path, str):
+        return read_compiled(spark, *path)
     return READERS[kind](spark, path, **options)

@@ -15,8 +15,11 @@ def counts(stream: DataFrame, time: str, attributes: Sequence[str], window: str
     return grouped.select(F.col("w.start").alias("start"), *attributes, "f")
 
 
-def count_files(spark: SparkSession, path: str, schema, time: str, attributes: Sequence[str], to: str, checkpoint: str, **how) -> None:
-    """Counts the files that path has now and stops; called again, it goes on from its checkpoint with new files only."""
+def count_files(spark: SparkSession, path: str, schema, time: str, attributes: Sequence[str], to: str, checkpoint: str, **how) -> dict[str, int]:
+    """Counts the files that path has now and stops; called again, it goes on from its checkpoint with new files only. Tells how many rows were read, and how many
+    groups of rows were too late for a window that is told already."""
     stream = spark.readStream.schema(schema).parquet(path)
     query = counts(stream, time, attributes, **how).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to)
     query.awaitTermination()
+    steps = query.recentProgress
+    return {"rows": sum(p.numInputRows for p in steps), "late": sum(o.numRowsDroppedByWatermark for p in steps for o in p.stateOperators)}
