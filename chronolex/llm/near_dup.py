@@ -204,10 +204,12 @@ def _across(edges: DataFrame) -> DataFrame:
     return last.join(first, (F.col("l.part") == F.col("f.part")) & (F.col("l.tree") == F.col("f.tree"))).filter(shared).select(F.col("f.a").alias("a"), F.col("l.a").alias("b"))
 
 
-def met(rows: DataFrame, table: DataFrame, *key: str, how: str = "inner") -> DataFrame:
+def met(rows: DataFrame, table: DataFrame, *key: str, how: str = "inner", n: int | None = None) -> DataFrame:
     """rows joined with table, which has each key once; how is inner or left. A key that more than HOT rows have is dealt to as many tasks as it needs, each with a copy of the table's
-    row. Broadcast are such keys with their numbers of copies, one in HOT rows at most. rows are read twice."""
+    row. Broadcast are such keys with their numbers of copies, one in HOT rows at most. rows are read twice, but for those of which n, their known number, tells that no key has so many."""
     keys = list(key)
+    if n is not None and n <= HOT:
+        return rows.join(table, keys, how)
     hot = F.broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).alias("met_copies")).filter("met_copies > 1"))
     copies = F.coalesce("met_copies", F.lit(1).cast("long"))
     dealt = rows.join(hot, keys, "left").withColumn("met_salt", F.pmod(F.xxhash64(*rows.columns), copies)).drop("met_copies")
@@ -299,25 +301,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs whose full sets (doc, hashes) are links."""
     one, two = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("hashes").alias("sb"))
     narrow = stored(pairs.select("a", "b"), "asked")
-    out = stored(met(met(narrow, one, "a"), two, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), name)
+    n = narrow.count()
+    out = stored(met(met(narrow, one, "a", n=n), two, "b", n=n).select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), name)
     forget(narrow)
     return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root, the smallest node that its links reach, for each node of links (a, b)."""
-    edges = links.select("a", "b")
+    edges = stored(links.select("a", "b"), "edges")
+    n = edges.count()
     of = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "roots")
+    nodes = 2 * n  # at most
     while True:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "least")
         to = lambda c: least.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to"))
-        now = stored(met(of, to("root"), "root", how="left").select("node", F.coalesce("root_to", "root").alias("root")), "roots")
-        rest = stored(met(met(edges, to("a"), "a"), to("b"), "b").filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        now = stored(met(of, to("root"), "root", how="left", n=nodes).select("node", F.coalesce("root_to", "root").alias("root")), "roots")
+        rest = stored(met(met(edges, to("a"), "a", n=n), to("b"), "b", n=n).filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
         for old in (of, least, edges):
             forget(old)
         of, edges = now, rest
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             return of
 
 
@@ -325,7 +331,7 @@ def _crowded(crowds: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]
     """doc and root of the documents in regions that hold more than one component, and a stored table that they are read from."""
     placed = stored(crowds.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("tree", "value", "doc", F.coalesce("root", "doc").alias("root")), "placed")
     mixed = placed.groupBy("tree", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tree", "value")
-    return met(placed, mixed, "tree", "value").select("doc", "root").distinct(), placed
+    return met(placed, mixed, "tree", "value", n=placed.count()).select("doc", "root").distinct(), placed
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +419,7 @@ def _shared_ids(signed: DataFrame, sets: DataFrame) -> DataFrame | None:
     if several.isEmpty():
         forget(several)
         return None
+    # doc_ids of several sets, with the digests of all their rows.
     rows = stored(met(signed.filter("digest is not null").select("doc_id", "digest"), several, "doc_id").filter("digest <> low").select("digest", "low").distinct(), "shared")
     node = lambda digest, name: sets.select(F.col("digest").alias(digest), F.col("doc").alias(name))
     links = stored(met(met(rows, node("digest", "a"), "digest"), node("low", "b"), "low").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "shared-links")
@@ -436,7 +443,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = confirmed(_likeliest(pairs, 2), full, "links")
     roots = components(first)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    open_pairs = met(met(pairs, root("a"), "a", how="left"), root("b"), "b", how="left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    n = pairs.count()
+    open_pairs = met(met(pairs, root("a"), "a", how="left", n=n), root("b"), "b", how="left", n=n).filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = confirmed(open_pairs, full, "links")
     merged = lambda found: found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     links = merged(roots).unionByName(more)
@@ -452,7 +460,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(sets.join(final.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("root", "doc").alias("root"), "doc_id", "copies"), "placed")
     # A class is named by its smallest doc_id.
     names = placed.groupBy("root").agg(F.min("doc_id").alias("name"))
-    classes = met(placed, names, "root").filter("copies > 1 or name <> doc_id").select("digest", "name", "copies")
+    classes = met(placed, names, "root", n=placed.count()).filter("copies > 1 or name <> doc_id").select("digest", "name", "copies")
     classes = stored(classes, "classes")
     forget(placed)
     # Digests of very many copies are told from a broadcast table, one in HOT rows at most; rows without a digest meet nothing, each under a key of its own.
