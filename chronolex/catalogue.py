@@ -5,6 +5,7 @@ The SQL is written on its own, from the definitions; it shares no code with the
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,9 +140,18 @@ def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.text_tokens(spark, sf_dir)
 
 
-def _cof(tokens: DataFrame, attributes=ATTRS, distance: int = 5, minimum: int = 2, **how) -> tuple[DataFrame, DataFrame]:
+def _blocks(tokens: DataFrame, attributes=ATTRS, distance: int = 5, **how) -> DataFrame:
     # Sorting by ranges looks at its input twice.
-    blocks = relations.windows(relations.written(tokens), attributes, distance, **how)
+    return relations.windows(relations.written(tokens), attributes, distance, **how)
+
+
+def _pairs(tokens: DataFrame, minimum: int = 2) -> DataFrame:
+    """Pairs alone, for queries that take no marginals."""
+    return relations.thresholded(relations.cooccurrences_of(_blocks(tokens), ATTRS), minimum)
+
+
+def _cof(tokens: DataFrame, attributes=ATTRS, distance: int = 5, minimum: int = 2, **how) -> tuple[DataFrame, DataFrame]:
+    blocks = _blocks(tokens, attributes, distance, **how)
     # A profile takes N, f1 and f2 from the marginals, so they are summed once.
     return relations.thresholded(relations.cooccurrences_of(blocks, attributes, distance), minimum), relations.written(relations.marginals_of(blocks, attributes, distance))
 
@@ -156,9 +166,9 @@ def _build_queries() -> None:
     chat = r"""SELECT conv_id AS doc_id, turn AS sent_id, CAST(1900 + conv_id % 50 AS INTEGER) AS date, role AS p, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS l FROM conversations"""
     _add("xf_counts_C", lambda s, d: relations.unigrams(adapters.chat_tokens(s, d), ("l", "p")), f"SELECT l, p, date, count(*) AS f FROM ({chat}) GROUP BY ALL")
     _add("xf_counts_B", lambda s, d: relations.unigrams(_b(s, d), ATTRS), f"WITH {TOK_B} SELECT l, p, date, count(*) AS f FROM tok GROUP BY ALL")
-    _add("cof_pairs_B", lambda s, d: _cof(_b(s, d))[0], f"{BASE_B} SELECT * FROM cof")
-    _add("cof_marginals_B", lambda s, d: _cof(_b(s, d))[1], f"{BASE_B} SELECT * FROM marg")
-    _add("totals_by_year_B", lambda s, d: relations.totals_by_date(_cof(_b(s, d))[1], "f1"), f"{BASE_B} SELECT date, CAST(sum(f1) AS BIGINT) AS n FROM marg GROUP BY date")
+    _add("cof_pairs_B", lambda s, d: _pairs(_b(s, d)), f"{BASE_B} SELECT * FROM cof")
+    _add("cof_marginals_B", lambda s, d: relations.marginals_of(_blocks(_b(s, d)), ATTRS), f"{BASE_B} SELECT * FROM marg")
+    _add("totals_by_year_B", lambda s, d: relations.totals_by_date(relations.marginals_of(_blocks(_b(s, d)), ATTRS), "f1"), f"{BASE_B} SELECT date, CAST(sum(f1) AS BIGINT) AS n FROM marg GROUP BY date")
     _add("tdf_matrix_B", lambda s, d: relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4).drop("sent_id"), f"WITH {TOK_B}, {_tdf_sql()} SELECT l, p, doc_id, date, f FROM tdf")
     _add("tdf_year_B", lambda s, d: relations.term_years(relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4), ATTRS), f"WITH {TOK_B}, {_tdf_sql()} SELECT l, p, date, CAST(sum(f) AS BIGINT) AS f FROM tdf GROUP BY ALL")
     _add("attr_freq_filter_T", lambda s, d: relations.unigrams(corpus.frequent(_t(s, d), ("l",), 5), ("l",)), f"WITH {TOK_T}, often AS (SELECT l FROM tok GROUP BY l HAVING count(*) >= 5) SELECT l, date, count(*) AS f FROM tok WHERE l IN (SELECT l FROM often) GROUP BY ALL")
@@ -336,7 +346,8 @@ def _compare_queries() -> None:
 
 def _document_queries() -> None:
     def matrix(s: SparkSession, d: str) -> documents.Matrix:
-        return documents.Matrix(relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4).select("l", "p", "doc_id", "date", "f"), adapters.basket_docs(s, d), ATTRS)
+        # Written once: the target, N, the items and f2 are all read from it.
+        return documents.Matrix(relations.written(relations.term_segments(_b(s, d), ATTRS, least=1, document_min=4).select("l", "p", "doc_id", "date", "f")), adapters.basket_docs(s, d), ATTRS)
 
     base = f"WITH {TOK_B}, {DOC_B}, {_tdf_sql()}"
     holds = lambda c: f"doc_id IN (SELECT doc_id FROM tdf WHERE {c})"
@@ -364,6 +375,10 @@ def _document_queries() -> None:
     t = documents.terms
     x, y, sx, sy = {"l": "Brand#11"}, {"p": "PROMO"}, "l = 'Brand#11'", "p = 'PROMO'"
     add("tdf_terms_B", lambda m: t(m, x), sx, "true", "l", size=2)
+    def together(s: SparkSession, d: str) -> DataFrame:
+        m = documents.colocated(matrix(s, d), f"chronolex_{uuid.uuid4().hex}", 8)
+        return documents.tdf_profile(text(m, r"Brand\#11 #has[segment,BUILDING]"), ["l", "priority"], name="ll")
+
     add("tdf_terms_date_B", lambda m: t(m, x), sx, "true", "l", date="1996:1999", sql_date="date BETWEEN 1996 AND 1999")
     add("tdf_meta_B", lambda m: t(m, x), sx, "true", "segment", size=3)
     add("tdf_mixed_B", lambda m: t(m, x), sx, "true", "l segment")
@@ -383,6 +398,7 @@ def _document_queries() -> None:
     add("request_bool_negated", lambda m: text(m, r"!{Brand\#11,Brand\#7}"), f"NOT ({brands})", "true", "segment")
     add("request_bool_has", lambda m: text(m, r"Brand\#11 #has[segment,BUILDING] !#has[priority,/^[12]/]"), "l = 'Brand#11'", "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING' AND NOT regexp_matches(priority, '^[12]'))", "l")
     add("request_bool_documents", lambda m: text(m, r"* #has[nation,{FRANCE,GERMANY}]"), "true", "doc_id IN (SELECT doc_id FROM docs WHERE nation IN ('FRANCE', 'GERMANY'))", "p")
+    _add("tdf_colocated_B", together, sql("l = 'Brand#11'", "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING')", "l priority"))
     add("tdf_doc_only", lambda m: documents.Query(m).in_documents({"nation": P.infix("A")}), "true", "doc_id IN (SELECT doc_id FROM docs WHERE contains(nation, 'A'))", "l")
 
 
@@ -540,8 +556,8 @@ nt AS (SELECT {_slice(3)} AS slice, {coef} * count(*) AS N FROM tok GROUP BY 1),
 
     _add("union_xf", lambda s, d: merge.union_unigrams([relations.unigrams(h, ATTRS) for h in halves(s, d)], ATTRS), _SQL["xf_counts_B"])
     both = f"WITH {TOK_B}, {_pairs_sql('l p')}, parts AS (SELECT l1, p1, date, l2, p2, doc_id % 2 AS h, count(*) AS f12 FROM pr GROUP BY ALL HAVING count(*) >= 2)"
-    _add("union_cof", lambda s, d: merge.union_cooccurrences([_cof(h)[0] for h in halves(s, d)], ATTRS, 3), f"{both} SELECT l1, p1, date, l2, p2, CAST(sum(f12) AS BIGINT) AS f12 FROM parts GROUP BY ALL HAVING sum(f12) >= 3")
-    _add("union_marginals", lambda s, d: merge.union_marginals([_cof(h)[1] for h in halves(s, d)], ATTRS), _SQL["cof_marginals_B"])
+    _add("union_cof", lambda s, d: merge.union_cooccurrences([_pairs(h) for h in halves(s, d)], ATTRS, 3), f"{both} SELECT l1, p1, date, l2, p2, CAST(sum(f12) AS BIGINT) AS f12 FROM parts GROUP BY ALL HAVING sum(f12) >= 3")
+    _add("union_marginals", lambda s, d: merge.union_marginals([relations.marginals_of(_blocks(h), ATTRS) for h in halves(s, d)], ATTRS), _SQL["cof_marginals_B"])
 
     def shards(s: SparkSession, d: str) -> DataFrame:
         tables = [_cof(h, minimum=1) for h in halves(s, d)]

@@ -64,6 +64,14 @@ class Query:
         return Query(self.matrix, self.terms, _met(self.docs, self.matrix.docs.filter(all_of(where)).select("doc_id")))
 
 
+def colocated(matrix: Matrix, name: str, buckets: int = 64) -> Matrix:
+    """The matrix as tables of the session's catalogue, name_tdf and name_docs, in buckets by document: what profiles join and sum by document needs no shuffle then. Drop the tables when they aren't asked any more."""
+    spark = matrix.tdf.sparkSession
+    for part, table in (("tdf", matrix.tdf), ("docs", matrix.docs)):
+        table.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").format("parquet").saveAsTable(f"{name}_{part}")
+    return Matrix(spark.table(f"{name}_tdf"), spark.table(f"{name}_docs"), matrix.attributes, matrix.segment)
+
+
 def terms(matrix: Matrix, where: Where) -> Query:
     return Query(matrix, all_of(where))
 

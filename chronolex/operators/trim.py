@@ -12,11 +12,13 @@ from .profiles import over_slices, rank_value
 from .relations import written
 
 
-def best(profile: DataFrame, items: Sequence[str], k: int, *, score: str = "score", absolute: bool = False) -> DataFrame:
-    """The k best of each slice; all for k < 0."""
+def best(profile: DataFrame, items: Sequence[str], k: int, *, score: str = "score", absolute: bool = False, one_slice: bool = False) -> DataFrame:
+    """The k best of each slice; all for k < 0. one_slice says that there is one slice alone, which needs no shuffle to rank."""
     if k < 0:
         return profile
     value = F.abs(rank_value(score)) if absolute else rank_value(score)
+    if one_slice:
+        return profile.orderBy(value.desc(), *items).limit(k)
     order = Window.partitionBy("slice").orderBy(value.desc(), *items)
     return profile.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k).drop("__rank")
 

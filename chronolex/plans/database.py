@@ -106,7 +106,7 @@ class Database:
         if overall and k >= 0:
             found = trim.best_overall(found, group_by, k, name, eps)
         else:
-            found = trim.best(found, group_by, k)
+            found = trim.best(found, group_by, k, one_slice=size == 0)
         if fill:
             low, high = date_bounds(date)
             in_time = F.lit(True) if low is None else F.col("date") >= low

@@ -58,3 +58,10 @@ def test_pairs_are_made_once_and_for_the_target_alone(spark, name):
     assert plan.count("Generate posexplode(around") == 1 and plan.count("Generate posexplode(t") == 1
     filters = [line for line in plan.splitlines() if "Filter" in line and "one#" in line and ".l = " in line]
     assert len(filters) == 1
+
+
+def test_colocated_matrix_needs_no_shuffle_by_document(spark):
+    plan = catalogue.queries()["tdf_colocated_B"](spark, str(DATA))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in text and "Bucketed: true" in text
