@@ -397,7 +397,7 @@ def _document_queries() -> None:
     add("request_bool_or_with", lambda m: text(m, r"(Brand\#11 || Brand\#7), $p=PROMO"), f"({brands}) AND p = 'PROMO'", "true", "l segment")
     add("request_bool_negated", lambda m: text(m, r"!{Brand\#11,Brand\#7}"), f"NOT ({brands})", "true", "segment")
     add("request_bool_has", lambda m: text(m, r"Brand\#11 #has[segment,BUILDING] !#has[priority,/^[12]/]"), "l = 'Brand#11'", "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING' AND NOT regexp_matches(priority, '^[12]'))", "l")
-    add("request_bool_documents", lambda m: text(m, r"* #has[nation,{FRANCE,GERMANY}]"), "true", "doc_id IN (SELECT doc_id FROM docs WHERE nation IN ('FRANCE', 'GERMANY'))", "p")
+    add("request_bool_documents", lambda m: text(m, r"* #has[nation,{NATION_3,NATION_14}]"), "true", "doc_id IN (SELECT doc_id FROM docs WHERE nation IN ('NATION_3', 'NATION_14'))", "p")
     _add("tdf_colocated_B", together, sql("l = 'Brand#11'", "doc_id IN (SELECT doc_id FROM docs WHERE segment = 'BUILDING')", "l priority"))
     add("tdf_doc_only", lambda m: documents.Query(m).in_documents({"nation": P.infix("A")}), "true", "doc_id IN (SELECT doc_id FROM docs WHERE contains(nation, 'A'))", "l")
 

@@ -29,7 +29,9 @@ def told(frame):
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_equals_sql(spark, duck, name):
-    assert told(catalogue.queries()[name](spark, str(DATA)).toPandas()) == told(duck.execute(catalogue.oracle_sql()[name]).df())
+    got = told(catalogue.queries()[name](spark, str(DATA)).toPandas())
+    assert got == told(duck.execute(catalogue.oracle_sql()[name]).df())
+    assert got[1] or not name.startswith(("request_", "match_", "sequence_", "rollup_", "append_", "read_", "stream_"))
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
