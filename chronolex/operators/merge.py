@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relations import dealt, parts_of
+
 
 def _all(tables: Sequence[DataFrame]) -> DataFrame:
     out = tables[0]
@@ -37,7 +39,9 @@ def union_segments(tables: Sequence[DataFrame], attributes: Sequence[str] = (),
     union = _all([t.withColumn("doc_id", F.concat_ws(":", F.lit(k), "doc_id")) for k, t in enumerate(tables)])
     if document_min <= 1 and term_min <= 1:
         return union
-    held = union.groupBy(*attributes, *keys).agg(F.sum("f").alias("f")).groupBy(*attributes).agg(F.count("*").alias("__d"), F.sum("f").alias("__f"))
+    # As no segment is in two parts, each is summed under its own id: by part and in whatever partitions by document the part has.
+    segments = [dealt(t, parts_of(t), "doc_id").groupBy(*attributes, *keys).agg(F.sum("f").alias("f")).groupBy(*attributes).agg(F.count("*").alias("__d"), F.sum("f").alias("__f")) for t in tables]
+    held = _all(segments).groupBy(*attributes).agg(F.sum("__d").alias("__d"), F.sum("__f").alias("__f"))
     often = held.filter((F.col("__d") >= document_min) & (F.col("__f") >= term_min)).select(*attributes)
     return union.join(often, list(attributes), "left_semi")
 

@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 
 #: Tokens that are met with each other in one array; those near its edges come on top.
 BLOCK = 2048
+#: Rows that a task sorts or sums by key, on average, where keys are nearly as many as rows.
+TASK_ROWS = 1 << 18
+
+
+def parts_of(stored: DataFrame) -> int | None:
+    """How many partitions hold TASK_ROWS of these rows each; None if the cores alone make as many. The rows are counted, so they should be a table that is read.
+
+    Spark deals shuffles by bytes, of which rows of ids take few once compressed: what a task holds in memory then is dozens of times what it has read."""
+    rows = stored.count()
+    return None if rows <= TASK_ROWS * stored.sparkSession.sparkContext.defaultParallelism else -(-rows // TASK_ROWS)
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """rows in so many partitions by keys; as they are for None. Joins and sums by these keys, or by more, go on in the same partitions."""
+    return rows if parts is None else rows.repartition(parts, *keys)
 
 
 def unigrams(tokens: DataFrame, attributes: Sequence[str]) -> DataFrame:
@@ -124,15 +139,17 @@ def term_segments(
     tokens: DataFrame, attributes: Sequence[str], segment: Sequence[str] = ("doc_id",), least: int = 4, most: float = float("inf"), document_min: int = 4, term_min: int = 0
 ) -> DataFrame:
     """attributes, segment, date, f: counts of terms in segments with more than least and fewer than most tokens, for terms in at least
-    document_min such segments that occur at least term_min times in them."""
+    document_min such segments that occur at least term_min times in them. What is kept by size is written once, as the terms are told from it first, and so are these: few terms
+    are broadcast then, and nothing is shuffled by term."""
     keys = list(dict.fromkeys((*segment, "doc_id")))
     counts = tokens.groupBy(*attributes, *keys, "date").agg(F.count("*").alias("f"))
     sized = tokens.groupBy(*segment).agg(F.count("*").alias("__n")).filter((F.col("__n") > max(least, 1)) & (F.col("__n") < most)).select(*segment)
     kept = counts.join(sized, list(segment), "left_semi")
     if document_min <= 1 and term_min <= 1:
         return kept
+    kept = written(kept)
     terms = kept.groupBy(*attributes).agg(F.count("*").alias("__d"), F.sum("f").alias("__f")).filter((F.col("__d") >= document_min) & (F.col("__f") >= term_min))
-    return kept.join(terms.select(*attributes), list(attributes), "left_semi")
+    return kept.join(written(terms.select(*attributes)), list(attributes), "left_semi")
 
 
 def term_years(tdf: DataFrame, attributes: Sequence[str]) -> DataFrame:
