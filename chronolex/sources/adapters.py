@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relations import dealt, parts_of
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +34,10 @@ def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basket_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of orders: an order is a document and a sentence, dated by its year."""
     lines, orders, parts = (_table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    n = parts_of(lines)
+    # The order comes last, so that what is summed by document stays in the partitions of this join.
+    named = dealt(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), n, "l_orderkey")
+    joined = named.join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     pos = F.struct("l_linenumber", "l_partkey", "l_suppkey")
     return joined.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("sent_id"), pos.alias("pos"), F.year("o_orderdate").alias("date"), F.col("p_name").alias("w"), F.col("p_type").alias("p"), F.col("p_brand").alias("l"))
 
