@@ -14,20 +14,25 @@ from ..functions import querytree as Q
 from ..functions.predicates import all_of, dates
 from ..functions.text import sliced
 from .profiles import Where, every_slice, scored, told
+from .relations import dealt
 
 
 @dataclass(frozen=True)
 class Matrix:
-    """tdf: attributes, segment columns, doc_id, date, f; docs: doc_id and metadata."""
+    """tdf: attributes, segment columns, doc_id, date, f; docs: doc_id and metadata; parts: the partitions in which it is summed by document (see relations.parts_of)."""
 
     tdf: DataFrame
     docs: DataFrame
     attributes: tuple[str, ...]
     segment: tuple[str, ...] = ("doc_id",)
+    parts: int | None = None
+
+    def by_document(self, rows: DataFrame) -> DataFrame:
+        return dealt(rows, self.parts, "doc_id")
 
     def documents_of(self, terms: Column | None) -> DataFrame:
         """Documents that hold any of the terms."""
-        return (self.tdf if terms is None else self.tdf.filter(terms)).select("doc_id").distinct()
+        return self.by_document((self.tdf if terms is None else self.tdf.filter(terms)).select("doc_id")).distinct()
 
 
 @dataclass(frozen=True)
@@ -56,16 +61,17 @@ class Query:
     def negated(self) -> Query:
         """All other terms; for a query of documents alone, all other documents."""
         if self.terms is None and self.docs is not None:
-            return Query(self.matrix, None, self.matrix.docs.select("doc_id").join(self.docs, "doc_id", "left_anti"))
+            return Query(self.matrix, None, self.matrix.by_document(self.matrix.docs.select("doc_id")).join(self.docs, "doc_id", "left_anti"))
         return Query(self.matrix, F.lit(False) if self.terms is None else ~self.terms, self.docs)
 
     def in_documents(self, where: Where) -> Query:
         """Only in documents whose metadata match."""
-        return Query(self.matrix, self.terms, _met(self.docs, self.matrix.docs.filter(all_of(where)).select("doc_id")))
+        return Query(self.matrix, self.terms, _met(self.docs, self.matrix.by_document(self.matrix.docs.filter(all_of(where)).select("doc_id"))))
 
 
 def colocated(matrix: Matrix, name: str, buckets: int = 64) -> Matrix:
-    """The matrix as tables of the session's catalogue, name_tdf and name_docs, in buckets by document: what profiles join and sum by document needs no shuffle then. Drop the tables when they aren't asked any more."""
+    """The matrix as tables of the session's catalogue, name_tdf and name_docs, in buckets by document, as many at least: what profiles join and sum by document needs no shuffle then, and as a bucket is a task, large matrices get more. Drop the tables when they aren't asked any more."""
+    buckets = max(buckets, matrix.parts or 0)
     spark = matrix.tdf.sparkSession
     for part, table in (("tdf", matrix.tdf), ("docs", matrix.docs)):
         table.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").format("parquet").saveAsTable(f"{name}_{part}")
@@ -111,7 +117,8 @@ def tdf_profile(query: Query, group_by: Sequence[str], *, date: str | int | None
     segment = list(dict.fromkeys((*m.segment, "doc_id")))
     in_time = dates(date)(F.col("date"))
     slice_ = sliced(F.col("date"), size).alias("slice")
-    hit = m.tdf if query.terms is None else m.tdf.filter(query.terms)
+    by_document = m.by_document(m.tdf)
+    hit = by_document if query.terms is None else by_document.filter(query.terms)
     if query.docs is not None:
         hit = hit.join(query.docs, "doc_id", "left_semi")
     q = hit.filter(in_time).groupBy(*segment, "date").agg(F.sum("f").alias("q"))
@@ -119,18 +126,18 @@ def tdf_profile(query: Query, group_by: Sequence[str], *, date: str | int | None
     f1 = q.groupBy(slice_).agg(F.sum("q").alias("f1"))
     wanted = all_of({k: v for k, v in (having or {}).items() if k in m.attributes})
     meta = m.docs.filter(all_of({k: v for k, v in (having or {}).items() if k not in m.attributes})).select("doc_id", *by_meta)
-    everything = m.tdf.filter(wanted)
+    meta, everything, dealt_out = m.by_document(meta), m.tdf.filter(wanted), by_document.filter(wanted)
     if by_term and not by_meta:
-        grouped = everything.filter(in_time).groupBy(*segment, *by_term).agg(F.sum("f").alias("g"))
+        grouped = dealt_out.filter(in_time).groupBy(*segment, *by_term).agg(F.sum("f").alias("g"))
         f12 = grouped.join(q, segment).groupBy(slice_, *by_term).agg(F.sum(F.least("q", "g")).alias("f12"))
         f2 = everything.filter(in_time).groupBy(slice_, *by_term).agg(F.sum("f").alias("f2"))
     elif by_meta and not by_term:
         f12 = q.join(meta, "doc_id").groupBy(slice_, *by_meta).agg(F.sum("q").alias("f12"))
         # Sizes of documents by metadata take no notice of the dates asked for.
-        f2 = m.tdf.groupBy("doc_id", "date").agg(F.sum("f").alias("f")).join(meta, "doc_id").groupBy(slice_, *by_meta).agg(F.sum("f").alias("f2"))
+        f2 = by_document.groupBy("doc_id", "date").agg(F.sum("f").alias("f")).join(meta, "doc_id").groupBy(slice_, *by_meta).agg(F.sum("f").alias("f2"))
     else:
-        f12 = everything.filter(in_time).join(q.drop("date"), segment).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum(F.least("q", "f")).alias("f12"))
-        f2 = everything.filter(in_time).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum("f").alias("f2"))
+        f12 = dealt_out.filter(in_time).join(q.drop("date"), segment).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum(F.least("q", "f")).alias("f12"))
+        f2 = dealt_out.filter(in_time).join(meta, "doc_id").groupBy(slice_, *items).agg(F.sum("f").alias("f2"))
     if keys is not None:
         f12, f1 = told(keys, f12, items), every_slice(f1, n)
     counts = f12.join(f2, ["slice", *items]).join(f1, "slice").join(n, "slice")
