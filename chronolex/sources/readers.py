@@ -1,6 +1,7 @@
 """Readers: each gives docs (doc_id, label, date, meta) and tokens (doc_id, sent_id, seg_id, pos, date, w, p, l, and page for tab files).
 
-A document is a file, whose path is its doc_id; Spark lists paths and globs. Sentences and breaks become numbers that grow in a document."""
+A document is a file, whose path is its doc_id; Spark lists paths and globs. Where documents are small and many, listing and opening files takes longer than reading them: cells reads
+Parquet tables of doc_id and value instead, a document a row, and lines reads JSON documents of a line each. Sentences and breaks become numbers that grow in a document."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 _ATTRIBUTES = ("w", "p", "l")
+#: Rows that a parser hands on at once, the last document's on top.
+_ROWS = 1 << 14
 
 
 @dataclass
@@ -31,7 +34,9 @@ class Corpus:
         self.tokens.write.mode(mode).partitionBy("date").parquet(f"{path}/tokens")
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str], cells: bool = False) -> DataFrame:
+    if cells:
+        return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(F.col("doc_id").cast("string").alias("doc_id"), "value")
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value"))
 
 
@@ -43,10 +48,10 @@ def _numbered(rows: DataFrame, sentence_end: Column, segment_break: Column) -> D
     return counted.filter("not __end and not __break").drop("__end", "__break")
 
 
-def read_tabs(spark: SparkSession, path: str | list[str], break_class: str | None = None) -> Corpus:
+def read_tabs(spark: SparkSession, path: str | list[str], break_class: str | None = None, *, cells: bool = False) -> Corpus:
     """Tab-separated files: a token a line (word, part of speech, lemma, and the page if it is new), an empty line after a sentence, and lines that begin
     with ``%%`` for metadata (``meta.NAME=VALUE``, ``date=YEAR``), columns (``index[N]=NAME SHORT``), breaks (``BREAK.CLASS``) and pages (``PAGE=N``)."""
-    lines = _files(spark, path).select("doc_id", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = _files(spark, path, cells).select("doc_id", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     line = F.col("line")
     parsed = lines.withColumns(
         {
@@ -80,10 +85,10 @@ def read_tabs(spark: SparkSession, path: str | list[str], break_class: str | Non
     return Corpus(docs, tokens.select("doc_id", "sent_id", "seg_id", "pos", "date", *(v.alias(a) for a, v in fields.items()), "page"))
 
 
-def read_json(spark: SparkSession, path: str | list[str], break_class: str | None = None) -> Corpus:
-    """Documents as JSON: label, date, meta, and tokens, where null ends a sentence and a string with a number sign is a break."""
+def read_json(spark: SparkSession, path: str | list[str], break_class: str | None = None, *, lines: bool = False) -> Corpus:
+    """Documents as JSON: label, date, meta, and tokens, where null ends a sentence and a string with a number sign is a break. lines: a document is a line, and each in a file has a label of its own."""
     schema = "label string, date int, meta map<string,string>, tokens array<string>"
-    read = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("doc_id", F.concat_ws("#", F.col("_metadata.file_path"), "label"))
+    read = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("doc_id", F.concat_ws("#", F.col("_metadata.file_path"), "label"))
     docs = read.select("doc_id", "label", F.coalesce("date", F.lit(0)).alias("date"), "meta")
     each = read.select("doc_id", F.coalesce("date", F.lit(0)).alias("date"), F.posexplode("tokens").alias("pos", "t"))
     token = F.from_json("t", "w string, p string, l string")
@@ -100,9 +105,9 @@ def _named(*names: str) -> str:
     return "".join(f"//*[local-name()='{n}']" for n in names)
 
 
-def read_tcf(spark: SparkSession, path: str | list[str]) -> Corpus:
+def read_tcf(spark: SparkSession, path: str | list[str], *, cells: bool = False) -> Corpus:
     """Layered XML: tokens by ID, and sentences, tags and lemmas that name IDs. Layers are joined by document and ID."""
-    files = _files(spark, path)
+    files = _files(spark, path, cells)
     ids = lambda a: F.split(F.trim(a), r"\s+")
     tokens = files.select("doc_id", F.posexplode(F.arrays_zip(_xpath(f"{_named('token')}/@ID").alias("id"), _xpath(f"{_named('token')}/text()").alias("w"))).alias("pos", "x")).select("doc_id", "pos", "x.id", "x.w")
     sentences = files.select("doc_id", F.posexplode(_xpath(f"{_named('sentence')}/@tokenIDs")).alias("sent_id", "ids")).select("doc_id", "sent_id", F.explode(ids(F.col("ids"))).alias("id"))
@@ -119,7 +124,7 @@ def read_tcf(spark: SparkSession, path: str | list[str]) -> Corpus:
     return Corpus(docs, joined.select("doc_id", F.coalesce("sent_id", F.lit(0)).alias("sent_id"), F.lit(0).alias("seg_id"), "pos", "date", "w", F.coalesce("p", F.lit("")).alias("p"), F.coalesce("l", F.lit("")).alias("l")))
 
 
-def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lemma: str = "lemma", tag: str = "type", sentence: str = "s", breaks: tuple[str, ...] = ("p", "div", "pb"), date: str = "date") -> Corpus:
+def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lemma: str = "lemma", tag: str = "type", sentence: str = "s", breaks: tuple[str, ...] = ("p", "div", "pb"), date: str = "date", cells: bool = False) -> Corpus:
     """Marked-up text: words in reading order with their attributes; elements named in breaks begin a segment, the sentence element a sentence."""
 
     def local(name: str) -> str:
@@ -128,6 +133,7 @@ def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lem
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.etree import ElementTree
 
+        columns, found = ["doc_id", "sent_id", "seg_id", "pos", "w", "p", "l"], []
         for frame in frames:
             for doc, xml in zip(frame["doc_id"], frame["value"], strict=True):
                 rows, sent, seg = [], 0, 0
@@ -138,9 +144,13 @@ def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lem
                         sent, seg = sent + (name == sentence), seg + (name in breaks)
                         if name == word:
                             rows.append((doc, sent, seg, len(rows), "".join(e.itertext()).strip(), e.get(tag, ""), e.get(lemma, "")))
-                yield pd.DataFrame(rows, columns=["doc_id", "sent_id", "seg_id", "pos", "w", "p", "l"])
+                found += rows
+                if len(found) >= _ROWS:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+        yield pd.DataFrame(found, columns=columns)
 
-    files = _files(spark, path)
+    files = _files(spark, path, cells)
     head = lambda name: F.get(_xpath(f"{_named('teiHeader', name)}/text()"), F.lit(0))
     meta = F.create_map(F.lit("title"), head("title"), F.lit("author"), text.author(text.squeezed(head("author"))))
     docs = files.select("doc_id", F.regexp_extract("doc_id", r"([^/]+)$", 1).alias("label"), F.coalesce(text.leading_year(head(date)), F.lit(0)).alias("date"), meta.alias("meta"))
@@ -151,6 +161,7 @@ def read_tei(spark: SparkSession, path: str | list[str], *, word: str = "w", lem
 def read_xml(
     spark: SparkSession, path: str | list[str], *, word: str = "//text//w", fields: Mapping[str, str] | None = None, sentence: Sequence[str] = ("//s",), breaks: Sequence[str] = ("//p", "//div", "//pb"),
     meta: Mapping[str, str] | None = None, namespaces: Mapping[str, str] | None = None,
+    cells: bool = False,
 ) -> Corpus:
     """XML by paths of one's own, as ElementTree reads them, with prefixes for namespaces. word, sentence and breaks are paths of nodes in the whole document: a word is told
     where it ends, and a node of sentence or breaks counts from where it starts, also inside a word, for which it counts with the next one. fields are paths from a word's node: ``.`` for its text, ``@name`` for an
@@ -161,27 +172,31 @@ def read_xml(
     spaces, sentence, breaks = dict(namespaces or {}), list(sentence), list(breaks)
     names = [*fields]
 
-    def told(node, where: str) -> str:
-        where, _, attribute = where.partition("@")
+    def place(path: str) -> tuple[str, str]:
+        """The path of a node and its attribute's name, empty for the text."""
+        where, _, attribute = path.partition("@")
         where = where.rstrip("/") or "."
-        if where.startswith("/"):
-            where = f".{where}"
+        return f".{where}" if where.startswith("/") else where, "{%s}%s" % (spaces[attribute.split(":")[0]], attribute.split(":")[1]) if ":" in attribute else attribute
+
+    def told(node, where: str, attribute: str) -> str:
         found = node if where == "." else node.find(where, spaces)
         if found is None:
             return ""
-        value = found.get("{%s}%s" % (spaces[attribute.split(":")[0]], attribute.split(":")[1]) if ":" in attribute else attribute, "") if attribute else "".join(found.itertext())
-        return " ".join(value.split())
+        return " ".join((found.get(attribute, "") if attribute else "".join(found.itertext())).split())
+
+    of_word, of_file = [place(p) for p in fields.values()], {k: place(p) for k, p in meta.items()}
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.etree import ElementTree
 
+        columns, found = ["doc_id", "key", "value", "sent_id", "seg_id", "pos", *names], []
         for frame in frames:
             for doc, xml in zip(frame["doc_id"], frame["value"], strict=True):
                 root = ElementTree.Element("document")
                 root.append(ElementTree.fromstring(xml))
                 chosen = lambda paths: {id(e) for p in paths for e in root.findall(f".{p}" if p.startswith("/") else p, spaces)}  # noqa: B023, E731
                 words, ends, parts = chosen([word]), chosen(sentence), chosen(breaks)
-                rows, sent, seg = [], 0, 0
+                dated, rows, sent, seg = told(root, *of_file["date"]), [], 0, 0
                 stack = [(root, iter(root), 0, 0)]
                 while stack:
                     node, children, at, part = stack[-1]
@@ -192,16 +207,22 @@ def read_xml(
                         continue
                     stack.pop()
                     if id(node) in words:  # numbered by what had begun when it did
-                        rows.append((doc, "", "", at, part, len(rows), *(told(node, p) for p in fields.values())))
-                heads = [(doc, k, told(root, p), -1, -1, -1, *([""] * len(names))) for k, p in meta.items()]
-                yield pd.DataFrame([*heads, *rows], columns=["doc_id", "key", "value", "sent_id", "seg_id", "pos", *names])
-
-    files = _files(spark, path)
+                        rows.append((doc, "", dated, at, part, len(rows), *(told(node, *p) for p in of_word)))
+                heads = [(doc, k, told(root, *p), -1, -1, -1, *([""] * len(names))) for k, p in of_file.items()]
+                found += [*heads, *rows]
+                if len(found) >= _ROWS:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+        yield pd.DataFrame(found, columns=columns)
+
+    files = _files(spark, path, cells)
     schema = ", ".join(["doc_id string", "key string", "value string", "sent_id int", "seg_id int", "pos int", *(f"`{n}` string" for n in names)])
     rows = files.mapInPandas(parsed, schema)
     pairs = rows.filter("pos < 0").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
     docs = pairs.select("doc_id", F.regexp_extract("doc_id", r"([^/]+)$", 1).alias("label"), F.coalesce(text.leading_year(F.col("meta")["date"]), F.lit(0)).alias("date"), F.transform_values("meta", lambda k, v: F.when(k == "author", text.author(v)).otherwise(v)).alias("meta"))
-    return Corpus(docs, rows.filter("pos >= 0").drop("key", "value").join(docs.select("doc_id", "date"), "doc_id").select("doc_id", "sent_id", "seg_id", "pos", "date", *names))
+    # Each word's row has its document's date text as well, so that words need no second pass over the files.
+    dated = rows.filter("pos >= 0").withColumn("date", F.coalesce(text.leading_year(F.col("value")), F.lit(0)))
+    return Corpus(docs, dated.select("doc_id", "sent_id", "seg_id", "pos", "date", *names))
 
 
 def read_compiled(spark: SparkSession, *paths: str) -> Corpus:
