@@ -115,9 +115,10 @@ def marginals_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5
     """attributes, date, f1: what marginals() gives, from the number of neighbours that each token has in its sentence, so without making pairs."""
 
     def counted(x: Column, i: Column) -> Column:
-        start = F.greatest(i - distance, F.lit(0))
-        around = F.slice("t", start + 1, i + distance + 1 - start)
-        near = F.size(F.filter(around, lambda y: y["sentence"].eqNullSafe(x["sentence"]))) - 1
+        # A sentence's tokens stand together, so the farthest one of it on either side tells how many there are; mostly the first that is looked at.
+        same = lambda k: F.get("t", i + k)["sentence"].eqNullSafe(x["sentence"])
+        side = lambda sign: F.coalesce(*(F.when(same(sign * d), F.lit(d)) for d in range(distance, 0, -1)), F.lit(0))
+        near = side(-1) + side(1)
         return F.struct(*(x[a].alias(a) for a in attributes), x["date"].alias("date"), F.when(x["own"], near).otherwise(0).cast("long").alias("n"))
 
     # Within each array, as rows of one token each would all carry it.
