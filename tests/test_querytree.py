@@ -67,6 +67,12 @@ def test_any_tree_reads_back(tree):
         assert found.tree == tree
 
 
+@pytest.mark.parametrize(("text", "words"), [(r"{0,\}}", ("0", "}")), (r"{a\,b,c\\}", ("a,b", "c\\")), (r"{c\\,d}", ("c\\", "d")), (r"{ a b , \  ,}", ("a b", " "))])
+def test_sets_of_words_behind_backslashes(text, words):
+    found = Q.parse(text)
+    assert found.tree == Token("set", words) and Q.parse(str(found)) == found
+
+
 @pytest.mark.parametrize("text", ["(a", 'a "b', "near(a,b)", "a &&", "{", "#has[x", "a )"])
 def test_what_can_not_be_read(text):
     with pytest.raises(ValueError):
