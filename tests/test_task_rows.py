@@ -1,5 +1,6 @@
 """Joins and sums by ids are dealt by rows, so what one task holds doesn't grow with the tables."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -54,6 +55,17 @@ def test_dealt_queries_give_the_same_rows(spark, few, monkeypatch, name):
     assert dealt == rows(catalogue.queries()[name](spark, DATA))
 
 
+BY_DOCUMENT = re.compile(r"Exchange hashpartitioning\((?:doc_id|sent_id|o_orderkey|l_orderkey)#[^)]*, (\d+)\)")
+
+
+@pytest.mark.parametrize("name", ["request_bool_documents", "request_bool_has", "request_bool_negated", "request_bool_without", "tdf_and", "tdf_having_B", "tdf_meta_B", "tdf_meta_filter", "tdf_negated", "tdf_or", "tdf_terms_B"])
+def test_no_step_by_document_is_dealt_by_bytes(spark, few, capsys, name):
+    catalogue.queries()[name](spark, DATA).explain()
+    made = [int(n) for n in BY_DOCUMENT.findall(capsys.readouterr().out)]
+    # More than the four partitions that the session's shuffles have.
+    assert made and min(made) > 4
+
+
 def test_union_counts_a_segment_of_several_dates_once(spark, few):
     schema = "l string, doc_id long, date int, f long"
     tables = [spark.createDataFrame([("a", d, y, 1) for d in range(3) for y in (1990, 1991)] + [("b", 0, 1990, 9)], schema), spark.createDataFrame([("b", d, 1990, 1) for d in range(4)], schema)]
