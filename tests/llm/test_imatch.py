@@ -125,3 +125,24 @@ def test_odd_rows(spark, odd, empty, tmp_path):
 def test_no_python_workers(spark, data):
     plan = imatch.op13_imatch_fingerprints(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_term_of_long_texts_counts(spark, tmp_path):
+    """Texts of 2,000 words that differ in words of the densest level alone, all of them in the lexicon, have other fingerprints."""
+    words = [f"w{k}" for k in range(2000)]
+    dense = [w for w in words if level(word_hash(w)) == 0][:3]
+    rows = [(1, " ".join(words)), (2, " ".join(w for w in words if w not in dense)), (3, " ".join(dense))]
+    got = result(spark, spark.createDataFrame(rows, SCHEMA), tmp_path)
+    assert got == brute(rows)
+    a, b, c = (next(r for r in got if r[0] == k) for k in (1, 2, 3))
+    assert a[3] != b[3] and 0.5 < a[6] < 1.0 and not c[3].startswith("=")
+
+
+def test_words_made_at_seams(spark, tmp_path):
+    """Short texts of few letters and many kinds of blanks: words that an edit makes are looked up, and what one text has alone isn't in the lexicon."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, 1, 2, 3, *range(10, 200)]), "".join(rnd.choices("aAbc \n\t", k=rnd.choice([0, 1, 3, 4, 5, 9, 20, 60])))) for _ in range(400)]
+    got = result(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), tmp_path)
+    assert got == brute(rows)
