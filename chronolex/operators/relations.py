@@ -50,9 +50,31 @@ def windows(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, sen
     return written(dealt.groupBy("__block").agg(F.sort_array(F.collect_list(item)).alias("t")).select("t"))
 
 
+def blocks_of(sentences: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
+    """Blocks for pairs_of and marginals_of as windows() gives them, of sentences that are a row each: date, and in order their tokens, an array of structs of attributes. Rows are cut into blocks where they are
+    read, so nothing is sorted, shuffled or written; what is made of the blocks twice reads the sentences twice."""
+    within = max(distance, 1)
+    last = F.floor((F.size("tokens") - 1) / BLOCK)
+    before = lambda b: F.least(b * BLOCK, F.lit(within))
+    cut = lambda b: F.slice("tokens", (b * BLOCK - before(b)).cast("int") + 1, (before(b) + BLOCK + within).cast("int"))
+    # The outer forms spare tests for empty arrays, which would make them twice more.
+    whole = sentences.select("date", F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), cut).alias("parts"))
+    parts = whole.select("date", F.posexplode_outer("parts").alias("block", "part")).withColumn("before", before(F.col("block")))
+    own = lambda i: (i >= F.col("before")) & (i < F.col("before") + BLOCK)
+    item = lambda x, i: F.struct(own(i).alias("own"), F.lit(True).alias("sentence"), "date", *(x[a].alias(a) for a in attributes))
+    return parts.select(F.transform("part", item).alias("t"))
+
+
+def sentence_marginals(sentences: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
+    """attributes, date, f1: what marginals_of() gives, from the places of tokens in sentences that are a row each (see blocks_of)."""
+    placed = sentences.select("date", F.size("tokens").alias("size"), F.posexplode_outer("tokens").alias("i", "x"))
+    near = F.least(F.col("i"), F.lit(distance)) + F.least(F.col("size") - 1 - F.col("i"), F.lit(distance))
+    return placed.select(*(F.col(f"x.{a}").alias(a) for a in attributes), "date", near.cast("long").alias("n")).filter("n > 0").groupBy(*attributes, "date").agg(F.sum("n").alias("f1"))
+
+
 def _around(blocks: DataFrame, distance: int, where: Column) -> DataFrame:
     """i and one, each token that where takes in, with the slice around it, which starts at s."""
-    placed = blocks.select("t", F.posexplode("t").alias("i", "one")).filter(F.col("one.own") & where)
+    placed = blocks.select("t", F.posexplode_outer("t").alias("i", "one")).filter(F.col("one.own") & where)
     start = F.greatest(F.col("i") - distance, F.lit(0))
     return placed.select("i", "one", start.alias("s"), F.slice("t", start + 1, F.col("i") + distance + 1 - start).alias("around"))
 
@@ -65,7 +87,7 @@ def pairs(tokens: DataFrame, attributes: Sequence[str], distance: int = 5, **how
 def pairs_of(blocks: DataFrame, attributes: Sequence[str], distance: int = 5) -> DataFrame:
     """The pairs in windows of at least this distance. A condition on the first token, its attributes or date, is applied before any is met with another."""
     near = _around(blocks, distance, F.lit(True))
-    # The slice is never empty; the outer form spares the tests for that, which would make it twice more.
+    # Neither array is empty, or its row falls out; the outer form spares the tests for that, which would make it twice more.
     met = near.select("i", "one", "s", F.posexplode_outer("around").alias("k", "two")).filter("s + k <> i and one.sentence <=> two.sentence")
     return met.select(*(F.col(f"one.{a}").alias(f"{a}1") for a in attributes), F.col("one.date").alias("date"), *(F.col(f"two.{a}").alias(f"{a}2") for a in attributes), (F.col("s") + F.col("k") - F.col("i")).alias("gap"))
 

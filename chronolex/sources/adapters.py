@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relations import dealt, parts_of
@@ -18,13 +18,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _runs(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def _class(run: Column) -> Column:
+    size = F.length(run)
+    return F.when(size <= 3, "short").when(size <= 7, "middle").otherwise("long")
+
+
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters of documents, in lower case; a document is a sentence. p is a class by length."""
     docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    words = docs.select("doc_id", (1900 + F.col("doc_id") % 100).cast("int").alias("date"), F.posexplode(runs).alias("pos", "l"))
-    size = F.length("l")
-    return words.select("doc_id", F.lit(0).alias("sent_id"), "pos", "date", "l", F.when(size <= 3, "short").when(size <= 7, "middle").otherwise("long").alias("p"))
+    words = docs.select("doc_id", (1900 + F.col("doc_id") % 100).cast("int").alias("date"), F.posexplode(_runs("text")).alias("pos", "l"))
+    return words.select("doc_id", F.lit(0).alias("sent_id"), "pos", "date", "l", _class(F.col("l")).alias("p"))
+
+
+def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of text_tokens, a row each: date, and tokens, an array of l."""
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select((1900 + F.col("doc_id") % 100).cast("int").alias("date"), F.transform(_runs("text"), lambda w: F.struct(w.alias("l"))).alias("tokens"))
 
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +71,5 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations with the speaker's role; a turn is a sentence."""
     chats = _table(spark, sf_dir, "conversations")
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    words = chats.select("conv_id", "turn", "role", F.posexplode(runs).alias("pos", "l"))
+    words = chats.select("conv_id", "turn", "role", F.posexplode(_runs("text")).alias("pos", "l"))
     return words.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_id"), "pos", (1900 + F.col("conv_id") % 50).cast("int").alias("date"), "l", F.col("role").alias("p"))
