@@ -184,3 +184,29 @@ def test_odd_rows(spark, odd, empty):
     for q, rows in want.items():
         assert [round(r["score"], 5) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [round(s, 5) for _, s in rows]
     assert bm25.top_k(empty, empty.selectExpr("doc_id as query_id", "text")).count() == 0
+
+
+def test_few_documents_are_scored_under_a_known_threshold():
+    """Of whole documents as queries, over subjects in words as frequent as in prose, one document in twenty is scored at most once the k-th best score is known, and the answer is that of no threshold."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    words, weights = [f"w{j}" for j in range(5000)], [1 / (j + 3) for j in range(5000)]
+    subjects = [rnd.sample(words[50:], 60) for _ in range(80)]
+    docs = [(k, " ".join(rnd.choices(words, weights, k=(n := rnd.choice([40, 150, 400]))) + rnd.choices(subjects[k % 80], k=n // 3))) for k in range(2000)]
+    rows = [r for b in bm25._indexed(iter([pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})])) for r in b.to_pylist()]
+    assert len(rows) == 1
+    df, n = Counter(t for _, text in docs for t in bm25.terms_of(text)[0].tolist()), len(docs)
+    asked = [bm25.terms_of(docs[k][1])[0] for k in range(0, 2000, 100)]
+    offsets, terms = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
+    search = lambda shard, floors: list(shard.search(np.arange(0, 2000, 100), offsets, terms, idf, 10, floors))
+    mean = sum(len(t.split()) for _, t in docs) / n
+    want = search(bm25.Shard(rows[0], mean), np.zeros(20))
+    shard = bm25.Shard(rows[0], mean)
+    got = search(shard, np.array([scores[-1] for _, scores in want]))
+    assert [a.tolist() for a, _ in got] == [a.tolist() for a, _ in want] and all(np.allclose(a, b) for (_, a), (_, b) in zip(got, want, strict=True))
+    assert 20 * shard.seen["scored_documents"] <= shard.seen["documents"]
