@@ -69,7 +69,7 @@ def sentence_marginals(sentences: DataFrame, attributes: Sequence[str], distance
     """attributes, date, f1: what marginals_of() gives, from the places of tokens in sentences that are a row each (see blocks_of)."""
     placed = sentences.select("date", F.size("tokens").alias("size"), F.posexplode_outer("tokens").alias("i", "x"))
     near = F.least(F.col("i"), F.lit(distance)) + F.least(F.col("size") - 1 - F.col("i"), F.lit(distance))
-    return placed.select(*(F.col(f"x.{a}").alias(a) for a in attributes), "date", near.cast("long").alias("n")).filter("n > 0").groupBy(*attributes, "date").agg(F.sum("n").alias("f1"))
+    return placed.select(*(F.col(f"x.{a}").alias(a) for a in attributes), "date", near.cast("long").alias("n"), "i").filter("i is not null and n > 0").groupBy(*attributes, "date").agg(F.sum("n").alias("f1"))
 
 
 def _around(blocks: DataFrame, distance: int, where: Column) -> DataFrame:
